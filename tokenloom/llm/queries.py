@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import exact_dedup, quality
+from tokenloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,23 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model, columns=["doc_id"])
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text that they decode to."""
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.decode_bpe(bpe.encode_bpe(docs, columns=["doc_id"]))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every near copy with the document of its group that stays."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of sources: document, source and the number of its copy."""
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.repeat_by_epochs(docs.select("doc_id", "source"), mixing.source_epochs(docs))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whose whole text an earlier document has, with that document."""
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
@@ -31,5 +48,26 @@ SELECT doc_id, duplicate_of FROM (
 ) WHERE doc_id <> duplicate_of
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op5_exact_dedup": op5_exact_dedup}
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+OP6_SQL = """
+WITH sizes AS (SELECT source, sum(coalesce(strlen(text), 0))::DOUBLE AS n FROM documents GROUP BY source),
+weighted AS (SELECT source, n, sum(n) OVER () AS total, CASE WHEN n > 0 THEN pow(n / sum(n) OVER (), 0.7) ELSE 0 END AS w FROM sizes),
+sorted AS (
+  SELECT *, 4 * n / w AS full_at,
+    coalesce(sum(4 * n) OVER (ORDER BY 4 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clamped,
+    sum(w) OVER (ORDER BY 4 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
+  FROM weighted WHERE w > 0
+),
+level AS (SELECT min((total - clamped) / open_w) FILTER (WHERE (total - clamped) / open_w <= full_at) AS l FROM sorted),
+epochs AS (
+  SELECT source, CASE WHEN l IS NULL THEN 4 ELSE least(4, l * w / n) END AS e FROM sorted, level
+  UNION ALL SELECT source, 1 FROM weighted WHERE n = 0
+),
+times AS (
+  SELECT doc_id, d.source, floor(e + 1e-9)::INT + CASE WHEN ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0 < e - floor(e + 1e-9) THEN 1 ELSE 0 END AS k
+  FROM documents d JOIN epochs p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, source, unnest(range(1, k + 1))::INT AS copy FROM times
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_near_dedup, op5_exact_dedup, op6_mixing)}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
