@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that separate words; the same set is written as a regex for SQL.
-SPACES = b" \t\n\r\f"
-SPACE_RE = r"[ \t\n\r\f]+"
+SPACES = b" \t\n\r\f\v"
+SPACE_RE = r"[ \t\n\r\f\v]+"
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 

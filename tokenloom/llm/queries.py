@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
+from tokenloom.llm import bpe, exact_dedup, mixing, near_dedup, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.repeat_by_epochs(docs.select("doc_id", "source"), mixing.source_epochs(docs))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal stretch of words covered by 50-word passages that occur twice or more."""
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whose whole text an earlier document has, with that document."""
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
@@ -57,7 +62,7 @@ sorted AS (
     sum(w) OVER (ORDER BY 4 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
   FROM weighted WHERE w > 0
 ),
-level AS (SELECT min((total - clamped) / open_w) FILTER (WHERE (total - clamped) / open_w <= full_at) AS l FROM sorted),
+level AS (SELECT arg_min((total - clamped) / open_w, full_at) FILTER (WHERE (total - clamped) / open_w <= full_at) AS l FROM sorted),
 epochs AS (
   SELECT source, CASE WHEN l IS NULL THEN 4 ELSE least(4, l * w / n) END AS e FROM sorted, level
   UNION ALL SELECT source, 1 FROM weighted WHERE n = 0
@@ -69,5 +74,17 @@ times AS (
 SELECT doc_id, source, unnest(range(1, k + 1))::INT AS copy FROM times
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_near_dedup, op5_exact_dedup, op6_mixing)}
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+OP4_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS ws
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+),
+passages AS (SELECT doc_id, i - 1 AS s, array_to_string(ws[i : i + 49], ' ') AS t FROM texts, unnest(range(1, len(ws) - 48)) AS u(i)),
+repeated AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY t) AS n FROM passages) WHERE n > 1),
+begun AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS b FROM repeated),
+numbered AS (SELECT doc_id, s, sum(b) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM begun)
+SELECT doc_id, min(s)::BIGINT AS start_word, (max(s) - min(s) + 50)::BIGINT AS n_words FROM numbered GROUP BY doc_id, k
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_near_dedup, op4_suffix_dedup, op5_exact_dedup, op6_mixing)}
+ORACLE_SQL: dict[str, str] = {"op4_suffix_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
