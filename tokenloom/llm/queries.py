@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import bpe, exact_dedup, mixing, near_dedup, quality, suffix_dedup
+from pyspark.sql import functions as F
+
+from tokenloom.llm import bpe, embedding_dedup, exact_dedup, html_text, mixing, near_dedup, quality, sharding, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,27 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, archived by digest and put together again."""
+    records = warc.new_archive(_table(spark, sf_dir, "pages"))
+    return records.select(F.col("record").alias("page_id"), "digest", F.decode("bytes", "UTF-8").alias("content"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard, in the shard's partition, sorted by id."""
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of embeddings whose cosine is at least 0.95."""
+    return embedding_dedup.near_pairs(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_text.extract_text(_table(spark, sf_dir, "pages"), columns=["page_id", "url"])
+
+
 OP5_SQL = """
 SELECT doc_id, duplicate_of FROM (
   SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS duplicate_of FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
@@ -86,5 +109,28 @@ numbered AS (SELECT doc_id, s, sum(b) OVER (PARTITION BY doc_id ORDER BY s) AS k
 SELECT doc_id, min(s)::BIGINT AS start_word, (max(s) - min(s) + 50)::BIGINT AS n_words FROM numbered GROUP BY doc_id, k
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_near_dedup, op4_suffix_dedup, op5_exact_dedup, op6_mixing)}
-ORACLE_SQL: dict[str, str] = {"op4_suffix_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+OP7_SQL = """
+WITH d AS (SELECT page_id, url, html, sha256(html) AS digest, chr(13) || chr(10) AS nl FROM pages)
+SELECT page_id, digest,
+  'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || nl
+  || 'WARC-Target-URI: ' || coalesce(url, '') || nl || 'Content-Type: text/html' || nl || 'WARC-Payload-Digest: sha256:' || coalesce(digest, '') || nl
+  || 'Content-Length: ' || coalesce(strlen(html), 0) || nl || nl || coalesce(html, '') || nl || nl AS content
+FROM d
+"""
+
+OP8_SQL = """
+WITH k AS (SELECT doc_id, sum(coalesce(strlen(text), 0))::HUGEINT AS b FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+p AS (SELECT doc_id, sum(b) OVER (ORDER BY doc_id) - b AS below, sum(b) OVER () AS total FROM k),
+q AS (SELECT doc_id, below, total, greatest(16, (total + 67108863) // 67108864) AS n FROM p)
+SELECT d.doc_id, text, lang, source, n_chars, CASE WHEN d.doc_id IS NULL OR total = 0 THEN 0 ELSE least(n - 1, (below * n) // total) END::INT AS shard
+FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id
+"""
+
+OP9_SQL = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id < b.vec_id)
+SELECT vec_a, vec_b, round(s, 6) AS similarity FROM p WHERE s >= 0.95
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_near_dedup, op4_suffix_dedup, op5_exact_dedup, op6_mixing, op7_warc, op8_sharding, op9_embedding_dedup, op10_html_text)}
+ORACLE_SQL: dict[str, str] = {"op4_suffix_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op7_warc": OP7_SQL, "op8_sharding": OP8_SQL, "op9_embedding_dedup": OP9_SQL}
