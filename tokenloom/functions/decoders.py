@@ -38,6 +38,11 @@ class Decoder:
         return F.array_join(self.chain_column(tokens), "")
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, also where ``f`` uses it for each element of a lambda."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _each(tokens: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(tokens, f)
 
@@ -72,12 +77,15 @@ class BPEDecoder(Decoder):
             return tokens
         n = len(self.suffix)
 
-        def one(t: Column, i: Column) -> Column:
-            at = F.locate(self.suffix, t)
-            gap = F.when(i == F.size(tokens) - 1, F.lit("")).otherwise(F.lit(" "))
-            return F.when(at == 0, t).otherwise(F.concat(F.substr(t, F.lit(1), at - 1), gap, F.substr(t, at + n)))
+        def all_of(tokens: Column) -> Column:
+            def one(t: Column, i: Column) -> Column:
+                at = F.locate(self.suffix, t)
+                gap = F.when(i == F.size(tokens) - 1, F.lit("")).otherwise(F.lit(" "))
+                return F.when(at == 0, t).otherwise(F.concat(F.substr(t, F.lit(1), at - 1), gap, F.substr(t, at + n)))
 
-        return F.transform(tokens, one)
+            return F.transform(tokens, one)
+
+        return bound(tokens, all_of)
 
 
 @component("decoder", "ByteLevel", add_prefix_space=True, trim_offsets=True, use_regex=True)
@@ -173,7 +181,7 @@ class CTC(Decoder):
         return out
 
     def chain_column(self, tokens: Column) -> Column:
-        fresh = F.filter(tokens, lambda t, i: (i == 0) | (t != F.get(tokens, i - 1)))
+        fresh = bound(tokens, lambda all_: F.filter(all_, lambda t, i: (i == 0) | (t != F.get(all_, i - 1))))
 
         def one(t: Column) -> Column:
             t = F.replace(t, F.lit(self.pad_token), F.lit("")) if self.pad_token else t

@@ -17,7 +17,7 @@ from tokenloom.functions import decoders as D
 from tokenloom.functions import normalizers as N
 from tokenloom.functions import pretokenizers as P
 from tokenloom.functions import processors as R
-from tokenloom.functions.aligned import BYTE_CHARS, LATIN, LATIN_TO, WS
+from tokenloom.functions.aligned import BYTE_CHARS, WS
 from tokenloom.operators import lookup, models, shape
 from tokenloom.plans.added import AddedToken
 from tokenloom.plans.tokenizer import Padding, Tokenizer, Truncation
@@ -246,15 +246,15 @@ _add(
     f"""
 WITH RECURSIVE r AS (SELECT {samples.sql_map(samples.WORDPIECE_VOCAB)} AS vocab),
 words AS ({_WORDS_SQL}),
-steps(word, at, ids) AS (
+steps(word, pos, ids) AS (
   SELECT word, 0, []::INT[] FROM (SELECT DISTINCT word FROM words)
   UNION ALL
   SELECT word, hit.e, ids || [hit.id] FROM (
-    SELECT word, at, ids, list_max(list_filter(list_transform(range(at + 1, least(length(word), at + 12) + 1), lambda e: {{'e': e, 'id': vocab[CASE WHEN at > 0 THEN '##' ELSE '' END || substring(word, (at + 1)::BIGINT, e - at)]}}), lambda x: x.id IS NOT NULL)) AS hit
-    FROM steps, r WHERE at < length(word)
+    SELECT word, pos, ids, list_max(list_filter(list_transform(range(pos + 1, least(length(word), pos + 12) + 1), lambda e: {{'e': e, 'id': vocab[CASE WHEN pos > 0 THEN '##' ELSE '' END || substring(word, (pos + 1)::BIGINT, e - pos)]}}), lambda x: x.id IS NOT NULL)) AS hit
+    FROM steps, r WHERE pos < length(word)
   ) WHERE hit IS NOT NULL
 ),
-tokenized AS (SELECT word, CASE WHEN max(at) = length(word) AND length(word) <= 100 THEN arg_max(ids, at) ELSE [1] END AS ids FROM steps GROUP BY word)
+tokenized AS (SELECT word, CASE WHEN max(pos) = length(word) AND length(word) <= 100 THEN arg_max(ids, pos) ELSE [1] END AS ids FROM steps GROUP BY word)
 {_GROUPED}
 """,
 )
@@ -522,8 +522,8 @@ _decoder("fuse", D.Fuse(), "t")
 _decoder("strip", D.Strip(content="t", start=1, stop=1), "list_transform(t, lambda x: regexp_replace(regexp_replace(x, '^t', ''), 't$', ''))")
 _decoder("replace", D.Replace(pattern={"Regex": "([aeiou])n"}, content="<$1>"), r"list_transform(t, lambda x: regexp_replace(x, '([aeiou])n', '<\1>', 'g'))")
 _decoder("sequence", D.Sequence(decoders=[D.Strip(content="t", start=1, stop=0), D.Replace(pattern="he", content="HE"), D.Fuse()]), "list_transform(t, lambda x: replace(regexp_replace(x, '^t', ''), 'he', 'HE'))")
-_decoder("bytelevel", D.ByteLevel(), "[text]", P.ByteLevel(add_prefix_space=False).column)
-_decoder("bytefallback", D.ByteFallback(), "[text]", lambda c: F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), F.lit(0)), lambda b: F.concat(F.lit("<0x"), b, F.lit(">"))))
+_decoder("bytelevel", D.ByteLevel(), "t", P.ByteLevel(add_prefix_space=False).column, "[text]")
+_decoder("bytefallback", D.ByteFallback(), "t", lambda c: F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), F.lit(0)), lambda b: F.concat(F.lit("<0x"), b, F.lit(">"))), "[text]")
 
 
 @query("SELECT doc_id, text AS decoded FROM documents")
@@ -552,5 +552,3 @@ def repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return table(spark, sf_dir, "benchmark").select("item_id", F.explode(repeats("text")).alias("r")).select("item_id", "r.*")
 
-
-del LATIN, LATIN_TO
