@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tokenloom.functions.aligned import BYTE_CHARS, CHAR_BYTES, LATIN, LATIN_TO, python_regex
+from tokenloom.functions.normalizers import ByteLevel as ByteLevelNormalizer
 from tokenloom.sources.registry import component, parse_pattern
 
 
@@ -102,10 +103,11 @@ class ByteLevel(Decoder):
         return b"".join(map(self.raw, tokens)).decode("utf-8", "replace")
 
     def column(self, tokens: Column) -> Column:
-        text = F.array_join(tokens, "")
+        alphabet = "\\x{21}-\\x{7E}\\x{A1}-\\x{AC}\\x{AE}-\\x{143}"
+        runs = F.regexp_extract_all(F.array_join(tokens, ""), F.lit(f"[{alphabet}]+|[^{alphabet}]+"), F.lit(0))
+        text = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"\\A[{alphabet}]"), r).otherwise(ByteLevelNormalizer().column(r))), "")
         latin = F.translate(text, LATIN_TO + BYTE_CHARS[0], LATIN + "\ue000")
-        fast = F.decode(F.encode(F.replace(latin, F.lit("\ue000"), F.lit("\0")), "ISO-8859-1"), "UTF-8")
-        return fast
+        return F.make_valid_utf8(F.encode(F.replace(latin, F.lit("\ue000"), F.lit("\0")), "ISO-8859-1").cast("string"))
 
 
 @component("decoder", "WordPiece", prefix="##", cleanup=True)
@@ -240,7 +242,7 @@ class Fuse(Decoder):
         return ["".join(tokens)]
 
     def chain_column(self, tokens: Column) -> Column:
-        return F.array(F.array_join(tokens, ""))
+        return F.when(tokens.isNotNull(), F.array(F.array_join(tokens, "")))
 
 
 @component("decoder", "Strip", content=" ", start=1, stop=1)

@@ -135,7 +135,7 @@ class ByteLevel(_Matches):
     def column(self, c: Column) -> Column:
         if self.add_prefix_space:
             c = F.when((c != "") & ~c.startswith(" "), F.concat(F.lit(" "), c)).otherwise(c)
-        pieces = super().column(c) if self.use_regex else F.when(c == "", F.array().cast("array<string>")).otherwise(F.array(c))
+        pieces = super().column(c) if self.use_regex else F.when(c == "", F.array().cast("array<string>")).when(c.isNotNull(), F.array(c))
         return F.transform(pieces, ByteLevelNormalizer().column)
 
 
@@ -162,7 +162,7 @@ class _Delimited(PreTokenizer):
 
     def column(self, c: Column) -> Column:
         if not self.java:
-            return F.when(c == "", F.array().cast("array<string>")).otherwise(F.array(c))
+            return F.when(c == "", F.array().cast("array<string>")).when(c.isNotNull(), F.array(c))
         return tiled(c, self.java, self.how(), self.runs)
 
 
@@ -288,7 +288,7 @@ class Metaspace(PreTokenizer):
         if self.prepend_scheme != "never":
             c = F.when((c != "") & ~c.startswith(mark), F.concat(F.lit(mark), c)).otherwise(c)
         if not self.cut:
-            return F.when(c == "", F.array().cast("array<string>")).otherwise(F.array(c))
+            return F.when(c == "", F.array().cast("array<string>")).when(c.isNotNull(), F.array(c))
         return tiled(c, regex.escape(mark), MERGED_NEXT)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,8 +112,6 @@ def repeated_substrings(text: str, least: int = 1) -> list[tuple[int, int, int]]
 
 def register_sql(spark: SparkSession, tokenizer: Any, prefix: str = "tok") -> None:
     """SQL functions ``tok_encode_ids``, ``tok_count``, ``tok_decode`` and table functions ``tok_tokens(text)``, ``tok_repeats(text)``."""
-    import pandas as pd
-
     get = tokenizer._sender()
 
     @F.pandas_udf("array<bigint>")

@@ -208,4 +208,4 @@ def wide(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The tall form back to one encoding for each window."""
     fields = F.struct("pos", F.col("id").alias("ids"), F.col("type_id").alias("type_ids"), F.col("token").alias("tokens"), F.col("word_id").alias("word_ids"), F.struct("start", "end").alias("offsets"), F.col("special").alias("special_tokens_mask"), F.col("attention").alias("attention_mask"), F.col("sequence_id").alias("sequence_ids"))
     grouped = rows.groupBy(*keys, "window_index").agg(F.sort_array(F.collect_list(fields)).alias("t"))
-    return grouped.select(*keys, "window_index", F.struct(*[F.transform("t", lambda x, f=f: x[f]).alias(f) for f in FIELDS]).alias("encoding"))
+    return grouped.select(*keys, "window_index", F.struct(*[F.col("t")[f].alias(f) for f in FIELDS]).alias("encoding"))
