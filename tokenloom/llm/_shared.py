@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes that separate words; the same set is written as a regex for SQL.
 SPACES = b" \t\n\r\f\v"
 SPACE_RE = r"[ \t\n\r\f\v]+"
+BATCH_BYTES = 4 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 
@@ -83,8 +86,29 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def small_batches(spark: SparkSession) -> None:
+    """Limit what goes to Python at once to ``BATCH_BYTES``, where the session leaves Spark's default of 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory to the system; idle Python workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` has about ``limit`` bytes in each (one row at least)."""
+    try:
+        yield from _slices(batches, column, limit)
+    finally:
+        give_back()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         _, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)))
         at, n = 0, batch.num_rows

@@ -52,7 +52,7 @@ LONG = 65_536
 RAW = 16_384
 
 _SAFE = regex.compile(r"[A-Za-z0-9](?=[ \n])")
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 TEXT, PIECES, PART = 0, 1, 2
 
 
@@ -163,6 +163,7 @@ def encode_bpe(
 ) -> DataFrame:
     """``columns`` of ``docs`` (all by default) and the token ids of each text."""
     columns = docs.columns if columns is None else columns
+    S.small_batches(docs.sparkSession)
     kept = docs.select(*columns)
     out_name = S.free_name(kept, out_col)
     source = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"), F.col(text_col).alias("text"))
@@ -220,6 +221,7 @@ def encode_bpe(
 
 def decode_bpe(tokens: DataFrame, *, ids_col: str = "token_ids", out_col: str = "decoded", vocabulary_path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """All columns of ``tokens`` and the text of each list of ids."""
+    S.small_batches(tokens.sparkSession)
     out_name = S.free_name(tokens, out_col)
     at = tokens.columns.index(ids_col)
 

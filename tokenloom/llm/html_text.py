@@ -394,6 +394,7 @@ def page_text(page: str | None) -> str | None:
 def extract_text(pages: DataFrame, *, html_col: str = "html", out_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``pages`` (all by default) and the visible text of each page."""
     columns = pages.columns if columns is None else columns
+    S.small_batches(pages.sparkSession)
     kept = pages.select(*columns)
     out_name, source = S.free_name(kept, out_col), S.free_name(pages, "page_to_read")
 

@@ -75,6 +75,8 @@ def signatures(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def signature_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, s0, s1)`` of every document that has words."""
 
+    S.small_batches(docs.sparkSession)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in S.slices(batches, "t"):
             rows, sig = signatures(b.column(1))

@@ -146,6 +146,7 @@ def fit_quality(
     seed: int = 7,
 ) -> QualityModel:
     """Fit on at most ``fit_rows`` labelled documents; ``bandwidth`` is in units of the square root of the number of statistics."""
+    S.small_batches(docs.sparkSession)
     d = len(STATISTICS)
     rng = np.random.default_rng(seed)
     directions = rng.normal(size=(d, features)) / (bandwidth * np.sqrt(d))
@@ -210,6 +211,7 @@ def fit_quality(
 
 def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:
     """Add ``score``, ``probability`` and ``keep`` (probability at least ``threshold``) to ``columns`` (all by default)."""
+    S.small_batches(docs.sparkSession)
     columns = docs.columns if columns is None else columns
     out = docs.select(*columns)
     names = [S.free_name(out, n) for n in ("score", "probability", "keep")]
@@ -227,6 +229,7 @@ def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text
 
 def keep_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose probability is at least ``threshold``, with their columns."""
+    S.small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
