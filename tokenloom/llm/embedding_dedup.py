@@ -2,14 +2,16 @@
 
 On unit vectors a cosine of at least t is a distance of at most
 ``tau = sqrt(2 - 2 t)``. The vectors whose ids hash lowest are the top level of
-the tree; each vector belongs to the nearest of them, its cell. A vector also
-visits a cell of lower number if it is within the cell's covering radius plus
-tau and at most ``2 tau`` farther from that centre than from its own; by the
-triangle inequality each pair within tau meets in exactly one cell. In a cell,
-cover trees are built (Beygelzimer, Kakade and Langford, 2006): a node's
-children are a greedy net at half its radius. Two trees are walked together: a
-pair of nodes is left as soon as its centres are farther apart than tau plus
-both covering radii. What remains is compared exactly.
+the tree; each vector belongs to the nearest of them, its cell. Pairs of cells
+whose centres are at most tau plus both covering radii apart are compared, each
+pair of cells in a task of its own, and a cell with itself. A vector goes to the
+pair of its cell and another only if it is within the other's covering radius
+plus tau and at most ``2 tau`` farther from the other centre than from its own;
+by the triangle inequality no pair within tau is lost. In a task, cover trees
+are built (Beygelzimer, Kakade and Langford, 2006): a node's children are a
+greedy net at half its radius. Two trees are walked together: a pair of nodes is
+left as soon as its centres are farther apart than tau plus both covering radii.
+What remains is compared exactly.
 
 The number of centres, and with it what is sent to all executors, is at most
 ``MOST_CENTRES``; it grows with the rows until then. In spaces of many
@@ -41,6 +43,11 @@ BLOCK = 512
 _SLACK = 1e-9
 
 
+def cosine_at(radius: np.ndarray | float) -> np.ndarray | float:
+    """The cosine of unit vectors that are ``radius`` apart."""
+    return 1 - np.square(radius) / 2
+
+
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of unit vectors."""
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
@@ -64,7 +71,7 @@ def net(x: np.ndarray, rows: np.ndarray, radius: float) -> list[tuple[int, np.nd
     rest = rows
     while len(rest):
         block = rest[:BLOCK]
-        near = distance(x[block], x[rest]) <= radius
+        near = x[block] @ x[rest].T >= cosine_at(radius)
         free = np.ones(len(rest), bool)
         for i, row in enumerate(block):
             if free[i]:
@@ -109,9 +116,11 @@ def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, threshold: float, same:
         qs, qc, qr = (q.children, q.centres, q.radii) if q.children else ([q], np.array([q.centre]), np.array([q.radius]))
         for start in range(0, len(ps), BLOCK):
             part = slice(start, start + BLOCK)
-            close = distance(x[pc[part]], y[qc]) <= tau + pr[part, None] + qr[None, :]
-            i, j = np.nonzero(close)
-            i += start
+            cosine = x[pc[part]] @ y[qc].T
+            # first with the largest radii, then, for the few that are left, with their own
+            i, j = np.nonzero(cosine >= cosine_at(min(tau + pr[part].max() + qr.max(), 2.0)) - _SLACK)
+            fine = cosine[i, j] >= cosine_at(np.minimum(tau + pr[part][i] + qr[j], 2.0)) - _SLACK
+            i, j = i[fine] + start, j[fine]
             if same and p is q:
                 i, j = i[i <= j], j[i <= j]
             stack.extend((ps[m], qs[n]) for m, n in zip(i.tolist(), j.tolist()))
@@ -172,34 +181,37 @@ def near_pairs(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
     for r in units.mapInArrow(reach, "d int, c int, r double").groupBy("d", "c").agg(F.max("r").alias("r")).collect():  # one row a cell
         radii[r["d"]][r["c"]] = r["r"]
 
+    apart = {d: distance(c, c) for d, c in centres.items()}
+
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 2048):
                 part = b.slice(start, 2048)
                 for d, on, far, own in cells(part):
                     least = far.min(axis=1)
-                    goes = (far <= radii[d] + tau) & (far - least[:, None] <= 2 * tau) & (np.arange(far.shape[1]) < own[:, None])
+                    goes = (far <= radii[d] + tau) & (far - least[:, None] <= 2 * tau) & (apart[d][own] <= radii[d] + radii[d][own][:, None] + tau)
+                    goes[np.arange(len(on)), own] = True
                     row, cell = np.nonzero(goes)
-                    row, cell = np.concatenate([np.arange(len(on)), row]), np.concatenate([own, cell])
+                    low, high = np.minimum(own[row], cell), np.maximum(own[row], cell)
                     take = part.take(pa.array(on[row]))
-                    key = (np.int64(names[d]) << 32) + cell
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[row] == cell), take.column(0), take.column(1), take.column(2)], ["cell", "own", "id", "dimension", "vector"])
+                    task = ((np.int64(names[d]) << 48) | (low.astype(np.int64) << 24)) | high
+                    yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(own[row] == low), take.column(0), take.column(1), take.column(2)], ["task", "first", "id", "dimension", "vector"])
 
     def compare(part: pa.Table) -> pa.Table:
         d = part.column("dimension")[0].as_py()
-        ids, own = part.column("id").to_numpy(), part.column("own").to_numpy()
+        task = part.column("task")[0].as_py()
+        ids, first = part.column("id").to_numpy(), part.column("first").to_numpy()
         x = _vectors(part.column("vector")).reshape(-1, d)
-        order = np.lexsort((ids, ~own))
-        ids, own, x = ids[order], own[order], x[order]
-        n = int(own.sum())
-        home = cover_tree(x, np.arange(n), 0, 2.0)
-        found = [dual(x, home, x, home, threshold, True)]
-        for start in range(n, len(ids), CELL_ROWS):
-            rows = np.arange(start, min(start + CELL_ROWS, len(ids)))
-            found.append(dual(x, home, x, cover_tree(x, rows, start, 2.0), threshold, False))
-        i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        order = np.lexsort((ids, ~first))
+        ids, x, n = ids[order], x[order], int(first.sum())
+        i = j = np.zeros(0, np.int64)
+        if task & 0xFFFFFF == (task >> 24) & 0xFFFFFF:
+            tree = cover_tree(x, np.arange(n), 0, 2.0)
+            i, j = dual(x, tree, x, tree, threshold, True)
+        elif 0 < n < len(ids):
+            i, j = dual(x, cover_tree(x, np.arange(n), 0, 2.0), x, cover_tree(x, np.arange(n, len(ids)), n, 2.0), threshold, False)
         i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
         cosine = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
         return pa.table({"vec_a": np.minimum(ids[i], ids[j]), "vec_b": np.maximum(ids[i], ids[j]), "similarity": np.round(cosine, 6)})
 
-    return units.mapInArrow(visits, "cell bigint, own boolean, id bigint, dimension int, vector binary").groupBy("cell").applyInArrow(compare, "vec_a bigint, vec_b bigint, similarity double")
+    return units.mapInArrow(visits, "task bigint, first boolean, id bigint, dimension int, vector binary").groupBy("task").applyInArrow(compare, "vec_a bigint, vec_b bigint, similarity double")
