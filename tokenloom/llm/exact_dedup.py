@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import _shared as S
 
-#: Bytes of a round's digit; the last width is repeated until all texts have ended.
+#: Bytes of a round's digit; beyond the last, each round takes four times the one before until all texts have ended.
 WIDTHS = (64, 2_048, 65_536, 1_048_576)
 
 
@@ -46,7 +46,7 @@ def equal_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     turn = 1
     table = None
     while True:
-        width = widths[min(turn, len(widths) - 1)]
+        width = widths[turn] if turn < len(widths) else widths[-1] * 4 ** (turn - len(widths) + 1)
         digits = rest.select("id", "parent", F.substring("rest", 1, width).alias("digit"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
         step = S.written(_split(digits, "parent", "digit").select("id", "name", "rest"), "radix")
         if table is not None:
@@ -76,10 +76,12 @@ def drop_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def drop_marked(docs: DataFrame, pairs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that ``pairs`` doesn't mark; an id marked as a copy of itself stays as one row. Rows with a null id stay."""
-    go = pairs.where(F.col(id_col) != F.col("duplicate_of")).select(F.col(id_col).alias("_go")).distinct()
-    stay = docs.join(go, docs[id_col] == F.col("_go"), "left_anti")
-    again = pairs.where(F.col(id_col) == F.col("duplicate_of")).select(F.col(id_col).alias("_go")).distinct()
+    name = S.free_name(docs, "_go")
+    key = F.col(id_col)
+    go = pairs.where(key != F.col("duplicate_of")).select(key.alias(name)).distinct()
+    stay = docs.join(go, docs[id_col] == go[name], "left_anti")
+    again = pairs.where(key == F.col("duplicate_of")).select(key.alias(name)).distinct()
     if again.isEmpty():
         return stay
-    once = stay.join(again, stay[id_col] == F.col("_go"), "left_semi").dropDuplicates([id_col, text_col])
-    return stay.join(again, stay[id_col] == F.col("_go"), "left_anti").unionByName(once)
+    once = stay.join(again, stay[id_col] == again[name], "left_semi").dropDuplicates([id_col, text_col])
+    return stay.join(again, stay[id_col] == again[name], "left_anti").unionByName(once)

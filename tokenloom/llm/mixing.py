@@ -68,12 +68,13 @@ def repeat_by_epochs(docs: DataFrame, epochs: Iterable[tuple[object, float, floa
     spark = docs.sparkSession
     columns = docs.columns
     kind = docs.schema[source_col].dataType.simpleString()
-    table = spark.createDataFrame([(s, e) for s, _, e in epochs], f"_source {kind}, _epochs double")
+    source, number = S.free_name(docs, "_source"), S.free_name(docs, "_epochs")
+    table = spark.createDataFrame([(s, e) for s, _, e in epochs], f"{source} {kind}, {number} double")
     table = F.broadcast(table) if len(epochs) <= 10_000 else table
     share = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    whole = F.floor(F.col("_epochs") + F.lit(1e-9))
-    times = (whole + F.when(share < F.col("_epochs") - whole, 1).otherwise(0)).cast("int")
-    joined = docs.join(table, docs[source_col].eqNullSafe(F.col("_source")))
+    whole = F.floor(F.col(number) + F.lit(1e-9))
+    times = (whole + F.when(share < F.col(number) - whole, 1).otherwise(0)).cast("int")
+    joined = docs.join(table, docs[source_col].eqNullSafe(F.col(source)))
     name = S.free_name(docs, copy_col or "copy")
     out = joined.where(times > 0).select(*[docs[c] for c in columns], F.explode(F.sequence(F.lit(1), times)).alias(name))
     return out if copy_col else out.drop(name)

@@ -194,5 +194,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` without near copies: one document of each group stays, and every document without signature."""
-    gone = near_groups(docs, id_col=id_col, text_col=text_col, radius=radius).select(F.col("id").alias("_go"))
-    return docs.join(gone, docs[id_col] == F.col("_go"), "left_anti")
+    name = S.free_name(docs, "_go")
+    gone = near_groups(docs, id_col=id_col, text_col=text_col, radius=radius).select(F.col("id").alias(name))
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
