@@ -128,6 +128,8 @@ def parse_html(page: str) -> tuple[Element, list[str]]:
                 if stack[k].tag == tag:
                     del stack[k:]
                     break
+                if tag not in BLOCK and stack[k].tag in BLOCK and tag not in ("body", "html"):
+                    break  # the end tag of an inline element doesn't end blocks inside it
                 if stack[k].tag in _CELLS and tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
                     break
             else:

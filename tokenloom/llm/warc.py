@@ -89,7 +89,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = files.mapInArrow(parse, "record string, uri string, header binary, payload binary, declared string")
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    declared_ok = F.when(F.lower("declared").startswith("sha256:"), F.lower(F.substring("declared", 8, 64)) == F.col("digest")).otherwise(F.lit(True))
+    declared_ok = F.when(F.lower("declared").rlike("^sha256:[0-9a-f]{64}$"), F.lower(F.substring("declared", 8, 64)) == F.col("digest")).otherwise(F.lit(True))
     return rows.select("record", "uri", "header", "payload", "digest", F.octet_length("payload").alias("size"), declared_ok.alias("declared_ok"))
 
 
