@@ -83,8 +83,8 @@ def net(x: np.ndarray, rows: np.ndarray, radius: float) -> list[tuple[int, np.nd
     return out
 
 
-def cover_tree(x: np.ndarray, rows: np.ndarray, centre: int, level: float) -> Node:
-    """Tree of ``rows``, all within ``level`` of ``centre``."""
+def cover_tree(x: np.ndarray, rows: np.ndarray, centre: int, level: float, reach: float = 2.0) -> Node:
+    """Tree of ``rows``, all within ``level`` of ``centre``. Levels above ``reach`` that would leave most rows in nodes of their own are skipped."""
     radius = float(distance(x[[centre]], x[rows]).max())
     node = Node(centre, radius, rows)
     if len(rows) <= LEAF or radius < 1e-7:
@@ -92,12 +92,23 @@ def cover_tree(x: np.ndarray, rows: np.ndarray, centre: int, level: float) -> No
     half = level / 2
     while half > radius:
         half /= 2
-    node.children = [cover_tree(x, part, c, half) for c, part in net(x, rows, half)]
+    parts = net(x, rows, half)
+    while half > reach and len(parts) > len(rows) / 4:
+        half /= 2
+        parts = net(x, rows, half)
+    node.children = sorted((cover_tree(x, part, c, half, reach) for c, part in parts), key=lambda c: c.radius)
     node.centres = np.array([c.centre for c in node.children])
     node.radii = np.array([c.radius for c in node.children])
     return node
 
 
+def _runs(radii: np.ndarray, size: int) -> list[slice]:
+    """Children, sorted by radius, in runs: points first, then balls, which are few, in small runs of like radii."""
+    points = int(np.searchsorted(radii, _SLACK, "right"))
+    cuts = [*range(0, points, size), *range(points, len(radii), 64), len(radii)]
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+
+
 def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``a`` and of ``b`` whose cosine is at least ``threshold``; each pair once where both are the same tree."""
     tau = np.sqrt(max(2 - 2 * threshold, 0)) + _SLACK
@@ -114,13 +125,12 @@ def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, threshold: float, same:
             continue
         ps, pc, pr = (p.children, p.centres, p.radii) if p.children else ([p], np.array([p.centre]), np.array([p.radius]))
         qs, qc, qr = (q.children, q.centres, q.radii) if q.children else ([q], np.array([q.centre]), np.array([q.radius]))
-        for start in range(0, len(ps), BLOCK):
-            part = slice(start, start + BLOCK)
-            cosine = x[pc[part]] @ y[qc].T
-            # first with the largest radii, then, for the few that are left, with their own
-            i, j = np.nonzero(cosine >= cosine_at(min(tau + pr[part].max() + qr.max(), 2.0)) - _SLACK)
-            fine = cosine[i, j] >= cosine_at(np.minimum(tau + pr[part][i] + qr[j], 2.0)) - _SLACK
-            i, j = i[fine] + start, j[fine]
+        for part, other in ((u, v) for u in _runs(pr, BLOCK) for v in _runs(qr, len(qs))):
+            cosine = x[pc[part]] @ y[qc[other]].T
+            # first with the largest radii of the run, then, for the few that are left, with their own
+            i, j = np.nonzero(cosine >= cosine_at(min(tau + pr[part][-1] + qr[other][-1], 2.0)) - _SLACK)
+            fine = cosine[i, j] >= cosine_at(np.minimum(tau + pr[part][i] + qr[other][j], 2.0)) - _SLACK
+            i, j = i[fine] + part.start, j[fine] + other.start
             if same and p is q:
                 i, j = i[i <= j], j[i <= j]
             stack.extend((ps[m], qs[n]) for m, n in zip(i.tolist(), j.tolist()))
@@ -206,10 +216,10 @@ def near_pairs(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
         ids, x, n = ids[order], x[order], int(first.sum())
         i = j = np.zeros(0, np.int64)
         if task & 0xFFFFFF == (task >> 24) & 0xFFFFFF:
-            tree = cover_tree(x, np.arange(n), 0, 2.0)
+            tree = cover_tree(x, np.arange(n), 0, 2.0, tau)
             i, j = dual(x, tree, x, tree, threshold, True)
         elif 0 < n < len(ids):
-            i, j = dual(x, cover_tree(x, np.arange(n), 0, 2.0), x, cover_tree(x, np.arange(n, len(ids)), n, 2.0), threshold, False)
+            i, j = dual(x, cover_tree(x, np.arange(n), 0, 2.0, tau), x, cover_tree(x, np.arange(n, len(ids)), n, 2.0, tau), threshold, False)
         i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
         cosine = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
         return pa.table({"vec_a": np.minimum(ids[i], ids[j]), "vec_b": np.maximum(ids[i], ids[j]), "similarity": np.round(cosine, 6)})
