@@ -250,3 +250,21 @@ def test_words():
     w = S.Words(pa.array(["ab  cd\n", None, "", "cd", " ab"]))
     assert [bytes(w.data[s:e]) for s, e in zip(w.start, w.end)] == [b"ab", b"cd", b"cd", b"ab"]
     assert w.hash[0] == w.hash[3] and w.hash[1] == w.hash[2] and w.first.tolist() == [0, 2, 2, 2, 3, 4]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 19), st.integers(0, 19)), max_size=40), st.integers(1, 9))
+def test_stars_connect_alike(edges, most):
+    steps = [(np.array([a]), np.array([b]), np.zeros(1)) for a, b in edges]
+    i, j = near_dedup._connect(iter(steps), 20, most)
+    root = {}
+
+    def label(pairs):
+        root.clear()
+        root.update((k, k) for k in range(20))
+        for _ in range(20):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return dict(root)
+
+    assert label(zip(i.tolist(), j.tolist())) == label(edges) and len(i) < 20

@@ -100,8 +100,8 @@ def _first_meeting(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return chosen == key
 
 
-def _meet(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
-    """Pairs within the radius of rows sorted by key; blocks of rows of one key are compared whole."""
+def _meet(key: np.ndarray, sig: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows within the radius, and their distances, of rows sorted by key; blocks of rows of one key are compared whole."""
     at, step = np.arange(len(key)), 0
     while True:
         step += 1
@@ -110,23 +110,59 @@ def _meet(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, radius: int) -> Ite
         if not len(at):
             return
         near = np.bitwise_count(sig[at] ^ sig[at + step]).sum(axis=1)
-        hit = at[near <= radius]
+        hit, far = at[near <= radius], near[near <= radius]
         if len(hit):
-            far = near[near <= radius]
             once = _first_meeting(key[hit], sig[hit], sig[hit + step])
-            x, y = ids[hit][once], ids[hit + step][once]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(far[once].astype(np.int32))], ["id_a", "id_b", "distance"])
+            yield hit[once], hit[once] + step, far[once]
 
 
-def hamming_pairs(signed: DataFrame, *, radius: int = RADIUS) -> DataFrame:
-    """All pairs of rows of ``(id, s0, s1)``, ids and signatures distinct, at most ``radius`` bits apart: ``(id_a, id_b, distance)``, ``id_a < id_b``."""
+def _stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each row to the first row of its component: as connected as the pairs, and at most n - 1."""
+    first = np.arange(n)
+    while True:
+        before = first.copy()
+        least = np.minimum(first[i], first[j])
+        np.minimum.at(first, i, least)
+        np.minimum.at(first, j, least)
+        first = first[first]
+        if (first == before).all():
+            on = np.flatnonzero(first != np.arange(n))
+            return on, first[on]
+
+
+def _connect(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_stars` of a stream of pairs; no more than about ``most`` are held."""
+    i = j = np.zeros(0, np.int64)
+    for a, b, _ in pairs:
+        i, j = np.concatenate([i, a]), np.concatenate([j, b])
+        if len(i) > most:
+            i, j = _stars(i, j, n)
+    return _stars(i, j, n) if len(i) else (i, j)
+
+
+def hamming_pairs(signed: DataFrame, *, radius: int = RADIUS, connect: bool = False) -> DataFrame:
+    """All pairs of rows of ``(id, s0, s1)``, ids and signatures distinct, at most ``radius`` bits apart: ``(id_a, id_b, distance)``, ``id_a < id_b``.
+
+    ``connect`` gives pairs that connect the same rows, but fewer: each task
+    finds all pairs of its keys and returns stars of their components, so that a
+    group of n near copies leaves edges in proportion to n, not to its square.
+    """
     if radius >= 3 * len(CHUNKS):
         raise ValueError(f"{len(CHUNKS)} chunks guarantee pairs up to {3 * len(CHUNKS) - 1} bits apart only")
     keys = []
     for c, (word, shift, width) in enumerate(CHUNKS):
         base = F.shiftrightunsigned(F.col(f"s{word}"), shift).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(c << 32))
         keys += [base] + [base.bitwiseXOR(F.lit(1 << j)) for j in range(width)]
-    listed = signed.select(F.explode(F.array(*keys)).alias("key"), "id", "s0", "s1").repartition("key").sortWithinPartitions("key")
+    tasks = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # one row becomes 134: spread the rows first
+    listed = signed.repartition(tasks).select(F.explode(F.array(*keys)).alias("key"), "id", "s0", "s1").repartition("key").sortWithinPartitions("key")
+
+    def found(key: np.ndarray, ids: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs = _meet(key, np.column_stack([s0, s1]).view(np.uint64), radius)
+        if connect:
+            i, j = _connect(pairs, len(key))
+            pairs = iter([(i, j, np.zeros(len(i)))] if len(i) else [])
+        for i, j, far in pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(far.astype(np.int32))], ["id_a", "id_b", "distance"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -143,11 +179,11 @@ def hamming_pairs(signed: DataFrame, *, radius: int = RADIUS) -> DataFrame:
                 continue  # the last key may go on in the next batch
             key, ids, s0, s1 = joined()
             cut = int(np.searchsorted(key, key[-1]))
-            yield from _meet(key[:cut], ids[:cut], np.column_stack([s0, s1])[:cut].view(np.uint64), radius)
+            yield from found(key[:cut], ids[:cut], s0[:cut], s1[:cut])
             held = [(key[cut:], ids[cut:], s0[cut:], s1[cut:])]
         if held:
             key, ids, s0, s1 = joined()
-            yield from _meet(key, ids, np.column_stack([s0, s1]).view(np.uint64), radius)
+            yield from found(key, ids, s0, s1)
 
     return listed.mapInArrow(meet, "id_a bigint, id_b bigint, distance int")
 
@@ -178,7 +214,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     equal = F.min("id").over(Window.partitionBy("s0", "s1"))
     named = S.written(signature_table(docs, id_col=id_col, text_col=text_col).distinct().select("id", "s0", "s1", equal.alias("rep")), "signatures")
-    pairs = hamming_pairs(named.where("id = rep").select("id", "s0", "s1"), radius=radius)
+    pairs = hamming_pairs(named.where("id = rep").select("id", "s0", "s1"), radius=radius, connect=True).select("id_a", "id_b").distinct()
     roots = components(pairs)
     found = named.select("id", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     # rows that repeat an id with other texts are one document: its groups are one
