@@ -89,6 +89,9 @@ class BPEDecoder(Decoder):
         return bound(tokens, all_of)
 
 
+_TO_LATIN = {ord(c): b for c, b in CHAR_BYTES.items()} | {c: 0xFFFE for c in range(0x80, 0x100) if chr(c) not in CHAR_BYTES}
+
+
 @component("decoder", "ByteLevel", add_prefix_space=True, trim_offsets=True, use_regex=True)
 class ByteLevel(Decoder):
     """Characters back to bytes, decoded over the whole sequence; alone, a token is decoded as Latin-1."""
@@ -100,7 +103,11 @@ class ByteLevel(Decoder):
         return [self.raw(t).decode("latin-1") for t in tokens]
 
     def decode(self, tokens: list[str]) -> str:
-        return b"".join(map(self.raw, tokens)).decode("utf-8", "replace")
+        try:
+            data = "".join(tokens).translate(_TO_LATIN).encode("latin-1")
+        except UnicodeEncodeError:  # characters outside of the alphabet
+            data = b"".join(map(self.raw, tokens))
+        return data.decode("utf-8", "replace")
 
     def column(self, tokens: Column) -> Column:
         alphabet = "\\x{21}-\\x{7E}\\x{A1}-\\x{AC}\\x{AE}-\\x{143}"

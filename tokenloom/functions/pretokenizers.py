@@ -72,6 +72,7 @@ class PreTokenizer:
         raise NotImplementedError
 
     def __call__(self, text: str) -> list[str]:
+        """Texts of the pieces, without places."""
         return [p.text for p in self.split(Aligned(text))]
 
     def column(self, c: Column) -> Column:
@@ -89,6 +90,9 @@ class _Matches(PreTokenizer):
     def split(self, text: Aligned) -> list[Aligned]:
         return [text.slice(*m.span()) for m in self.compiled.finditer(text.text)]
 
+    def __call__(self, text: str) -> list[str]:
+        return self.compiled.findall(text)
+
     def column(self, c: Column) -> Column:
         return F.regexp_extract_all(c, F.lit(self.java), F.lit(0))
 
@@ -132,6 +136,11 @@ class ByteLevel(_Matches):
         pieces = super().split(text) if self.use_regex else [text] if text.text else []
         return [ByteLevelNormalizer().apply(p) for p in pieces]
 
+    def __call__(self, text: str) -> list[str]:
+        if self.add_prefix_space and text and text[0] != " ":
+            text = " " + text
+        return [byte_encode(p) for p in (self.compiled.findall(text) if self.use_regex else [text] if text else [])]
+
     def column(self, c: Column) -> Column:
         if self.add_prefix_space:
             c = F.when((c != "") & ~c.startswith(" "), F.concat(F.lit(" "), c)).otherwise(c)

@@ -93,6 +93,7 @@ class Tokenizer:
         self.truncation, self.padding, self.encode_special_tokens = truncation, padding, encode_special_tokens
         self.added = AddedVocabulary(list(added_tokens), model.size(), model.vocabulary(), normalizer, encode_special_tokens)
         self.cache: dict[str, list[models.Token]] = {}
+        self.id_cache: dict[str, list[int]] = {}
 
     # definition
 
@@ -197,6 +198,20 @@ class Tokenizer:
     def sequence_ids(self, text: str, most: int | None = None) -> list[int]:
         """Ids alone; stops at the piece that reaches ``most``."""
         out: list[int] = []
+        if not self.added.tokens and self.pre_tokenizer is not None:
+            cached = self.id_cache
+            for piece in self.pre_tokenizer(self.normalizer(text) if self.normalizer else text):
+                found = cached.get(piece)
+                if found is None:
+                    found = [t.id for t in self.word(piece)]
+                    if self.model.cacheable and len(piece) <= LONGEST_CACHED:
+                        if len(cached) >= CACHED_WORDS:
+                            cached.clear()
+                        cached[piece] = found
+                out += found
+                if most is not None and len(out) >= most:
+                    return out[:most]
+            return out
         for piece, token in self.segments(Aligned(text)):
             if token:
                 out.append(token.id)
@@ -252,7 +267,10 @@ class Tokenizer:
 
     def decode(self, ids: list[int], skip_special: bool = True) -> str:
         """Unknown ids are left out, as are special tokens if asked; without a decoder tokens are joined by spaces."""
-        tokens = [t for t in map(self.id_to_token, ids) if t is not None and not (skip_special and self.added.is_special(t))]
+        if self.added.tokens:
+            tokens = [t for t in map(self.id_to_token, ids) if t is not None and not (skip_special and self.added.is_special(t))]
+        else:
+            tokens = [t for t in map(self.model.token_of, ids) if t is not None]
         return self.decoder.decode(tokens) if self.decoder else " ".join(tokens)
 
     def decode_stream(self, skip_special: bool = True) -> Any:
