@@ -60,7 +60,7 @@ class Vocabulary:
     """Ranks, the byte strings of ids, and encoders of pieces and texts."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.ranks, self.pattern = ranks, pattern
         self.pieces = regex.compile(pattern.replace(r"[^\s", "[^" + _WHITE).replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]"))
         size = max(ranks.values(), default=-1) + 1
         self.bytes = [b""] * size
@@ -71,6 +71,11 @@ class Vocabulary:
         self.starts = np.concatenate(([0], np.cumsum(lengths)))
         self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
 
+    @functools.cached_property
+    def encoding(self) -> tiktoken.Encoding:
+        """Built when first used: workers that only decode need none."""
+        return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+
     def text(self, text: str) -> list[int]:
         return self.encoding.encode_ordinary(text)
 
