@@ -142,6 +142,17 @@ def test_near_recall(spark):
     assert len(got & right) >= 0.9 * len(right) and not got - right
 
 
+def test_near_keeps_short_texts(spark):
+    """Distinct texts of one or two words have one word pair each and nothing in common."""
+    rng = random.Random(6)
+    texts = sorted({"".join(rng.choices("abcdefghij", k=6)) + (f" w{rng.randrange(10**6)}" if i % 2 else "") for i in range(3000)})
+    at, sig = near_dedup.signatures(pa.array(texts))
+    assert len(at) == len(texts) == len(np.unique(sig, axis=0))
+    assert min(np.bitwise_count(sig[:300, None] ^ sig[None, :300]).sum(axis=2)[np.triu_indices(300, 1)]) > near_dedup.RADIUS
+    df = spark.createDataFrame(list(enumerate([*texts[:400], texts[0].upper()])), "doc_id bigint, text string")
+    assert [tuple(r) for r in near_dedup.near_duplicates(df).collect()] == [(400, 0)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(12)]

@@ -1,8 +1,10 @@
 """MinHash near-dedup: a multi-index Hamming join of one-bit MinHash signatures.
 
 Signature: 128 MinHash functions of the set of word pairs of the lower-cased
-text, one bit of each minimum (b-bit minwise hashing, Li and Koenig, 2010).
-Sets of Jaccard similarity J differ in about ``128 * (1 - J) / 2`` bits.
+text, one bit of each minimum (b-bit minwise hashing, Li and Koenig, 2010). The
+bit is taken after a mix of the whole minimum: a bit of the minimum itself would
+hang on the lower bits of the winning word pair alone, and texts of one pair
+would share 256 signatures. Sets of Jaccard similarity J differ in about ``128 * (1 - J) / 2`` bits.
 
 Join: a signature is split into six chunks. By the pigeonhole principle two
 signatures within ``RADIUS`` = 17 bits have a chunk with at most two errors.
@@ -38,22 +40,22 @@ RADIUS = 17
 CHUNKS = tuple((word, shift, width) for word in (0, 1) for shift, width in ((0, 22), (22, 21), (43, 21)))
 
 _rng = np.random.default_rng(20101)
-_A = (_rng.integers(0, 1 << 32, BITS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
-_B = _rng.integers(0, 1 << 32, BITS, dtype=np.uint32)
+_A = _rng.integers(0, 1 << 64, BITS, dtype=np.uint64) | np.uint64(1)
+_B = _rng.integers(0, 1 << 64, BITS, dtype=np.uint64)
 
 
 def shingle_hashes(w: S.Words) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all word pairs, and the document of each; a lone word stands for itself."""
+    """64-bit hashes of all word pairs, and the document of each; a lone word stands for itself."""
     h, doc = w.hash, w.doc
     if not len(h):
-        return np.zeros(0, np.uint32), doc
+        return np.zeros(0, np.uint64), doc
     after = np.zeros(len(h), bool)
     after[:-1] = doc[1:] == doc[:-1]
     lone = np.diff(w.first)[doc] == 1
     following = np.roll(h, -1)
     both = S.mix(h * np.uint64(0xD6E8FEB86659FD93) + np.where(after, following, np.uint64(0)))
     keep = after | lone
-    return (both[keep] >> np.uint64(32)).astype(np.uint32), doc[keep]
+    return both[keep], doc[keep]
 
 
 def signatures(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +70,7 @@ def signatures(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         np.multiply(x, _A[k], out=values)
         values += _B[k]
         least = np.minimum.reduceat(values, start)
-        out[:, k // 64] |= ((least >> np.uint32(7)) & np.uint32(1)).astype(np.uint64) << np.uint64(k % 64)
+        out[:, k // 64] |= (S.mix(least) & np.uint64(1)) << np.uint64(k % 64)
     return doc[start], out
 
 
