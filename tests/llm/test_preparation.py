@@ -230,6 +230,32 @@ def test_html(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("css", "hidden"),
+    [
+        ("@media print{.main, nav{display:none}}", ""),
+        ("@media (max-width:600px){.main{display:none}} nav{display:none}", "nav"),
+        ("@media screen and (min-width:40em){.main{display:none}}", ".main"),
+        ("@media print, screen{nav{visibility:hidden}}", "nav"),
+        ("@media not print{nav{display:none}}", "nav"),
+        ("@media not all and (min-width:600px){nav{display:none}}", ""),
+        ("@media (400px <= width < 900px){nav{display:none}}@media (width>900px){.main{display:none}}", ".main"),
+        ("@media (orientation:portrait) or (prefers-color-scheme:dark){nav{display:none}}", ""),
+        ("@media (unheard-of:1) {nav{display:none}} @media not (unheard-of:1){.main{display:none}}", ""),
+        ("@supports (display:grid){@layer a{@media screen{nav{display:none}}}} @supports not (display:grid){.main{display:none}}", "nav"),
+        (".main{display:none}@media (min-width:600px){.main{display:block}}", ""),
+        (".main{display:none!important}.main{display:block}", ".main"),
+        ("@keyframes k{from{visibility:hidden}} @import 'x;{'; nav{content:'}';display:none", "nav"),
+        ("nav{@media print{display:none}} .main{@media screen{display:none}} nav{.main{color:red}}", ".main"),
+        (".main{backface-visibility:hidden}/* nav{display:none} */", ""),
+    ],
+)
+def test_html_rules_of_screens(css, hidden):
+    assert html_text.hiding_selectors([css]) == frozenset(hidden.split())
+    page = f"<style>{css}</style><style media=print>div{{display:none}}</style><style media='all'>i{{display:none}}</style><nav>n</nav><div class=main>m</div><i>i</i>"
+    assert html_text.page_text(page) == "\n".join(t for t, s in (("n", "nav"), ("m", ".main")) if s not in hidden.split())
+
+
 def test_html_frames(spark):
     deep = "<div>" * 3000 + "in" + "</div>" * 3000 + "out"
     rows = [(1, None, "x"), (2, "<p>a", "x"), (2, "<p>a", "x"), (None, "", "x"), (3, deep, "x"), (4, "<" * 5000 + '"' * 99 + "<a b='", "x")]

@@ -12,7 +12,10 @@ and footers too; nothing is judged by content.
 Not visible: the head, scripts, styles, templates, comments, fallback content
 of media, elements with the hidden attribute, ``display: none`` or
 ``visibility: hidden`` in their style or in a rule of the page for their tag,
-class or id, closed details but for the summary, and closed dialogs.
+class or id, closed details but for the summary, and closed dialogs. Of rules in
+at-rules and of style elements with a media attribute, those count that hold on
+a desktop screen (``SCREEN``); rules for print or small screens hide nothing.
+Where that can't be told (container queries, unknown features), text is kept.
 
 Cases: a null page has null text, an empty page or one without visible text an
 empty one. Elements deeper than ``DEEPEST`` become siblings, as in browsers;
@@ -35,12 +38,21 @@ from pyspark.sql import types as T
 from tokenloom.llm import _shared as S
 
 DEEPEST = 512
+#: The screen that media queries are asked about: what features without a range hold, and pixels and dots of those with one.
+SCREEN: dict[str, float | str] = {
+    "width": 1280.0, "height": 720.0, "device-width": 1280.0, "device-height": 720.0, "aspect-ratio": 1280 / 720, "device-aspect-ratio": 1280 / 720,
+    "resolution": 1.0, "-webkit-device-pixel-ratio": 1.0, "color": 8.0, "color-index": 0.0, "monochrome": 0.0, "grid": 0.0,
+    "orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "scripting": "enabled", "update": "fast",
+    "display-mode": "browser", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference", "forced-colors": "none",
+}
+_UNITS = {"": 1.0, "px": 1.0, "em": 16.0, "rem": 16.0, "in": 96.0, "cm": 96 / 2.54, "mm": 9.6 / 2.54, "pt": 96 / 72, "pc": 16.0, "dppx": 1.0, "x": 1.0, "dpi": 1 / 96, "dpcm": 2.54 / 96}
 
 _TOKEN = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|[!?/][^>]*+>)""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_NOTE = re.compile(r"/\*.*?\*/", re.S)
+_CSS = re.compile(r"""[^{};"'\\]++|[{};]|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?|\\.?""", re.S)
+_NOTE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_HIDING = {"display": ("none",), "visibility": ("hidden", "collapse"), "content-visibility": ("hidden",)}
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -152,7 +164,7 @@ def parse_html(page: str) -> tuple[Element, list[str]]:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             stop = end.start() if end else n
             element.children.append(page[at:stop])
-            if tag == "style":
+            if tag == "style" and on_screen(element.get().get("media", "")):
                 styles.append(page[at:stop])
             close = page.find(">", stop)
             at = n if close < 0 else close + 1
@@ -164,15 +176,146 @@ def parse_html(page: str) -> tuple[Element, list[str]]:
     return root, styles
 
 
+def _all(values: list[bool | None]) -> bool | None:
+    return False if False in values else None if None in values else True
+
+
+def _any(values: list[bool | None]) -> bool | None:
+    return True if True in values else None if None in values else False
+
+
+def _not(value: bool | None) -> bool | None:
+    return None if value is None else not value
+
+
+def _measure(text: str) -> float | None:
+    """A length in pixels, a resolution in dots a pixel, a ratio or a number."""
+    match = re.fullmatch(r"([-+]?(?:\d+\.?\d*|\.\d+))([a-z]*)(?:\s*/\s*(\d+\.?\d*))?", text)
+    if match is None or match[2] not in _UNITS or float(match[3] or 1) == 0:
+        return None
+    return float(match[1]) * _UNITS[match[2]] / float(match[3] or 1)
+
+
+def _feature(text: str) -> bool | None:
+    """Whether a media feature holds on :data:`SCREEN`; None if it isn't known."""
+    parts = [x.strip() for x in re.split(r"([<>]=?|=|:)", text)]
+    if len(parts) == 1:
+        have = SCREEN.get(text)
+        return None if have is None else have not in (0, "none", "no-preference")
+    if len(parts) == 3 and parts[1] == ":":
+        name, test = parts[0], "="
+        if name[:4] in ("min-", "max-"):
+            name, test = name[4:], ">=" if name[:3] == "min" else "<="
+        parts = [name, test, parts[2]]
+    if len(parts) not in (3, 5) or ":" in parts:
+        return None
+    values = [SCREEN.get(x, _measure(x)) if x in SCREEN or _measure(x) is not None else x for x in parts[::2]]
+    results = []
+    for x, test, y in zip(values, parts[1::2], values[1:]):
+        if test == "=":
+            results.append(x == y)
+        elif isinstance(x, str) or isinstance(y, str):
+            return None
+        else:
+            results.append({"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[test])
+    return _all(results) if any(x in SCREEN for x in parts[::2]) else None
+
+
+def _split_outside(text: str, separator: str) -> list[str]:
+    """``text`` cut at matches of ``separator`` that aren't in brackets."""
+    parts, depth, at = [], 0, 0
+    for match in re.finditer(rf"[()]|{separator}", text):
+        if match[0] == "(":
+            depth += 1
+        elif match[0] == ")":
+            depth -= 1
+        elif depth <= 0:
+            parts.append(text[at : match.start()])
+            at = match.end()
+    return [x.strip() for x in [*parts, text[at:]]]
+
+
+def _condition(text: str, deep: int = 0) -> bool | None:
+    for word, joined in (("and", _all), ("or", _any)):
+        parts = _split_outside(text, rf"(?<=[\s)]){word}(?=[\s(])")
+        if len(parts) > 1:
+            return joined([_condition(x, deep) for x in parts])
+    if re.match(r"not(?=[\s(])", text):
+        return _not(_condition(text[3:].strip(), deep))
+    if text[:1] != "(" or text[-1:] != ")" or deep > 32:
+        return None
+    inner = text[1:-1].strip()
+    return _condition(inner, deep + 1) if inner[:1] == "(" or re.match(r"not(?=[\s(])", inner) else _feature(inner)
+
+
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on :data:`SCREEN`; an empty one does, one that can't be read doesn't."""
+    media = _NOTE.sub(" ", media).strip().lower()
+    if not media:
+        return True
+    for query in _split_outside(media, ","):
+        match = re.match(r"(?:(not|only)\s+)?(?!(?:not|only|and|or)\b)([a-z-]+)(?:\s+and(?=[\s(])(.*))?$", query, re.S)
+        if match is None:
+            holds = _condition(query)
+        else:
+            holds = match[2] in ("all", "screen")
+            if match[3]:
+                holds = _all([holds, _all([_condition(match[3].strip())])])
+            if match[1] == "not":
+                holds = _not(holds)
+        if holds:
+            return True
+    return False
+
+
+def _applies(rule: str) -> bool:
+    """Whether the rules in a block at-rule hold on a screen, for all elements and at all times."""
+    name, rest = re.match(r"@([\w-]*)(.*)", rule, re.S).groups()
+    name = name.lower()
+    if name == "media":
+        return on_screen(rest)
+    return name == "layer" or (name == "supports" and not re.match(r"not\b", rest.strip(), re.I))
+
+
 def hiding_selectors(styles: list[str]) -> frozenset[str]:
-    """Simple selectors (tag, .class, #id) whose rules hide."""
-    out = set()
+    """Simple selectors (tag, .class, #id) that are hidden by the rules that hold on a screen; of rules with one selector the last counts."""
+    said: dict[tuple[str, str], tuple[bool, bool]] = {}
+
+    def declare(selectors: list[str], text: str) -> None:
+        name, _, value = text.partition(":")
+        name, (value, *flag) = name.strip().lower(), [x.strip().lower() for x in value.split("!")]
+        if name in _HIDING and value:
+            for s in selectors:
+                if flag == ["important"] or not said.get((s, name), (False, False))[1]:
+                    said[s, name] = value in _HIDING[name], flag == ["important"]
+
     for sheet in styles:
-        if "none" in sheet or "hidden" in sheet or "collapse" in sheet:
-            for selectors, body in _RULE.findall(_NOTE.sub("", sheet)):
-                if _GONE.search(body):
-                    out |= {s.strip().lower() if s.strip()[:1] not in ".#" else s.strip() for s in selectors.split(",")}
-    return frozenset(s for s in out if re.fullmatch(r"[.#]?[\w-]+", s))
+        low = sheet.lower()
+        if not ("none" in low or "hidden" in low or "collapse" in low):
+            continue
+        # of each open block: whether it holds, and the selectors that its declarations are of (None in lists of rules)
+        open_blocks: list[tuple[bool, list[str] | None]] = [(True, None)]
+        held: list[str] = []
+        for token in _CSS.findall(_NOTE.sub(" ", sheet)) + ["}"]:
+            if token not in ("{", "}", ";"):
+                held.append(token)
+                continue
+            text, held = "".join(held).strip(), []
+            holds, selectors = open_blocks[-1]
+            if token == "{":
+                if text[:1] == "@":
+                    open_blocks.append((holds and _applies(text), selectors))
+                elif selectors is None:
+                    names = [x.strip() for x in text.split(",")]
+                    open_blocks.append((holds, [x if x[:1] in ".#" else x.lower() for x in names if re.fullmatch(r"[.#]?[\w-]+", x)]))
+                else:
+                    open_blocks.append((False, []))  # a rule in a rule is of what lies in its elements
+                continue
+            if holds and selectors:
+                declare(selectors, text)
+            if token == "}" and len(open_blocks) > 1:
+                open_blocks.pop()
+    return frozenset(s for (s, _), (hides, _) in said.items() if hides)
 
 
 class Layout:
