@@ -256,6 +256,26 @@ def test_html_rules_of_screens(css, hidden):
     assert html_text.page_text(page) == "\n".join(t for t, s in (("n", "nav"), ("m", ".main")) if s not in hidden.split())
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a <math><mi>x</mi> <mo>=</mo> <mfrac><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><mn>2</mn></mfrac></math> b", "a x=(a+b)/2 b"),
+        ("<p>so<math display=block><semantics><msup><mi>e</mi><mn>2</mn></msup><annotation>e^2 tex</annotation></semantics></math>end", "so\ne^2\nend"),
+        ("<math><msqrt><mn>2</mn></msqrt><mtext> if <b>p</b></mtext><mphantom><mi>no</mi></mphantom></math>", "√(2) if p"),
+        ("<table><math><mi>x</mi></math><tr><td><math><msub><mi>y</mi><mi>i</mi></msub></math></table>", "x\ny_i"),
+        ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><rect/><g><text>L 1</text><text display=none>no</text><text><tspan x=1 dy=0>L</tspan><tspan x=1 dy='1.2em'>2</tspan></text></g></svg>b", "a\nL 1\nL\n2\nb"),
+        ("<p>a<svg><foreignObject><div>d<p>e</p></div></foreignObject><text>f<![CDATA[<&amp;]]></text></svg><p>g", "a\nd\n\ne\nf<&amp;\n\ng"),
+        ("<svg><switch><foreignObject><p>one</p></foreignObject><text>no</text></switch></svg>", "one"),
+        ("<svg><title/><g><circle r=1 /><text>in</text><p>out", "in\n\nout"),
+        ("<style>.h{display:none}</style><svg class=h><text>no</text></svg><svg visibility=hidden><text>no</text></svg>x", "x"),
+        ("a <map name=m><p>in <a href=x>map</a></p><area alt=no></map> b", "a\n\nin map\n\nb"),
+        ("a <svg viewBox='0 0 1 1'><path d='M0 0'/></svg>b", "a b"),
+    ],
+)
+def test_html_draws_formulas_labels_and_maps(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_html_frames(spark):
     deep = "<div>" * 3000 + "in" + "</div>" * 3000 + "out"
     rows = [(1, None, "x"), (2, "<p>a", "x"), (2, "<p>a", "x"), (None, "", "x"), (3, deep, "x"), (4, "<" * 5000 + '"' * 99 + "<a b='", "x")]

@@ -6,10 +6,13 @@ item, definition, option, cell, row or row group, end tags without a start, and
 elements left open. Rendering collapses white space within blocks, puts blocks
 on lines of their own and an empty line around those with margins, keeps
 preformatted text, numbers or bullets list items by their depth, and aligns the
-cells of tables in columns, spans included. All visible text is kept, navigation
+cells of tables in columns, spans included. Labels of SVG drawings stand on
+lines of their own, MathML formulas in one line (``(a+b)/2``, ``x_i^2``). All visible text is kept, navigation
 and footers too; nothing is judged by content.
 
-Not visible: the head, scripts, styles, templates, comments, fallback content
+Of SVG, definitions, titles, descriptions and metadata aren't drawn, nor
+annotations and phantoms of MathML. What SVG's use elements draw again isn't
+followed. Not visible: the head, scripts, styles, templates, comments, fallback content
 of media, elements with the hidden attribute, ``display: none`` or
 ``visibility: hidden`` in their style or in a rule of the page for their tag,
 class or id, closed details but for the summary, and closed dialogs. Of rules in
@@ -58,7 +61,7 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes audio video canvas object svg math datalist meta link base param source track area map rp".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes audio video canvas object datalist meta link base param source track area rp".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr menu dir listing xmp fieldset".split())
 BLOCK = MARGIN | frozenset("address article aside body center details dialog dd div dt figcaption footer form header hgroup html legend li main nav optgroup option search section select summary textarea caption thead tbody tfoot tr td th".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt listing xmp search".split())
@@ -79,6 +82,12 @@ IMPLIED = {
     "tfoot": (frozenset(("thead", "tbody", "tfoot", "caption", "colgroup")), _SECTION),
 }
 _CELLS = frozenset(("td", "th", "caption"))
+#: Elements of SVG and MathML that HTML may stand in, and start tags that end SVG and MathML elsewhere.
+INTEGRATION = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+FOREIGN = frozenset(("svg", "math"))
+#: SVG elements that are drawn where they stand; definitions, titles, descriptions and metadata aren't.
+SVG_GROUPS = frozenset("svg g a switch".split())
 
 
 class Element:
@@ -99,10 +108,20 @@ def _close(stack: list[Element], tags: frozenset[str], until: frozenset[str]) ->
         if stack[k].tag in tags:
             del stack[k:]
             return
-        if stack[k].tag in until:
+        if stack[k].tag in until or stack[k].tag in INTEGRATION:
             return
 
 
+def _foreign(stack: list[Element]) -> int:
+    """Place of the SVG or MathML root that the innermost element belongs to; 0 in HTML."""
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k].tag in FOREIGN:
+            return k
+        if stack[k].tag in INTEGRATION or stack[k].tag in BLOCK:
+            return 0
+    return 0
+
+
 _P, _P_UNTIL = frozenset(("p",)), frozenset(("table", "td", "th", "caption", "button", "object", "template"))
 _HEAD_ONLY = frozenset("head title meta link base style script noscript template html".split())
 
@@ -113,6 +132,7 @@ def parse_html(page: str) -> tuple[Element, list[str]]:
     stack = [root]
     styles: list[str] = []
     at, n = 0, len(page)
+    drawn = False  # whether there was SVG or MathML
     while at < n:
         start = page.find("<", at)
         if start < 0:
@@ -122,6 +142,11 @@ def parse_html(page: str) -> tuple[Element, list[str]]:
             if stack[-1].tag == "head" and not page[at:start].isspace():
                 stack.pop()
             stack[-1].children.append(page[at:start])
+        if drawn and page.startswith("<![CDATA[", start) and _foreign(stack):
+            stop = page.find("]]>", start)
+            stack[-1].children.append(html.escape(page[start + 9 : stop if stop >= 0 else n]))
+            at = stop + 3 if stop >= 0 else n
+            continue
         match = _TOKEN.match(page, start) or _LOOSE.match(page, start)
         if match is None:
             stack[-1].children.append("<")
@@ -142,6 +167,8 @@ def parse_html(page: str) -> tuple[Element, list[str]]:
                     break
                 if tag not in BLOCK and stack[k].tag in BLOCK and tag not in ("body", "html"):
                     break  # the end tag of an inline element doesn't end blocks inside it
+                if stack[k].tag in INTEGRATION and tag not in FOREIGN:
+                    break
                 if stack[k].tag in _CELLS and tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
                     break
             else:
@@ -152,15 +179,19 @@ def parse_html(page: str) -> tuple[Element, list[str]]:
             continue
         if stack[-1].tag == "head" and tag not in _HEAD_ONLY:
             stack.pop()
+        foreign = _foreign(stack) if drawn else 0
+        if foreign and tag in BREAKOUT:
+            del stack[foreign:]
+            foreign = 0
         if tag in CLOSES_P:
             _close(stack, _P, _P_UNTIL)
         if tag in IMPLIED:
             _close(stack, *IMPLIED[tag])
         element = Element(tag, match.group(3))
         stack[-1].children.append(element)
-        if tag in VOID:
+        if tag in VOID or (foreign and element.attributes.endswith("/")):
             continue
-        if tag in RAW:
+        if tag in RAW and (not foreign or tag in ("script", "style")):
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             stop = end.start() if end else n
             element.children.append(page[at:stop])
@@ -171,6 +202,7 @@ def parse_html(page: str) -> tuple[Element, list[str]]:
             continue
         if element.attributes.endswith("/") and tag in ("svg", "math", "path"):
             continue
+        drawn = drawn or tag in FOREIGN
         if len(stack) < DEEPEST:
             stack.append(element)
     return root, styles
@@ -388,6 +420,17 @@ class Renderer:
                 continue
             if tag == "wbr" or not self.visible(child):
                 continue
+            if tag == "math":
+                text = self.formula(child)
+                if child.attributes and child.get().get("display", "").lower() == "block":
+                    self.end(out, pre)
+                    out.add([text] if text else [], False)
+                else:
+                    out.held.append(text)
+                continue
+            if tag == "svg":
+                self.drawing(child, out, pre)
+                continue
             if tag not in BLOCK:
                 self.walk(child, out, pre)
                 continue
@@ -396,6 +439,84 @@ class Renderer:
             if tag == "hr":
                 out.gap = True
 
+    def shown(self, e: Element) -> bool:
+        """:meth:`visible` of an SVG element, which has attributes for it too."""
+        has = e.get() if e.attributes else {}
+        return self.visible(e) and has.get("display") != "none" and has.get("visibility") not in ("hidden", "collapse")
+
+    def drawing(self, e: Element, out: Layout, pre: bool) -> None:
+        """Labels and HTML of an SVG element, each on lines of its own; a switch shows one of its elements."""
+        if not self.shown(e):
+            return
+        children = [c for c in e.children if isinstance(c, Element)]
+        if e.tag == "switch":
+            children = ([c for c in children if "systemlanguage" not in c.get()] or children)[:1]
+        for child in children:
+            if child.tag in SVG_GROUPS:
+                self.drawing(child, out, pre)
+            elif child.tag == "foreignobject" and self.shown(child):
+                self.end(out, pre)
+                out.add(self.block(child), False)
+            elif child.tag == "text" and self.shown(child):
+                self.end(out, pre)
+                label = Layout()
+                self.label(child, label, child.get().get("y"))
+                label.flush()
+                out.add([x for x in label.lines if x], False)
+
+    def label(self, e: Element, out: Layout, y: str | None) -> str | None:
+        """Text of an SVG text element; parts at another height are other lines. Gives the height where it ends."""
+        for child in e.children:
+            if isinstance(child, str):
+                out.held.append(html.unescape(child).replace("\0", ""))
+            elif child.tag in ("tspan", "textpath", "a") and self.shown(child):
+                has = child.get()
+                if has.get("y", y) != y or _number(re.sub(r"[^\d-]|^-", "", has.get("dy", "0")), 0):
+                    out.held.append("\0")
+                elif "x" in has:
+                    out.held.append(" ")
+                y = self.label(child, out, has.get("y", y))
+        return y
+
+    def formula(self, e: Element) -> str:
+        """A MathML element on one line: fractions as a/b, scripts as a_b^c, roots as √(a), rows of tables apart by semicolons."""
+        tag = e.tag
+        if tag in ("mi", "mn", "mo", "ms", "mtext"):
+            inner = Layout()
+            self.walk(e, inner, False)
+            text = _SPACE.sub(" ", "".join(inner.held).replace("\0", " "))
+            text = " ".join([*inner.lines, text]) if inner.lines else text
+            return text if tag == "mtext" else text.strip(" ")
+        if tag == "mspace":
+            return " "
+        parts: list[str] = []
+        for child in e.children:
+            if isinstance(child, str):
+                text = _SPACE.sub(" ", html.unescape(child).replace("\0", "")).strip(" ")
+                parts += [text] if text else []
+            elif child.tag not in ("annotation", "annotation-xml", "mphantom") and self.visible(child):
+                if child.tag == "svg":
+                    inner = Layout()
+                    self.drawing(child, inner, False)
+                    parts.append(" ".join(inner.lines))
+                else:
+                    parts.append(self.formula(child))
+        if tag in ("semantics", "maction"):
+            return "".join(parts[:1])
+        if tag == "mtable":
+            return "; ".join(parts)
+        if tag in ("mtr", "mlabeledtr", "mmultiscripts"):
+            return " ".join(x for x in parts if x)
+        if tag == "msqrt":
+            return f"√({''.join(parts)})"
+        signs = {"mfrac": "/", "msub": "_", "munder": "_", "msup": "^", "mover": "^", "msubsup": "_^", "munderover": "_^", "mroot": "√"}.get(tag, "")
+        if not signs or len(parts) != len(signs) + 1:
+            return "".join(parts)
+        if tag == "mroot":
+            return f"{parts[1]}√({parts[0]})"
+        parts = [x if re.fullmatch(r"[\w.,]*|.", x) else f"({x})" for x in parts]
+        return parts[0] + "".join(sign + x for sign, x in zip(signs, parts[1:]))
+
     @staticmethod
     def end(out: Layout, pre: bool) -> None:
         if not pre:
@@ -479,6 +600,9 @@ class Renderer:
                     rows.append([child])
                 elif child.tag not in ("col", "colgroup"):
                     before.flush()
+                    if child.tag in FOREIGN:
+                        loose = Element("div")
+                        loose.children, child = [child], loose
                     before.add(self.block(child), False)
 
         collect(e)
