@@ -276,6 +276,13 @@ def test_html_draws_formulas_labels_and_maps(page, text):
     assert html_text.page_text(page) == text
 
 
+def test_html_long_lists_keep_their_numbers():
+    assert html_text.page_text("<ol start=2001><li>a<li>b<li value=123456>c<li>d</ol>") == "2001. a\n2002. b\n123456. c\n123457. d"
+    assert html_text.page_text("<ol start=-5000><li>a</ol>") == "-5000. a"
+    assert html_text.page_text(f"<ol start={'9' * 4300}><li>a<li>b</ol>") == "1. a\n2. b"
+    assert html_text.page_text("<table><tr><td colspan=99999999>a<td>b</table>").count("|") == 1
+
+
 def test_html_frames(spark):
     deep = "<div>" * 3000 + "in" + "</div>" * 3000 + "out"
     rows = [(1, None, "x"), (2, "<p>a", "x"), (2, "<p>a", "x"), (None, "", "x"), (3, deep, "x"), (4, "<" * 5000 + '"' * 99 + "<a b='", "x")]

@@ -381,11 +381,14 @@ class Layout:
         self.gap = margin
 
 
-def _number(text: str | None, default: int, most: int = 1000) -> int:
+def _number(text: str | None, default: int, most: int | None = None) -> int:
     try:
-        return max(min(int(str(text).strip()), most), -most)
+        number = int(str(text).strip())
     except ValueError:
         return default
+    if most is None:
+        return number if number.bit_length() < 4096 else default  # Python doesn't write numbers of any length
+    return max(min(number, most), -most)
 
 
 class Renderer:
@@ -615,7 +618,7 @@ class Renderer:
                 while taken.get(column, 0) > 0:
                     column += 1
                 has = cell.get() if cell.attributes else {}
-                wide, tall = max(1, _number(has.get("colspan"), 1)), max(1, _number(has.get("rowspan"), 1, 65_534))
+                wide, tall = max(1, _number(has.get("colspan"), 1, 1000)), max(1, _number(has.get("rowspan"), 1, 65_534))
                 line.append((column, wide, self.block(cell)))
                 for c in range(column, column + wide):
                     added[c] = tall
