@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tokenloom.llm import embedding_dedup, exact_dedup, near_dedup, suffix_dedup
+from tokenloom.llm import embedding_dedup, exact_dedup, near_dedup, queries, suffix_dedup
 from tokenloom.llm import _shared as S
 
 
@@ -65,6 +65,18 @@ def test_exact_repeated_id_with_other_texts(spark):
     assert [tuple(r) for r in exact_dedup.exact_duplicates(df).collect()] == [(5, 1)]
 
 
+def test_exact_keeps_groups_of_one_id_apart(spark, tmp_path):
+    """Groups that hold the same least id aren't mixed, neither in a round nor at the end."""
+    x, y, long = "x" * 64, "y" * 64, 3000
+    rows = [(1, x + "r" * long), (1, y + "s" * long), (2, x + "t" * long), (3, y + "t" * long)]
+    rows += [(7, "a"), (8, "a"), (7, "b"), (9, "b"), (7, x + "u" * 9), (10, x + "u" * 9), (7, x + "v" * 9), (11, x + "v" * 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, exact_dedup.exact_duplicates(df).collect())) == [(8, 7), (9, 7), (10, 7), (11, 7)]
+    assert {r["doc_id"] for r in exact_dedup.drop_exact(df).collect()} == {1, 2, 3, 7}
+    df.unionByName(df.where("doc_id = 7")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, queries.op5_exact_dedup(spark, str(tmp_path)).collect())) == [(8, 7), (9, 7), (10, 7), (11, 7)]
+
+
 def test_empty_tables(spark, corpus):
     empty = corpus.where("false")
     assert exact_dedup.exact_duplicates(empty).count() == 0 and exact_dedup.drop_exact(empty).count() == 0

@@ -3,8 +3,9 @@
 Documents are split recursively by successive bytes. A digit of a round is the
 next ``WIDTHS[r]`` bytes of a text; the first round also splits by the number
 of bytes, so that texts of one group end together. A group is named by its
-smallest document id, which needs no digest: two texts are equal exactly if
-they stay together until they end. Groups of one row leave at once. The first
+size, its first digit and the ranks of its later digits in their groups, which
+needs no digest and no distinct ids: two texts are equal exactly if they stay
+together until they end. Groups of one row leave at once. The first
 round moves ids and the first digit only; texts move when their first digit
 isn't unique, and each later round moves what remains of them.
 
@@ -26,29 +27,31 @@ from tokenloom.llm import _shared as S
 WIDTHS = (64, 2_048, 65_536, 1_048_576)
 
 
-def _split(rows: DataFrame, *key: str) -> DataFrame:
-    """Name the groups of equal ``key`` by their smallest id; groups of one row leave."""
-    group = Window.partitionBy(*key)
-    return rows.select("*", F.min("id").over(group).alias("name"), F.count(F.lit(1)).over(group).alias("n")).where("n > 1").drop("n")
+def _split(rows: DataFrame) -> DataFrame:
+    """Split the groups of ``parent`` by ``digit`` and name what results after the digit's rank; groups of one row leave."""
+    rank = F.dense_rank().over(Window.partitionBy("parent").orderBy("digit"))
+    named = rows.select("id", "rest", "parent", "digit", F.concat("parent", F.concat(F.lit("."), rank.cast("string")).cast("binary")).alias("name"))
+    return named.select("id", "rest", "name", F.count(F.lit(1)).over(Window.partitionBy("parent", "digit")).alias("n")).where("n > 1").drop("n")
 
 
 def equal_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """``(id, name)`` for each row whose text another row has too; ``name`` is the smallest id with that text."""
+    """``(id, name)`` for each row whose text another row has too; rows have one ``name`` exactly if they have one text."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("bytes")).where("id is not null and bytes is not null")
     first = base.select("id", F.octet_length("bytes").alias("size"), F.substring("bytes", 1, widths[0]).alias("digit"))
-    alike = _split(first, "size", "digit")
-    done = alike.where(F.col("size") <= widths[0]).select("id", "name")
-    longer = alike.where(F.col("size") > widths[0]).select("id", "size", "digit", "name").distinct()
+    alike = first.select("*", F.count(F.lit(1)).over(Window.partitionBy("size", "digit")).alias("n")).where("n > 1")
+    name = F.concat(F.concat(F.col("size").cast("string"), F.lit(":")).cast("binary"), F.col("digit"))
+    done = alike.where(F.col("size") <= widths[0]).select("id", name.alias("name"))
+    longer = alike.where(F.col("size") > widths[0]).select("id", "size", "digit").distinct()
     # the ids come once each; texts of repeated rows come again from the table
     texts = base.where(F.octet_length("bytes") > widths[0]).select("id", "bytes", F.octet_length("bytes").alias("size"), F.substring("bytes", 1, widths[0]).alias("digit"))
-    rest = longer.join(texts, ["id", "size", "digit"]).select("id", F.col("name").alias("parent"), F.expr(f"substring(bytes, {widths[0] + 1})").alias("rest"))
+    rest = longer.join(texts, ["id", "size", "digit"]).select("id", name.alias("parent"), F.expr(f"substring(bytes, {widths[0] + 1})").alias("rest"))
     turn = 1
     table = None
     while True:
         width = widths[turn] if turn < len(widths) else widths[-1] * 4 ** (turn - len(widths) + 1)
         digits = rest.select("id", "parent", F.substring("rest", 1, width).alias("digit"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
-        step = S.written(_split(digits, "parent", "digit").select("id", "name", "rest"), "radix")
+        step = S.written(_split(digits), "radix")
         if table is not None:
             S.drop_written(spark, table)
         table = step
@@ -64,8 +67,9 @@ def equal_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """``(doc_id, duplicate_of)`` of every row but one of each group of equal texts; ``duplicate_of`` is the smallest id of the group, which stays."""
     groups = equal_groups(docs, id_col=id_col, text_col=text_col, widths=widths)
-    again = F.row_number().over(Window.partitionBy("name").orderBy("id"))
-    return groups.select("id", "name", again.alias("k")).where("k > 1").select(F.col("id").alias(id_col), F.col("name").alias("duplicate_of"))
+    group = Window.partitionBy("name").orderBy("id")
+    found = groups.select("id", F.first("id").over(group).alias("least"), F.row_number().over(group).alias("k"))
+    return found.where("k > 1").select(F.col("id").alias(id_col), F.col("least").alias("duplicate_of"))
 
 
 def drop_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", widths: tuple[int, ...] = WIDTHS) -> DataFrame:

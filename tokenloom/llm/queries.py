@@ -46,7 +46,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whose whole text an earlier document has, with that document."""
-    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents")).where("doc_id <> duplicate_of")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
