@@ -228,6 +228,16 @@ def test_parse_begins_passages_alike(texts):
     assert sorted(cover) == [i for i in range(len(w.hash) - 5) if w.doc[i] == w.doc[i + 5]]
 
 
+def test_parse_of_a_text_beyond_2_to_24_words():
+    """Places of triggers have no limit: passages at the end of a very long text begin with phrases too."""
+    n = (1 << 24) + 300
+    text = bytearray(b"a " * n)
+    text[::2] = np.random.default_rng(1).integers(97, 123, n, dtype=np.uint8).tobytes()
+    p = suffix_dedup.Parse(pa.array([bytes(text)], pa.binary()), 50, 6, 40)
+    assert p.low.min() >= 0 and p.high.max() < 40 and (np.diff(p.at) > 0).all()
+    assert int((p.high - p.low + 1).sum()) == n - 49 and p.at[-1] > 1 << 24
+
+
 def test_span_is_checked(corpus):
     with pytest.raises(ValueError):
         suffix_dedup.repeated_passages(corpus, length=10, gram=6, span=9)

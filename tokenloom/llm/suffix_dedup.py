@@ -58,13 +58,15 @@ def _window(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _sliding_least(x: np.ndarray, span: int) -> np.ndarray:
-    """Least of each ``span`` successive values, by doubling."""
-    have, out = 1, x
+    """Places of the least of each ``span`` successive values (leftmost of equals), by doubling."""
+    have, least, place = 1, x, np.arange(len(x))
     while have < span:
         step = min(have, span - have)
-        out = np.minimum(out[:-step], out[step:])
+        later = least[step:] < least[:-step]
+        least = np.where(later, least[step:], least[:-step])
+        place = np.where(later, place[step:], place[:-step])
         have += step
-    return out
+    return place
 
 
 class Parse:
@@ -80,13 +82,12 @@ class Parse:
             return
         place = np.arange(n - gram + 1)
         rolled = _window(self.sums, place, place + gram)
-        packed = (rolled >> np.uint64(24) << np.uint64(24)) | place.astype(np.uint64)
-        least = _sliding_least(packed, span)
+        least = _sliding_least(rolled, span)
         begin = np.arange(n - length + 1)
         begin = begin[w.doc[begin] == w.doc[begin + length - 1]]
         if not len(begin):
             return
-        trigger = (least[begin] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        trigger = least[begin]
         new = np.flatnonzero(np.concatenate(([True], trigger[1:] != trigger[:-1])))
         last = np.concatenate((new[1:], [len(begin)])) - 1
         self.at = trigger[new]
