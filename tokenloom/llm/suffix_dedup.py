@@ -1,4 +1,4 @@
-"""Suffix-array dedup by prefix-free parsing: every passage of ``LENGTH`` words that occurs twice.
+"""Suffix dedup by windows around triggers: every passage of ``LENGTH`` words that occurs twice.
 
 Symbols are words (text between white space). A rolling hash of ``GRAM`` words
 sets triggers: of each ``SPAN`` successive positions the one with the least hash
@@ -6,12 +6,14 @@ sets triggers: of each ``SPAN`` successive positions the one with the least hash
 of ``LENGTH`` words holds first depends on the passage alone, so all its
 occurrences are cut alike, and a phrase has less than ``SPAN`` words.
 
-As in prefix-free parsing (Boucher et al., 2019), the order of the corpus'
-suffixes is put together from two parts. A suffix begins with the rest of a
-phrase, c words long, up to its trigger; it goes on as a suffix of the parse
-that begins with a phrase. Parse suffixes are sorted by their words as far as a
-passage can reach, once for each phrase beginning, and their common prefixes
-with their neighbours in that order are counted. Two passages are equal exactly
+Triggers and phrases are those of prefix-free parsing (Boucher et al., 2019),
+but no dictionary of phrases, no parse and no suffix array of either is built,
+and the corpus' suffixes get no order. A passage begins with the rest of a
+phrase, c words long, up to its trigger; it goes on as the text from there, here
+called a parse suffix. Parse suffixes are grouped by a hash of their first
+``LENGTH - SPAN + 1`` words and sorted in their group, by their words as far as
+a passage can reach, and their common prefixes with their neighbours in that
+order are counted. Two passages are equal exactly
 if they have the same rest of phrase and their parse suffixes share at least
 ``LENGTH - c`` words, that is, no smaller common prefix lies between them in the
 sorted order. Nothing is sorted for the positions inside phrases.
