@@ -1,5 +1,6 @@
 """Exact, near, suffix and embedding dedup against brute force; nulls, ties, repeats, empty tables."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -47,7 +48,7 @@ def groups_of(rows):
     return by
 
 
-@pytest.mark.parametrize("widths", [exact_dedup.WIDTHS, (2, 3, 5)])
+@pytest.mark.parametrize("widths", [exact_dedup.WIDTHS, (2, 90, 1200)])
 def test_exact(corpus, widths):
     rows = corpus.collect()
     want = Counter((i, min(ids)) for ids in groups_of(rows).values() for i in sorted(ids)[1:])
@@ -63,6 +64,31 @@ def test_exact(corpus, widths):
 def test_exact_repeated_id_with_other_texts(spark):
     df = spark.createDataFrame([(1, "a" * 100), (5, "a" * 100), (5, "b" * 100)], "doc_id bigint, text string")
     assert [tuple(r) for r in exact_dedup.exact_duplicates(df).collect()] == [(5, 1)]
+    assert sorted(map(tuple, exact_dedup.drop_exact(df).collect())) == [(1, "a" * 100), (5, "b" * 100)]
+
+
+def test_exact_hot_groups(spark):
+    """A hundred thousand equal texts, ids that are strings, and groups too large for a broadcast."""
+    rows = spark.range(100_000).select(F.concat(F.lit("d"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("doc_id"), F.when(F.col("id") % 1000 == 1, F.repeat(F.col("id").cast("string"), 30)).otherwise(F.repeat(F.lit("hot"), 40)).alias("text"))
+    rows = rows.unionByName(rows.where("doc_id < 'd000500'"))
+    got = exact_dedup.exact_duplicates(rows, most=100, hot_rows=1000)
+    n, least, most, ids = got.agg(F.count(F.lit(1)), F.min("duplicate_of"), F.max("duplicate_of"), F.countDistinct("doc_id")).first()
+    assert (n, ids, least, most) == (100_500 - 101, 99_901, "d000000", "d000001")
+    kept = exact_dedup.drop_exact(rows, most=100, hot_rows=1000)
+    assert kept.count() == 101 and kept.where("doc_id = 'd000000'").count() == 1
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, corpus, tmp_path):
+    """Operators delete their tables but for those that results read, and ``clean`` deletes those."""
+    folder = S.checkpoint_dir(spark)[len("file://") :]
+    S.clean(spark)
+    assert not [f for f in os.listdir(folder) if "-" in f and len(f.rsplit("-", 1)[1]) == 32]
+    few = corpus.limit(40)
+    for make in (exact_dedup.drop_exact, near_dedup.drop_near, suffix_dedup.repeated_passages):
+        make(few).count()
+        assert len(S._paths) <= 8
+        S.clean(spark)
+    assert not [f for f in os.listdir(folder) if len(f.rsplit("-", 1)[-1]) == 32]
 
 
 def test_exact_keeps_groups_of_one_id_apart(spark, tmp_path):
@@ -134,10 +160,29 @@ def test_near_groups(corpus):
     for (a, b), _ in brute_pairs(ids, sig, near_dedup.RADIUS).items():
         a, b = sorted((find(a), find(b)))
         root[b] = a
-    want = {(i, find(i)) for i in ids if find(i) != i}
-    assert set(map(tuple, near_dedup.near_duplicates(corpus).collect())) == want
-    kept = near_dedup.drop_near(corpus.withColumn("_go", F.lit(1)))
-    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in corpus.collect()} - {i for i, _ in want}
+    far = np.bitwise_count(sig[:, None] ^ sig[None, :]).sum(axis=2)
+    links = (far <= near_dedup.RADIUS).sum(axis=1) - 1
+    want = Counter((i, find(i), int(n)) for i, n in zip(ids, links) if n)
+    assert Counter(map(tuple, near_dedup.near_duplicates(corpus).collect())) == want
+    kept = near_dedup.drop_near(corpus.withColumn("_go", F.lit(1)).withColumn("_id", F.lit(2)))
+    assert kept.columns == [*corpus.columns, "_go", "_id"]
+    left = Counter(r["doc_id"] for r in corpus.collect()) - Counter(i for i, r, _ in want if i != r)
+    left[3] = 1  # its rows are alike
+    assert Counter(r["doc_id"] for r in kept.collect()) == left
+    named = corpus.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 4, "0")))
+    assert Counter(map(tuple, near_dedup.near_duplicates(named).collect())) == Counter({(f"d{i:04}", f"d{r:04}", n): k for (i, r, n), k in want.items()})
+
+
+def test_near_repeated_ids(spark):
+    """Rows are told apart by their signatures: a text that only one row has stays, whatever else has its id."""
+    rng = random.Random(12)
+    a, b, c = (" ".join(words(rng, 80, 5000)) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, None), (7, c), (7, c), (8, c + " x"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(map(tuple, near_dedup.drop_near(df).collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (5, None), (7, c), (None, a)], key=str)
+    kept = sorted(map(tuple, exact_dedup.drop_exact(df).collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (5, None), (7, c), (8, c + " x"), (None, a)], key=str)
 
 
 def test_near_recall(spark):
@@ -149,7 +194,7 @@ def test_near_recall(spark):
         copy = [f"z{rng.randrange(9999)}" if rng.random() < 0.04 else x for x in w]
         texts += [" ".join(w), " ".join(copy)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = set(map(tuple, near_dedup.near_duplicates(df).collect()))
+    got = {(r["doc_id"], r["duplicate_of"]) for r in near_dedup.near_duplicates(df).collect() if r["links"] and r["doc_id"] != r["duplicate_of"]}
     right = {(2 * i + 1, 2 * i) for i in range(120)}
     assert len(got & right) >= 0.9 * len(right) and not got - right
 
@@ -162,7 +207,7 @@ def test_near_keeps_short_texts(spark):
     assert len(at) == len(texts) == len(np.unique(sig, axis=0))
     assert min(np.bitwise_count(sig[:300, None] ^ sig[None, :300]).sum(axis=2)[np.triu_indices(300, 1)]) > near_dedup.RADIUS
     df = spark.createDataFrame(list(enumerate([*texts[:400], texts[0].upper()])), "doc_id bigint, text string")
-    assert [tuple(r) for r in near_dedup.near_duplicates(df).collect()] == [(400, 0)]
+    assert sorted(map(tuple, near_dedup.near_duplicates(df).collect())) == [(0, 0, 1), (400, 0, 1)]
 
 
 def test_components(spark):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that separate words; the same set is written as a regex for SQL.
 SPACES = b" \t\n\r\f\v"
@@ -20,20 +24,25 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 
+#: Paths of tables that weren't deleted yet.
+_paths: dict[str, SparkSession] = {}
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that all executors share.
+    """The folder for tables that all executors share: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a folder of this machine is set.
+    Only where that is unset and the master is this process alone, as in local
+    tests, a folder of this machine is set. Elsewhere an unset folder is an error.
     """
     sc = spark.sparkContext
     have = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if have is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="tokenloom-")
         sc.setCheckpointDir(have)
     elif sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -42,24 +51,72 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table in the shared folder; :func:`clean` deletes what is there."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _paths:
+        atexit.register(_clean_at_exit)
+    _paths[path] = spark
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives executors."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives executors.
+
+    Operators drop such tables as soon as nothing reads them any longer. Those
+    that a returned DataFrame reads stay until :func:`clean` or the end of the
+    driver's Python process.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing reads any longer."""
+def _delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(conf).delete(there, True)
+
+
+def drop_written(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing reads any longer."""
+    for table in tables:
+        _paths.pop(table._written_at, None)
+        _delete(spark, table._written_at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that the operators keep in the shared folder; results that weren't used yet can't be read afterwards."""
+    while _paths:
+        _delete(spark, _paths.popitem()[0])
+
+
+def _clean_at_exit() -> None:
+    for path, spark in list(_paths.items()):
+        with contextlib.suppress(Exception):  # the session may have been stopped
+            _delete(spark, path)
+
+
+def bytes_of(df: DataFrame, *columns: str) -> tuple[int, int]:
+    """Rows of a table, and about the bytes that they take in memory: ``columns`` of texts or bytes as they are, 64 for the rest of a row."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in columns), F.lit(64).cast("bigint"))
+    n, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return n, total or 0
+
+
+def integer_ids(docs: DataFrame, id_col: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a bigint column ``name`` in the order of ``id_col``, null where that is.
+
+    Integers are taken as they are. Ids of other types are numbered in their
+    order; the numbers' table ``(name, id)`` is written and comes second.
+    """
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return docs.withColumn(name, F.col(id_col).cast("bigint")), None
+    distinct = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    names = written(distinct.orderBy("id").select(F.monotonically_increasing_id().alias(name), "id"), "ids")
+    return docs.join(names.withColumnRenamed("id", "_id_" + name), docs[id_col] == F.col("_id_" + name), "left").drop("_id_" + name), names
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -87,7 +144,11 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Limit what goes to Python at once to ``BATCH_BYTES``, where the session leaves Spark's default of 64 MB."""
+    """Limit what goes to Python at once to ``BATCH_BYTES``, where the session leaves Spark's default of 64 MB.
+
+    This is for applications, such as the registered queries and the pipeline;
+    operators leave the session's settings alone.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name) in ("67108864b", "64MB", "64m"):
         spark.conf.set(name, str(BATCH_BYTES))
@@ -163,7 +224,3 @@ class Words:
             total = np.zeros(n + 1, np.uint64)
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
             self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start])
-
-
-def repo_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

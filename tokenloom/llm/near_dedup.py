@@ -11,15 +11,20 @@ signatures within ``RADIUS`` = 17 bits have a chunk with at most two errors.
 Each side lists its chunk and all chunks one error away; two chunks share a
 listed value exactly if at most two errors part them. So every pair within the
 radius meets, none is missed, and no list or group is capped. A pair that meets
-several times is kept where it meets first. Equal signatures are joined as one
-beforehand, which keeps large groups of copies linear.
+several times is counted where it meets first. Equal signatures are one class
+with a number of rows beforehand, which keeps large groups of copies linear.
 
-Groups are connected components of the pairs, by alternating large-star and
-small-star steps (Kiveris et al., 2014); the smallest id stays.
+A task that finds pairs returns no pairs, but how many rows each class is linked
+to, and stars that connect what it found. Groups are connected components of
+those, by alternating large-star and small-star steps (Kiveris et al., 2014);
+the smallest id stays.
 
 Cases: a null text, a text without words and a row with a null id have no
 signature and are in no group. A text of one word has that word as its set.
-Rows that repeat an id are one document. Empty tables give empty tables.
+Ids may be of any type with an order. Rows that repeat an id are told apart by
+their signatures: a row without near copies stays whatever other rows have its
+id, and of rows with one id in one group one stays. Empty tables give empty
+tables.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenloom.llm import _shared as S
 
@@ -75,9 +81,7 @@ def signatures(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, s0, s1)`` of every document that has words."""
-
-    S.small_batches(docs.sparkSession)
+    """``(id, s0, s1)`` of every document that has words; ids are integers."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in S.slices(batches, "t"):
@@ -98,7 +102,7 @@ def _first_meeting(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = e & (~e + np.uint64(1))
         errors = np.bitwise_count(e)
         value = np.where(errors < 2, x & y, np.minimum(x ^ low, y ^ low))
-        chosen = np.where(errors <= 2, value.view(np.int64) | (c << 32), chosen)
+        chosen = np.where(errors <= 2, value.view(np.int64) | (c << 22), chosen)
     return chosen == key
 
 
@@ -142,52 +146,87 @@ def _connect(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int,
     return _stars(i, j, n) if len(i) else (i, j)
 
 
-def hamming_pairs(signed: DataFrame, *, radius: int = RADIUS, connect: bool = False) -> DataFrame:
-    """All pairs of rows of ``(id, s0, s1)``, ids and signatures distinct, at most ``radius`` bits apart: ``(id_a, id_b, distance)``, ``id_a < id_b``.
+def _listed(signed: DataFrame, *extra: str) -> DataFrame:
+    """Each signature under its six chunks and all chunks one error away, in the partition of the ``key`` and sorted by it.
 
-    ``connect`` gives pairs that connect the same rows, but fewer: each task
-    finds all pairs of its keys and returns stars of their components, so that a
-    group of n near copies leaves edges in proportion to n, not to its square.
+    ``key`` has the chunk's number above 22 bits of its value, and 38 bits below
+    for the number of rows ``n`` that have the signature.
     """
-    if radius >= 3 * len(CHUNKS):
-        raise ValueError(f"{len(CHUNKS)} chunks guarantee pairs up to {3 * len(CHUNKS) - 1} bits apart only")
     keys = []
     for c, (word, shift, width) in enumerate(CHUNKS):
-        base = F.shiftrightunsigned(F.col(f"s{word}"), shift).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(c << 32))
+        base = F.shiftrightunsigned(F.col(f"s{word}"), shift).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(c << 22))
         keys += [base] + [base.bitwiseXOR(F.lit(1 << j)) for j in range(width)]
+    rows = F.col("n").cast("bigint") if "n" in signed.columns else F.lit(1)
     tasks = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # one row becomes 134: spread the rows first
-    listed = signed.repartition(tasks).select(F.explode(F.array(*keys)).alias("key"), "id", "s0", "s1").repartition("key").sortWithinPartitions("key")
+    listed = signed.repartition(tasks).select(F.explode(F.array(*keys)).alias("key"), rows.alias("n"), "s0", "s1", *extra)
+    packed = listed.select(F.shiftleft("key", 38).bitwiseOR(F.col("n")).alias("key"), "s0", "s1", *extra)
+    return packed.repartition(F.shiftrightunsigned("key", 38)).sortWithinPartitions("key")
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of successive rows, sorted by the chunk in ``key``; all rows of a chunk come together."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for b in batches:
+        part = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
+        if not len(part[0]):
+            continue
+        held.append(part)
+        if part[0][0] >> 38 == part[0][-1] >> 38:
+            continue  # the last chunk may go on in the next batch
+        columns = [np.concatenate(x) for x in zip(*held)]
+        chunk = columns[0] >> 38
+        cut = int(np.searchsorted(chunk, chunk[-1]))
+        yield [x[:cut] for x in columns]
+        held = [tuple(x[cut:] for x in columns)]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def hamming_pairs(signed: DataFrame, *, radius: int = RADIUS) -> DataFrame:
+    """All pairs of rows of ``(id, s0, s1)``, ids and signatures distinct, at most ``radius`` bits apart: ``(id_a, id_b, distance)``, ``id_a < id_b``."""
+    _check(radius)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, s0, s1, ids in _whole_keys(batches):
+            for i, j, far in _meet(key >> 38, np.column_stack([s0, s1]).view(np.uint64), radius):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(far.astype(np.int32))], ["id_a", "id_b", "distance"])
+
+    return _listed(signed, "id").mapInArrow(meet, "id_a bigint, id_b bigint, distance int")
 
-    def found(key: np.ndarray, ids: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pairs = _meet(key, np.column_stack([s0, s1]).view(np.uint64), radius)
-        if connect:
-            i, j = _connect(pairs, len(key))
-            pairs = iter([(i, j, np.zeros(len(i)))] if len(i) else [])
-        for i, j, far in pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(far.astype(np.int32))], ["id_a", "id_b", "distance"])
+
+def _check(radius: int) -> None:
+    if radius >= 3 * len(CHUNKS):
+        raise ValueError(f"{len(CHUNKS)} chunks guarantee pairs up to {3 * len(CHUNKS) - 1} bits apart only")
+
+
+def hamming_links(classes: DataFrame, *, radius: int = RADIUS) -> DataFrame:
+    """Of distinct signatures ``(s0, s1, n)``: rows ``(s0, s1, t0, t1, links)``.
+
+    Those with ``links`` say how many rows near signatures have (to be summed
+    over rows); the others are pairs that connect the same signatures as all
+    pairs within the radius do, at most one for each row that a task gets.
+    """
+    _check(radius)
+    names = ["s0", "s1", "t0", "t1", "links"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        for key, s0, s1 in _whole_keys(batches):
+            links = np.zeros(len(key), np.int64)
+            rows = key & ((1 << 38) - 1)
 
-        def joined() -> list[np.ndarray]:
-            return [np.concatenate(x) for x in zip(*held)]
+            def counted(pairs: Iterator[tuple[np.ndarray, ...]], links: np.ndarray = links, rows: np.ndarray = rows) -> Iterator[tuple[np.ndarray, ...]]:
+                for i, j, far in pairs:
+                    np.add.at(links, i, rows[j])
+                    np.add.at(links, j, rows[i])
+                    yield i, j, far
 
-        for b in batches:
-            part = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if not len(part[0]):
-                continue
-            held.append(part)
-            if part[0][0] == part[0][-1]:
-                continue  # the last key may go on in the next batch
-            key, ids, s0, s1 = joined()
-            cut = int(np.searchsorted(key, key[-1]))
-            yield from found(key[:cut], ids[:cut], s0[:cut], s1[:cut])
-            held = [(key[cut:], ids[cut:], s0[cut:], s1[cut:])]
-        if held:
-            key, ids, s0, s1 = joined()
-            yield from found(key, ids, s0, s1)
+            i, j = _connect(counted(_meet(key >> 38, np.column_stack([s0, s1]).view(np.uint64), radius)), len(key))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s0[i], s1[i], s0[j], s1[j])] + [pa.nulls(len(i), pa.int64())], names)
+                on = np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays([pa.array(s0[on]), pa.array(s1[on]), *[pa.nulls(len(on), pa.int64())] * 2, pa.array(links[on])], names)
 
-    return listed.mapInArrow(meet, "id_a bigint, id_b bigint, distance int")
+    return _listed(classes).mapInArrow(meet, "s0 bigint, s1 bigint, t0 bigint, t1 bigint, links bigint")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -207,31 +246,81 @@ def components(pairs: DataFrame) -> DataFrame:
         S.drop_written(spark, edges)
         edges = turned
         if state == seen:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            out = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            out._written_at = edges._written_at
+            return out
         seen = state
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``(id, root)`` of every document in a group of near copies, but for the one with the group's smallest id."""
+def near_groups(docs: DataFrame, *, id_col: str = "id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``(id, s0, s1, root, links)`` of every row in a group of near copies; ids are integers, ``root`` is the group's smallest, ``links`` the number of other rows within the radius."""
     spark = docs.sparkSession
-    equal = F.min("id").over(Window.partitionBy("s0", "s1"))
-    named = S.written(signature_table(docs, id_col=id_col, text_col=text_col).distinct().select("id", "s0", "s1", equal.alias("rep")), "signatures")
-    pairs = hamming_pairs(named.where("id = rep").select("id", "s0", "s1"), radius=radius, connect=True).select("id_a", "id_b").distinct()
-    roots = components(pairs)
-    found = named.select("id", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
-    # rows that repeat an id with other texts are one document: its groups are one
-    out = S.written(found.where("id <> root").groupBy("id").agg(F.min("root").alias("root")), "near")
-    S.drop_written(spark, named)
+    signed = S.written(signature_table(docs, id_col=id_col, text_col=text_col), "signatures")
+    counted = signed.groupBy("s0", "s1").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    classes = S.written(counted.withColumn("class", F.monotonically_increasing_id()), "classes")
+    found = S.written(hamming_links(classes, radius=radius), "links")
+    links = found.where("links is not null").groupBy("s0", "s1").agg(F.sum("links").alias("links"))
+    stars = found.where("links is null").select("s0", "s1", "t0", "t1").distinct()
+    ends = classes.select("s0", "s1", F.col("class").alias("id_a"))
+    others = classes.select(F.col("s0").alias("t0"), F.col("s1").alias("t1"), F.col("class").alias("id_b"))
+    roots = components(stars.join(ends, ["s0", "s1"]).join(others, ["t0", "t1"]).select("id_a", "id_b"))
+    # classes that are linked or have several rows
+    linked = classes.join(links, ["s0", "s1"], "left").where("links is not null or n > 1")
+    linked = linked.join(roots.select(F.col("id").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    linked = S.written(linked.select("s0", "s1", "least", "root", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("least"))
+    named = linked.drop("least").join(least, "root").select("s0", "s1", F.col("least").alias("root"), "links")
+    out = S.written(signed.join(named, ["s0", "s1"]).select("id", "s0", "s1", "root", "links"), "near")
+    S.drop_written(spark, signed, classes, found, roots, linked)
     return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, duplicate_of)``: each near copy with the document of its group that stays."""
-    return near_groups(docs, id_col=id_col, text_col=text_col, radius=radius).select(F.col("id").alias(id_col), F.col("root").alias("duplicate_of"))
+    """``(doc_id, duplicate_of, links)``: every row of a group of near copies, with the document of its group that stays and the number of other rows within the radius. Rows without near copies aren't listed."""
+    key = S.free_name(docs, "_id")
+    numbered, names = S.integer_ids(docs, id_col, key)
+    found = near_groups(numbered, id_col=key, text_col=text_col, radius=radius).select("id", "root", "links")
+    if names is not None:
+        for column in ("id", "root"):
+            found = found.join(names.select(F.col(key).alias(column), F.col("id").alias("_" + column)), column).drop(column).withColumnRenamed("_" + column, column)
+    return found.select(F.col("id").alias(id_col), F.col("root").alias("duplicate_of"), "links")
 
 
 def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` without near copies: one document of each group stays, and every document without signature."""
-    name = S.free_name(docs, "_go")
-    gone = near_groups(docs, id_col=id_col, text_col=text_col, radius=radius).select(F.col("id").alias(name))
-    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
+    """``docs`` without near copies: one document of each group stays, and every row without signature."""
+    key = S.free_name(docs, "_id")
+    numbered, names = S.integer_ids(docs, id_col, key)
+    found = near_groups(numbered, id_col=key, text_col=text_col, radius=radius)
+    go = S.free_name(docs, "_go")
+    gone = found.where("id <> root").select(F.col("id").alias(go)).distinct()
+    stay = numbered.join(gone, F.col(key) == F.col(go), "left_anti").drop(key)
+    # ids of several rows: the signature tells which of them go
+    ids = numbered.select(F.col(key).alias("id")).where("id is not null")
+    several = ids.join(found.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias(go))
+    if several.isEmpty():
+        return stay
+    several = S.written(several, "several")
+    met = numbered.join(several, F.col(key) == F.col(go), "left_semi")
+    columns = docs.columns
+    text = columns.index(text_col)
+    names_ = [S.free_name(docs, f"_s{i}") for i in (0, 1)]
+    schema = T.StructType([*met.schema.fields, *(T.StructField(x, T.LongType()) for x in names_)])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in S.slices(batches, text_col):
+            rows, sig = signatures(b.column(text).fill_null(""))
+            both = []
+            for k in (0, 1):
+                value = np.zeros(b.num_rows, np.int64)
+                value[rows] = sig[:, k].view(np.int64)
+                have = np.zeros(b.num_rows, bool)
+                have[rows] = True
+                both.append(pa.array(value, mask=~have))
+            yield pa.RecordBatch.from_arrays([*b.columns, *both], [*b.schema.names, *names_])
+
+    marks = found.select(F.col("id").alias(go), F.col("s0").alias("_m0"), F.col("s1").alias("_m1"), F.col("root").alias("_root")).distinct()
+    signed = met.mapInArrow(sign, schema)
+    same = (F.col(key) == F.col(go)) & (F.col(names_[0]) == F.col("_m0")) & (F.col(names_[1]) == F.col("_m1"))
+    clear = signed.join(marks, same, "left_anti").select(*columns)
+    roots = signed.join(marks.where(F.col(go) == F.col("_root")), same, "left_semi").dropDuplicates([key]).select(*columns)
+    return numbered.join(gone.unionByName(several).distinct(), F.col(key) == F.col(go), "left_anti").select(*columns).unionByName(clear).unionByName(roots)
