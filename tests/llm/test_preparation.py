@@ -1,5 +1,6 @@
 """Quality, BPE, mixing, WARC, sharding, HTML and the pipeline."""
 
+import base64
 import gzip
 import hashlib
 import random
@@ -174,6 +175,92 @@ def test_warc(spark, tmp_path):
     assert warc.archived_records(df.where("false"), str(tmp_path / "none")).count() == 0
 
 
+WELL = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+
+
+@pytest.mark.parametrize(
+    ("data", "payloads", "errors"),
+    [
+        (WELL * 2, [b"abc"] * 2, [None] * 2),
+        (WELL[:-2] + WELL, [b"abc"] * 2, [None] * 2),  # one line end between records
+        (WELL[:-4], [b"abc"], [None]),
+        (WELL.replace(b"\r\n", b"\n") * 2, [b"abc"] * 2, [None] * 2),
+        (WELL.replace(b"Content-Length: 3\r\n", b"") + WELL, [b"abc", b"abc"], ["no content length", None]),
+        (WELL.replace(b": 3", b": x3") + WELL, [b"abc", b"abc"], ["no content length", None]),
+        (WELL.replace(b": 3", b": 2") + WELL, [b"ab", b"abc"], ["bytes after the record", None]),
+        (WELL.replace(b": 3", b": 300"), [b"abc\r\n\r\n"], ["payload ends early"]),
+        (b"junk\n" + WELL, [b"junk\n", b"abc"], ["no record", None]),
+        (b"junk", [b"junk"], ["no record"]),
+        (WELL + b"WARC/1.0\r\nA: b", [b"abc", b""], [None, "header without end"]),
+        (WELL.replace(b"abc", b"\nWARC/1.0\r\n").replace(b": 3", b": 11"), [b"\nWARC/1.0\r\n"], [None]),
+        (b"", [], []),
+    ],
+)
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_warc_keeps_all_bytes(data, payloads, errors, step):
+    found = list(warc.parse_records(data[i : i + step] for i in range(0, len(data), step)))
+    assert [r.payload for r in found] == payloads and [r.error for r in found] == errors
+    assert b"".join(r.header + r.payload + r.rest for r in found) == data
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([WELL, b"WARC/1.0\r\n", b"\r\n", b"\n", b"Content-Length: 5", b"abc", b"WARC/", b"\n\n"]), max_size=12), st.integers(1, 9))
+def test_warc_parses_anything(parts, step):
+    data = b"".join(parts)
+    found = list(warc.parse_records(data[i : i + step] for i in range(0, len(data), step)))
+    assert b"".join(r.header + r.payload + r.rest for r in found) == data and found == list(warc.parse_records(data))
+
+
+def test_warc_declared_digests():
+    sha1 = base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"
+
+    def check(fields, payload):
+        return warc.declared_is_right(b"WARC/1.0\r\n" + fields.encode() + b"\r\n\r\n", payload)
+
+    assert check(f"WARC-Payload-Digest: sha1:{sha1}", b"body") is True and check(f"WARC-Payload-Digest: sha1:{sha1}", b"bodY") is False
+    assert check("WARC-Payload-Digest: sha1:AAAA", b"body") is None and check("", b"body") is None and check("WARC-Payload-Digest: crc:12", b"body") is None
+    assert check(f"Content-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:{sha1}", http) is True
+    assert check(f"WARC-Type: revisit\r\nWARC-Payload-Digest: sha1:{sha1}", b"") is None
+    assert check(f"WARC-Block-Digest: md5:{hashlib.md5(b'x').hexdigest()}\r\nWARC-Payload-Digest: sha1:{sha1}", b"body") is False
+
+
+def test_warc_files_with_faults(spark, tmp_path):
+    bad = gzip.compress(WELL) + gzip.compress(WELL)[:20]
+    (tmp_path / "a.warc.gz").write_bytes(bad)
+    (tmp_path / "b.warc").write_bytes(b"x\n" + WELL.replace(b": 3", b": -1"))
+    for stream in (True, False):
+        rows = warc.read_warc(spark, str(tmp_path), stream=stream).collect()
+        assert sorted((r["record"].rpartition("/")[2], r["error"]) for r in rows if r["error"]) == [("a.warc.gz#1", "header without end"), ("a.warc.gz#2", "gzip: a member has no end"), ("b.warc#0", "no record"), ("b.warc#1", "no content length")]
+        assert sum(bytes(r["payload"]) == b"abc" for r in rows) == 2
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(WELL) + b"\x1f\x8bno gzip")
+    rows = warc.read_warc(spark, str(tmp_path / "a.warc.gz")).collect()
+    assert [r["error"] is None for r in rows] == [True, False] and bytes(rows[1]["payload"]).endswith(b"no gzip")
+
+
+@pytest.mark.parametrize("nulls", [0, 3])
+def test_sharding_of_the_whole_range_of_longs(spark, nulls):
+    """Keys up to the ends of the range, some 2^62 apart and some one apart, nulls beside them: shards as by brute force."""
+    rng = random.Random(nulls)
+    keys = [2**62 + i for i in range(64)] + [-(2**63), -(2**63) + 1, 2**63 - 1, 2**63 - 2, 0, -1] + [rng.randrange(-(2**63), 2**63) for _ in range(100)]
+    rows = [(k, "x" * rng.randrange(1, 50)) for k in keys] + [(None, "n")] * nulls
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), shards=8).collect()
+    total, below, want = sum(len(t) for k, t in rows if k is not None), 0, []
+    for k, t in sorted((k, t) for k, t in rows if k is not None):
+        want.append((k, min(7, below * 8 // total)))
+        below += len(t)
+    assert sorted((r["doc_id"], r["shard"]) for r in got if r["doc_id"] is not None) == want
+    assert [r["shard"] for r in got if r["doc_id"] is None] == [0] * nulls
+
+
+def test_sharding_by_strings(spark):
+    rng = random.Random(5)
+    rows = [(f"https://a.example/{rng.randrange(10**6)}", "x" * rng.randrange(100)) for _ in range(300)] + [(None, "x")]
+    out = sharding.shard(spark.createDataFrame(rows, "url string, _key string").withColumnRenamed("_key", "text").withColumn("_key", F.lit(1)), key_col="url", shards=5)
+    got = sorted((r["url"], r["shard"]) for r in out.collect() if r["url"])
+    assert out.columns == ["url", "text", "_key", "shard"] and len(got) == 300 and {s for _, s in got} == set(range(5)) and [s for _, s in got] == sorted(s for _, s in got)
+
+
 @pytest.mark.parametrize("tolerance", [0.0, 0.2])
 def test_sharding(spark, tolerance):
     rng = random.Random(2)
