@@ -109,7 +109,7 @@ def test_empty_tables(spark, corpus):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.drop_near(empty).count() == 0
     assert suffix_dedup.repeated_passages(empty).count() == 0
     vectors = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
-    assert embedding_dedup.near_pairs(vectors).count() == 0
+    assert embedding_dedup.near_pairs(vectors).count() == 0 and embedding_dedup.near_classes(vectors).count() == 0
 
 
 def brute_pairs(ids, sig, radius):
@@ -288,23 +288,40 @@ def test_span_is_checked(corpus):
         suffix_dedup.repeated_passages(corpus, length=10, gram=6, span=9)
 
 
-@pytest.mark.parametrize(("threshold", "cell"), [(0.95, 60), (0.6, 25), (1.0 - 1e-9, 1000)])
-def test_embeddings(spark, threshold, cell):
+@pytest.mark.parametrize(("threshold", "cell", "kind"), [(0.95, 30, "double"), (0.6, 25, "float"), (1.0 - 1e-9, 1000, "double")])
+def test_embeddings(spark, threshold, cell, kind):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(150, 8))
+    x = rng.normal(size=(190, 8))
     x[100:120] = x[:20] + rng.normal(scale=0.05, size=(20, 8))
     x[120:130] = x[5]
-    x[130:] = x[7] * 3 + rng.normal(scale=0.2, size=(20, 8))
+    x[130:150] = x[7] * 3 + rng.normal(scale=0.2, size=(20, 8))
+    x[150:] = x[9] + rng.normal(scale=1e-3, size=(40, 8))
+    if kind == "float":
+        x = x.astype(np.float32).astype(float)
+    x[140] *= 2.0**20
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
-    rows += [(500, None, 1), (501, [], 1), (502, [0.0] * 8, 1), (503, [1.0, float("nan")], 1), (None, x[0].tolist(), 1), (504, [1.0, 2.0], 1), (505, [2.0, 4.0], 1), (506, [None, 1.0], 1), (5, x[5].tolist(), 3)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    rows += [(500, None, 1), (501, [], 1), (502, [0.0] * 8, 1), (503, [1.0, float("nan")], 1), (None, x[0].tolist(), 1), (504, [1.0, 2.0], 1), (505, [2.0, 4.0], 1), (506, [None, 1.0], 1), (5, x[5].tolist(), 3), (507, [float("inf"), 1.0], 1)]
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>, label int").withColumn("_id", F.lit("x"))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    i, j = np.nonzero(np.triu(u @ u.T >= threshold, 1))
-    want = set(zip(i.tolist(), j.tolist())) | {(504, 505)}
-    got = embedding_dedup.near_pairs(df, threshold=threshold, cell_rows=cell).collect()
-    pairs = [(r["vec_a"], r["vec_b"]) for r in got]
-    unsure = {(a, b) for a, b in want ^ set(pairs) if a < 500 and abs(u[a] @ u[b] - threshold) < 1e-12}
-    assert len(pairs) == len(set(pairs)) and set(pairs) - unsure == want - unsure
+    near = u @ u.T >= threshold
+    assert not (np.abs(u @ u.T - threshold)[~np.eye(190, dtype=bool)] < 1e-12).any() or threshold > 0.99
+    equal = {i: min(j for j in range(190) if (x[i] == x[j]).all()) for i in range(190)}
+    want = {(min(equal[i], equal[j]), max(equal[i], equal[j])) for i, j in zip(*np.nonzero(near)) if equal[i] != equal[j]} | {(504, 505)}
+    pairs = [(r["vec_a"], r["vec_b"]) for r in embedding_dedup.near_pairs(df, threshold=threshold, cell_rows=cell).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    root = list(range(190))
+    for _ in range(190):
+        new = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(190)]
+        if new == root:
+            break
+        root = new
+    want = {i: (root[i], int(near[i].sum()) - 1) for i in range(190)} | {504: (504, 1), 505: (504, 1)}
+    got = embedding_dedup.near_classes(df, threshold=threshold, cell_rows=cell).collect()
+    assert len(got) == len(want) and {r["vec_id"]: (r["class_id"], r["links"]) for r in got} == want
+    if kind == "float":
+        named = df.withColumn("vec_id", F.lpad(F.col("vec_id").cast("string"), 4, "0"))
+        got = embedding_dedup.near_classes(named, threshold=threshold, cell_rows=cell).collect()
+        assert {int(r["vec_id"]): (int(r["class_id"]), r["links"]) for r in got} == want
 
 
 def test_cover_tree_covers():

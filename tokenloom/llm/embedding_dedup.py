@@ -1,28 +1,36 @@
-"""Embedding near-dedup by dual traversal of cover trees: exact pairs above a cosine.
+"""Embedding near-dedup by dual traversal of cover trees: exact links above a cosine.
 
 On unit vectors a cosine of at least t is a distance of at most
-``tau = sqrt(2 - 2 t)``. The vectors whose ids hash lowest are the top level of
-the tree; each vector belongs to the nearest of them, its cell. Pairs of cells
-whose centres are at most tau plus both covering radii apart are compared, each
-pair of cells in a task of its own, and a cell with itself. A vector goes to the
-pair of its cell and another only if it is within the other's covering radius
-plus tau and at most ``2 tau`` farther from the other centre than from its own;
-by the triangle inequality no pair within tau is lost. In a task, cover trees
-are built (Beygelzimer, Kakade and Langford, 2006): a node's children are a
-greedy net at half its radius. Two trees are walked together: a pair of nodes is
-left as soon as its centres are farther apart than tau plus both covering radii.
-What remains is compared exactly.
-
-The number of centres, and with it what is sent to all executors, is at most
-``MOST_CENTRES``; it grows with the rows until then. In spaces of many
-dimensions without near copies the bounds prune little, and the work within
-tau's reach grows with the square of the rows, as for any exact metric join.
+``tau = sqrt(2 - 2 t)``. Equal vectors are one class with a number of rows. Some
+classes, taken by the hash of their number, are the top level of the tree; each
+vector belongs to the nearest of them, its cell. Pairs of cells whose centres are
+at most tau plus both covering radii apart are compared, and a cell with itself.
+A vector goes to the pair of its cell and another only if it is within the
+other's covering radius plus tau and at most ``2 tau`` farther from the other
+centre than from its own; by the triangle inequality no pair within tau is lost.
+Cells of more than ``cell_rows`` classes are cut into blocks, and each pair of
+blocks is a task, so that a task's size is bounded whatever a cell holds.
+
+In a task, cover trees are built (Beygelzimer, Kakade and Langford, 2006): a
+node's children are a greedy net at half its radius. Two trees are walked
+together: a pair of nodes is left as soon as its centres are farther apart than
+tau plus both covering radii, and taken whole, without its pairs, as soon as tau
+is more than the distance of the centres plus both radii. What remains is
+compared exactly, with 64-bit numbers; vectors move as they came.
+
+A task returns how many rows each class is linked to and stars that connect what
+it found, so that what moves is in proportion to the classes, not to the pairs.
+
+The number of centres, which all executors get, is about ``most_centres`` at
+most. In spaces of many dimensions without near copies the bounds prune little,
+and the work within tau's reach grows with the square of the classes, as for any
+exact metric join.
 
 Cases: null vectors, vectors with null, infinite or undefined elements, zero
-vectors, and rows with a null id have no pair. Vectors of different dimensions
-aren't compared with each other. Equal vectors pair. Rows that repeat an id are
-one vector if equal; otherwise each pairs for itself, and pairs of an id with
-itself are left out. Empty tables give empty tables.
+vectors, and rows with a null id have no result. Vectors of different dimensions
+aren't compared with each other. Equal vectors are linked. Ids may be of any type
+with an order. Rows that repeat an id and vector are one row; rows with one id
+and other vectors are rows of their own. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -35,6 +43,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm import _shared as S
+from tokenloom.llm.exact_dedup import members
+from tokenloom.llm.near_dedup import _connect, components
+
 THRESHOLD = 0.95
 CELL_ROWS = 8_192
 MOST_CENTRES = 4_096
@@ -109,88 +121,123 @@ def _runs(radii: np.ndarray, size: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
 
 
-def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``a`` and of ``b`` whose cosine is at least ``threshold``; each pair once where both are the same tree."""
+def dual(x: np.ndarray, a: Node, b: Node, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows ``i`` of ``a`` and ``j`` of ``b`` whose cosine is at least ``threshold``, each pair once where both are the same tree.
+
+    Pairs come as two lists of equal length, or, with True, as two lists every
+    row of which is near every row of the other (the same list for all pairs in
+    a node).
+    """
     tau = np.sqrt(max(2 - 2 * threshold, 0)) + _SLACK
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    sure = tau - 1e-6
+    same = a is b
     stack = [(a, b)]
     while stack:
         p, q = stack.pop()
+        if 2 * p.radius <= sure and p is q and len(p.rows) > 1:
+            yield p.rows, p.rows, True
+            continue
         if not p.children and not q.children:
-            i, j = np.nonzero(x[p.rows] @ y[q.rows].T >= threshold)
+            i, j = np.nonzero(x[p.rows] @ x[q.rows].T >= threshold)
             if same and p is q:
                 i, j = i[i < j], j[i < j]
-            left.append(p.rows[i])
-            right.append(q.rows[j])
+            if len(i):
+                yield p.rows[i], q.rows[j], False
             continue
         ps, pc, pr = (p.children, p.centres, p.radii) if p.children else ([p], np.array([p.centre]), np.array([p.radius]))
         qs, qc, qr = (q.children, q.centres, q.radii) if q.children else ([q], np.array([q.centre]), np.array([q.radius]))
         for part, other in ((u, v) for u in _runs(pr, BLOCK) for v in _runs(qr, len(qs))):
-            cosine = x[pc[part]] @ y[qc[other]].T
+            cosine = x[pc[part]] @ x[qc[other]].T
             # first with the largest radii of the run, then, for the few that are left, with their own
             i, j = np.nonzero(cosine >= cosine_at(min(tau + pr[part][-1] + qr[other][-1], 2.0)) - _SLACK)
-            fine = cosine[i, j] >= cosine_at(np.minimum(tau + pr[part][i] + qr[other][j], 2.0)) - _SLACK
-            i, j = i[fine] + part.start, j[fine] + other.start
+            radii = pr[part][i] + qr[other][j]
+            fine = cosine[i, j] >= cosine_at(np.minimum(tau + radii, 2.0)) - _SLACK
+            i, j, radii, near = i[fine], j[fine], radii[fine], cosine[i, j][fine]
+            whole = (radii > 0) & (np.sqrt(np.maximum(2 - 2 * near, 0)) + radii <= sure)
+            i, j = i + part.start, j + other.start
             if same and p is q:
-                i, j = i[i <= j], j[i <= j]
-            stack.extend((ps[m], qs[n]) for m, n in zip(i.tolist(), j.tolist()))
-    return np.concatenate(left), np.concatenate(right)
+                up = i <= j
+                i, j, whole = i[up], j[up], whole[up]
+            for m, n, w in zip(i.tolist(), j.tolist(), whole.tolist()):
+                if w and ps[m] is not qs[n]:
+                    yield ps[m].rows, qs[n].rows, True
+                else:
+                    stack.append((ps[m], qs[n]))
 
 
-def _vectors(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.float64)
+def _unit(col: pa.Array, dtype: type) -> np.ndarray:
+    """Unit vectors of 64-bit numbers from a column of raw vectors of one dimension."""
+    n = len(col)
+    raw = np.frombuffer(b"".join(col.to_pylist()), dtype).astype(float).reshape(n, -1)
+    raw /= np.abs(raw).max(axis=1, keepdims=True)
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-def unit_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(id, dimension, vector)`` with unit vectors as bytes, without rows that have no direction."""
+def vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, type]:
+    """``(id, dimension, vector)`` with the vectors' numbers as bytes, without rows that have no direction, and the numbers' type."""
+    single = table.schema[vector_col].dataType.elementType.typeName() == "float"
+    dtype = np.float32 if single else np.float64
 
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = []
-            for v in b.column(1).to_pylist():
-                w = np.array([np.nan if e is None else e for e in v], float)
-                norm = np.linalg.norm(w) if len(w) else 0.0
-                made.append((w / norm).tobytes() if np.isfinite(norm) and norm > 0 else None)
-            vector = pa.array(made, pa.binary())
-            size = pa.compute.divide(pa.compute.binary_length(vector), 8).cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), size, vector], ["id", "dimension", "vector"]).filter(vector.is_valid())
+            lists = b.column(1)
+            size = lists.value_lengths().to_numpy()
+            b, size = b.filter(pa.array(size > 0)), size[size > 0]
+            if not len(size):
+                continue
+            flat = b.column(1).flatten().fill_null(np.nan).to_numpy(zero_copy_only=False).astype(dtype)
+            ends = np.concatenate(([0], np.cumsum(size)))
+            most = np.maximum.reduceat(np.abs(flat), ends[:-1])  # undefined if an element is
+            vector = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends * flat.itemsize), pa.py_buffer(flat)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), vector], ["id", "dimension", "vector"]).filter(pa.array(np.isfinite(most) & (most > 0)))
 
-    return table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(unit, "id bigint, dimension int, vector binary").distinct()
+    rows = table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(f"array<{'float' if single else 'double'}>").alias("v"))
+    return rows.mapInArrow(raw, "id bigint, dimension int, vector binary").distinct(), dtype
 
 
-def near_pairs(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS, most_centres: int = MOST_CENTRES) -> DataFrame:
-    """``(vec_a, vec_b, similarity)``, ``vec_a < vec_b``: all pairs whose cosine is at least ``threshold``, rounded to 6 places."""
-    from tokenloom.llm import _shared as S
+def classes_of(rows: DataFrame) -> DataFrame:
+    """A written table ``(class, dimension, vector, n, least)`` of distinct vectors, their rows and smallest ids."""
+    counted = rows.groupBy("dimension", "vector").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    return S.written(counted.withColumn("class", F.monotonically_increasing_id()), "vectors")
+
 
-    units = S.written(unit_vectors(table, id_col=id_col, vector_col=vector_col), "units")
+def _tasks(classes: DataFrame, dtype: type, threshold: float, cell_rows: int, most_centres: int) -> DataFrame:
+    """Rows ``(d, low, high, low_block, high_block, first, class, n, dimension, vector)``: what each task compares; ``first`` tells its two sides apart."""
     tau = float(np.sqrt(max(2 - 2 * threshold, 0))) + _SLACK
-    counts = {r["dimension"]: r["n"] for r in units.groupBy("dimension").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a dimension
-    centres: dict[int, np.ndarray] = {}
-    for d, n in counts.items():
-        chosen = units.where(F.col("dimension") == d).orderBy(F.xxhash64("id"), "id", "vector").limit(int(min(most_centres, max(1, -(-n // cell_rows))))).collect()
-        centres[d] = np.array([np.frombuffer(r["vector"]) for r in chosen])
+    spread = F.xxhash64("class")
+    counts = classes.groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.min_by("vector", F.struct(spread, "class")).alias("v"), F.min(F.struct(spread, "class"))["class"].alias("c")).collect()  # one row a dimension
+    share = {r["dimension"]: min(most_centres, r["n"] / cell_rows) / r["n"] for r in counts}
+    picked: dict[int, dict[int, bytes]] = {r["dimension"]: {r["c"]: r["v"]} for r in counts}
+    wide = [(d, x) for d, x in share.items() if x * cell_rows > 1 or x * most_centres > 1]
+    if wide:
+        table = F.broadcast(classes.sparkSession.createDataFrame(wide, "dimension int, share double"))
+        unit = (F.pmod(spread, F.lit(1 << 31)) / float(1 << 31)).alias("u")
+        for r in classes.select("class", "dimension", "vector", unit).join(table, "dimension").where("u < share").select("class", "dimension", "vector").collect():  # about most_centres rows a dimension
+            picked[r["dimension"]][r["class"]] = r["vector"]
+    centres = {d: _unit(pa.array([v for _, v in sorted(x.items())], pa.binary()), dtype) for d, x in picked.items()}
     names = {d: i for i, d in enumerate(sorted(centres))}
 
     def cells(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        sizes = b.column(1).to_numpy()
+        sizes = b.column("dimension").to_numpy()
         for d in np.unique(sizes).tolist():
             on = np.flatnonzero(sizes == d)
-            far = distance(_vectors(b.column(2).take(pa.array(on))).reshape(-1, d), centres[d])
+            far = distance(_unit(b.column("vector").take(pa.array(on)), dtype), centres[d])
             yield d, on, far, far.argmin(axis=1)
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most: dict[tuple[int, int], float] = {}
+        most = {d: np.zeros(len(c)) for d, c in centres.items()}
+        rows = {d: np.zeros(len(c), np.int64) for d, c in centres.items()}
         for b in batches:
-            for d, _, far, own in cells(b):
-                least = far.min(axis=1)
-                for c in np.unique(own).tolist():
-                    most[d, c] = max(most.get((d, c), 0.0), float(least[own == c].max()))
-        yield pa.RecordBatch.from_pylist([{"d": d, "c": c, "r": r} for (d, c), r in most.items()], pa.schema([("d", pa.int32()), ("c", pa.int32()), ("r", pa.float64())]))
+            for start in range(0, b.num_rows, 2048):
+                for d, _, far, own in cells(b.slice(start, 2048)):
+                    np.maximum.at(most[d], own, far.min(axis=1))
+                    np.add.at(rows[d], own, 1)
+        yield pa.RecordBatch.from_pylist([{"d": d, "c": c, "r": float(most[d][c]), "n": int(rows[d][c])} for d in most for c in np.flatnonzero(rows[d]).tolist()], pa.schema([("d", pa.int32()), ("c", pa.int32()), ("r", pa.float64()), ("n", pa.int64())]))
 
     radii = {d: np.zeros(len(c)) for d, c in centres.items()}
-    for r in units.mapInArrow(reach, "d int, c int, r double").groupBy("d", "c").agg(F.max("r").alias("r")).collect():  # one row a cell
-        radii[r["d"]][r["c"]] = r["r"]
-
+    blocks = {d: np.ones(len(c), np.int64) for d, c in centres.items()}
+    for r in classes.mapInArrow(reach, "d int, c int, r double, n bigint").groupBy("d", "c").agg(F.max("r").alias("r"), F.sum("n").alias("n")).collect():  # one row a cell
+        radii[r["d"]][r["c"]], blocks[r["d"]][r["c"]] = r["r"], -(-r["n"] // cell_rows)
     apart = {d: distance(c, c) for d, c in centres.items()}
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,26 +249,106 @@ def near_pairs(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
                     goes = (far <= radii[d] + tau) & (far - least[:, None] <= 2 * tau) & (apart[d][own] <= radii[d] + radii[d][own][:, None] + tau)
                     goes[np.arange(len(on)), own] = True
                     row, cell = np.nonzero(goes)
-                    low, high = np.minimum(own[row], cell), np.maximum(own[row], cell)
+                    times = blocks[d][cell]
+                    other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    row, cell = np.repeat(row, times), np.repeat(cell, times)
+                    mine = own[row]
+                    block = S.mix(part.column("class").to_numpy()[on].view(np.uint64))[row] % blocks[d][mine].astype(np.uint64)
+                    block = block.astype(np.int64)
+                    swap = np.where(mine == cell, block > other, mine > cell)
+                    first = np.where(mine == cell, block <= other, mine < cell)
+                    pair = [np.where(swap, y, x).astype(np.int32) for x, y in ((mine, cell), (cell, mine), (block, other), (other, block))]
                     take = part.take(pa.array(on[row]))
-                    task = ((np.int64(names[d]) << 48) | (low.astype(np.int64) << 24)) | high
-                    yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(own[row] == low), take.column(0), take.column(1), take.column(2)], ["task", "first", "id", "dimension", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), names[d], np.int32)), *map(pa.array, pair), pa.array(first), *take.columns], [*_TASK, "first", "class", "n", "dimension", "vector"])
+
+    return classes.select("class", "n", "dimension", "vector").mapInArrow(visits, "d int, low int, high int, low_block int, high_block int, first boolean, class bigint, n bigint, dimension int, vector binary")
+
+
+_TASK = ["d", "low", "high", "low_block", "high_block"]
+
+
+def _sides(part: pa.Table, dtype: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]:
+    """Classes, rows and unit vectors of a task, those of the first side first; their number, and whether there is but one side."""
+    part = part.combine_chunks()
+    first, ids, n = part.column("first").to_numpy(), part.column("class").to_numpy(), part.column("n").to_numpy()
+    order = np.lexsort((ids, ~first))
+    one = part.column("low")[0] == part.column("high")[0] and part.column("low_block")[0] == part.column("high_block")[0]
+    return ids[order], n[order], _unit(part.column("vector").combine_chunks(), dtype)[order], int(first.sum()), one
+
+
+def _walk(x: np.ndarray, n: int, one: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    tau = float(np.sqrt(max(2 - 2 * threshold, 0))) + _SLACK
+    if one:
+        tree = cover_tree(x, np.arange(n), 0, 2.0, tau)
+        yield from dual(x, tree, tree, threshold)
+    elif 0 < n < len(x):
+        yield from dual(x, cover_tree(x, np.arange(n), 0, 2.0, tau), cover_tree(x, np.arange(n, len(x)), n, 2.0, tau), threshold)
+
+
+def near_pairs(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS, most_centres: int = MOST_CENTRES) -> DataFrame:
+    """``(vec_a, vec_b, similarity)``, ``vec_a < vec_b``: the pairs of different vectors whose cosine is at least ``threshold``, rounded to 6 places. Equal vectors are named by the smallest of their ids, which is an integer here."""
+    rows, dtype = vectors(table, id_col=id_col, vector_col=vector_col)
+    classes = classes_of(rows)
+    tasks = _tasks(classes.withColumn("class", F.col("least")), dtype, threshold, cell_rows, most_centres)
+
+    def compare(part: pa.Table) -> pa.Table:
+        ids, _, x, n, one = _sides(part, dtype)
+        out = []
+        for i, j, whole in _walk(x, n, one, threshold):
+            if whole:
+                i, j = (k.ravel() for k in np.meshgrid(i, j, indexing="ij")) if not np.array_equal(i, j) else (i[k] for k in np.triu_indices(len(i), 1))
+            keep = ids[i] != ids[j]
+            i, j = i[keep], j[keep]
+            out.append(pa.table({"vec_a": np.minimum(ids[i], ids[j]), "vec_b": np.maximum(ids[i], ids[j]), "similarity": np.round(np.einsum("ij,ij->i", x[i], x[j]), 6)}))
+        return pa.concat_tables(out) if out else pa.table({"vec_a": pa.array([], pa.int64()), "vec_b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+
+    return tasks.groupBy(*_TASK).applyInArrow(compare, "vec_a bigint, vec_b bigint, similarity double")
+
+
+def near_classes(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS, most_centres: int = MOST_CENTRES) -> DataFrame:
+    """``(vec_id, class_id, links)`` of every vector with a direction: the smallest id of those that are connected with it by cosines of at least ``threshold``, and the number of other rows that are so near to itself."""
+    spark = table.sparkSession
+    key = S.free_name(table, "_id")
+    numbered, names = S.integer_ids(table, id_col, key)
+    rows, dtype = vectors(numbered, id_col=key, vector_col=vector_col)
+    rows = S.written(rows, "rows")
+    classes = classes_of(rows)
+    tasks = _tasks(classes, dtype, threshold, cell_rows, most_centres)
 
     def compare(part: pa.Table) -> pa.Table:
-        d = part.column("dimension")[0].as_py()
-        task = part.column("task")[0].as_py()
-        ids, first = part.column("id").to_numpy(), part.column("first").to_numpy()
-        x = _vectors(part.column("vector")).reshape(-1, d)
-        order = np.lexsort((ids, ~first))
-        ids, x, n = ids[order], x[order], int(first.sum())
-        i = j = np.zeros(0, np.int64)
-        if task & 0xFFFFFF == (task >> 24) & 0xFFFFFF:
-            tree = cover_tree(x, np.arange(n), 0, 2.0, tau)
-            i, j = dual(x, tree, x, tree, threshold, True)
-        elif 0 < n < len(ids):
-            i, j = dual(x, cover_tree(x, np.arange(n), 0, 2.0, tau), x, cover_tree(x, np.arange(n, len(ids)), n, 2.0, tau), threshold, False)
-        i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
-        cosine = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-        return pa.table({"vec_a": np.minimum(ids[i], ids[j]), "vec_b": np.maximum(ids[i], ids[j]), "similarity": np.round(cosine, 6)})
-
-    return units.mapInArrow(visits, "task bigint, first boolean, id bigint, dimension int, vector binary").groupBy("task").applyInArrow(compare, "vec_a bigint, vec_b bigint, similarity double")
+        ids, count, x, n, one = _sides(part, dtype)
+        links = np.zeros(len(ids), np.int64)
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, None]]:
+            for i, j, whole in _walk(x, n, one, threshold):
+                if not whole:
+                    np.add.at(links, i, count[j])
+                    np.add.at(links, j, count[i])
+                    yield i, j, None
+                elif np.array_equal(i, j):
+                    links[i] += count[i].sum() - count[i]
+                    yield np.repeat(i[:1], len(i)), i, None
+                else:
+                    links[i] += count[j].sum()
+                    links[j] += count[i].sum()
+                    yield np.repeat(i[:1], len(j)), j, None
+                    yield i, np.repeat(j[:1], len(i)), None
+
+        i, j = _connect(pairs(), len(ids))
+        on = np.flatnonzero(links)
+        none = pa.nulls(len(i), pa.int64())
+        return pa.table({"id_a": pa.chunked_array([pa.array(ids[i]), pa.array(ids[on])]), "id_b": pa.chunked_array([pa.array(ids[j]), pa.nulls(len(on), pa.int64())]), "links": pa.chunked_array([none, pa.array(links[on])])})
+
+    found = S.written(tasks.groupBy(*_TASK).applyInArrow(compare, "id_a bigint, id_b bigint, links bigint"), "links")
+    roots = components(found.where("links is null").select("id_a", "id_b").distinct())
+    links = found.where("links is not null").groupBy(F.col("id_a").alias("class")).agg(F.sum("links").alias("links"))
+    named = classes.join(roots.select(F.col("id").alias("class"), "root"), "class", "left").join(links, "class", "left")
+    named = named.select("dimension", "vector", "n", "least", F.coalesce("root", "class").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    least = named.groupBy("root").agg(F.min("least").alias("root_id"))
+    groups = S.written(named.join(least, "root").select("dimension", "vector", "n", "root_id", "links"), "groups")
+    out = S.written(members(rows, groups, ["dimension", "vector"], ["vector"]).select("id", F.col("root_id").alias("root"), "links"), "near-vectors")
+    S.drop_written(spark, rows, classes, found, roots, groups)
+    if names is not None:
+        for column in ("id", "root"):
+            out = out.join(names.select(F.col(key).alias(column), F.col("id").alias("_" + column)), column).drop(column).withColumnRenamed("_" + column, column)
+    return out.select(F.col("id").alias(id_col), F.col("root").alias("class_id"), "links")
