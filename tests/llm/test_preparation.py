@@ -46,6 +46,45 @@ def test_quality_held_out(spark, graded):
     assert out.columns == ["doc_id", "text", "score", "keep", "score_", "probability", "keep_"] and out.count() == 1
 
 
+def test_quality_is_ridge_and_isotonic_by_brute_force(spark, graded):
+    """Scores and probabilities of all documents, from collected rows by numpy alone."""
+    docs, labels = graded
+    docs = docs.unionByName(docs.where("doc_id < 5")).unionByName(docs.where("doc_id = 7").withColumn("text", F.lit(None).cast("string")))
+    seed, features, ridge = 3, 32, 0.01
+    scored = quality.score_quality(docs, quality.fit_quality(docs, labels, seed=seed, features=features, ridge=ridge), columns=["doc_id", "text"]).collect()
+    said = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None:
+            said.setdefault(r["doc_id"], []).append(r["quality"])
+    rows = [r for r in docs.select("doc_id", "text", F.xxhash64("doc_id", F.lit(seed)).alias("h")).collect() if r["doc_id"] in said]
+    x = quality.document_statistics(pa.array([r["text"] for r in rows], pa.string()))
+    y = np.array([np.mean(said[r["doc_id"]]) for r in rows])
+    held = np.array([r["h"] % 4 == 0 for r in rows])
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    rng = np.random.default_rng(seed)
+    w = rng.normal(size=(x.shape[1], features)) / np.sqrt(x.shape[1])
+    phases = rng.uniform(0, 2 * np.pi, features)
+
+    def map_(x):
+        return np.column_stack([np.cos(np.clip((x - mean) / scale, -8, 8) @ w + phases), np.ones(len(x))])
+
+    # ridge as least squares of rows for the penalty below those of the data
+    penalty = np.sqrt(np.append(np.full(features, ridge * len(y)), 1e-9))
+    solved = np.linalg.lstsq(np.vstack([map_(x[~held]), np.diag(penalty)]), np.append(y[~held], np.zeros(features + 1)), rcond=None)[0]
+    score = map_(x[held]) @ solved
+    knots = np.unique(score)
+    level = np.array([y[held][score == k].mean() for k in knots])
+    many = np.array([(score == k).sum() for k in knots])
+    n = len(knots)
+    # the isotonic fit is the largest, over beginnings, of the smallest mean, over ends
+    means = [[np.average(level[a : b + 1], weights=many[a : b + 1]) if b >= a else np.inf for b in range(n)] for a in range(n)]
+    fit = np.array([max(min(means[a][b] for b in range(k, n)) for a in range(k + 1)) for k in range(n)])
+    want = map_(quality.document_statistics(pa.array([r["text"] for r in scored], pa.string()))) @ solved
+    assert np.allclose([r["score"] for r in scored], want, atol=1e-6)
+    assert np.allclose([r["probability"] for r in scored], np.interp(want, knots, fit), atol=1e-4)
+    assert len(scored) == 406
+
+
 def test_quality_without_labels(graded):
     docs, labels = graded
     for some, p in ((labels.where("false"), 1.0), (labels.where("quality = 0"), 0.0)):
@@ -363,6 +402,59 @@ def test_html_draws_formulas_labels_and_maps(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div style='visibility:hidden'>no<p style='visibility: visible'>in<b>side</b></p>no</div>out", "inside\nout"),
+        ("<style>.h{visibility:hidden}.v{visibility:visible}</style><p class=h>no <span class=v>in</span> no</p><p class='h v'>kept", "in\n\nkept"),
+        ("<table><tr><td>a<td style='visibility:hidden'>bb<td>c<tr><td>d<td>ee<td>f</table>", "a |    | c\nd | ee | f"),
+        ("<ol><li>a<li style='visibility:hidden'>no<li>c<li style='visibility:hidden'>no<p style='visibility:visible'>d</ol>", "1. a\n3. c\n   d"),
+        ("<style>p{display:none}#k{display:block}</style><p>no<p id=k>kept", "kept"),
+        ("<svg visibility=hidden><text>no</text><text visibility=visible>in</text></svg>x", "in\nx"),
+        ("<p style='visibility:hidden'>no <math><mfrac><mi>a</mi><mi>b</mi></mfrac></math><p>x", "x"),
+    ],
+)
+def test_html_visibility_is_inherited(page, text):
+    assert html_text.page_text(page) == text
+
+
+TREES = st.recursive(
+    st.tuples(st.sampled_from(["w", "x", "yz"]), st.just(()), st.just("")),
+    lambda inner: st.tuples(st.sampled_from(["div", "p", "span", "article", "b", "section"]), st.lists(inner, max_size=4).map(tuple), st.sampled_from(["", "", "", "display:none", "visibility:hidden", "visibility:visible", "color:red"])),
+    max_leaves=14,
+)
+
+
+@settings(max_examples=200, deadline=None)
+@given(TREES)
+def test_html_shows_what_a_tree_shows(tree):
+    """Words of a well-formed tree, by brute force: those without an element that isn't displayed around them, and whose nearest word on visibility is visible."""
+    words = []
+
+    def write(node, dark, gone, inside_p):
+        tag, children, style = node
+        if not children and not style and tag in ("w", "x", "yz"):
+            words.append((f"{tag}{len(words)}", dark or gone))
+            return f" {words[-1][0]} "
+        tag = "span" if inside_p and tag != "b" else tag  # a paragraph would end at a block
+        dark = {"visibility:hidden": True, "visibility:visible": False}.get(style, dark)
+        inner = "".join(write(c, dark, gone or style == "display:none", inside_p or tag == "p") for c in children)
+        return f"<{tag} style='{style}'>{inner}</{tag}>"
+
+    page = write(tree, False, False, False)
+    shown = [w for w in html_text.page_text(page).split() if w != "-"]
+    assert shown == [w for w, hidden in words if not hidden]
+
+
+def test_html_wide_tables_do_not_grow():
+    """Padding is bounded; what isn't aligned keeps all its words."""
+    head = "".join(f"<td>{'h' * 100}{i}" for i in range(200))
+    page = f"<table><tr>{head}" + "<tr>" + "<tr>".join(f"<td colspan=199>a{i}<td>b{i}" for i in range(900)) + "</table>"
+    text = html_text.page_text(page)
+    assert len(text) < 3 * len(page) and text.endswith("\na899 | b899") and f"{'h' * 100}199" in text
+    assert html_text.page_text("<table><tr><td>a<td>b<tr><td>ccc<td>d</table>") == "a   | b\nccc | d"
+
+
 def test_html_long_lists_keep_their_numbers():
     assert html_text.page_text("<ol start=2001><li>a<li>b<li value=123456>c<li>d</ol>") == "2001. a\n2002. b\n123456. c\n123457. d"
     assert html_text.page_text("<ol start=-5000><li>a</ol>") == "-5000. a"
@@ -415,4 +507,14 @@ def test_pipeline(spark, docs_schema, tmp_path):
     final = docs.collect()
     texts = {i: t for i, t, *_ in rows}
     assert all(r["decoded"] == texts[r["doc_id"]] for r in final)
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "token_ids", "decoded"] and all(r["decoded"] == r["text"] for r in final)
+    # other columns stay, names that the last stage wants too; an empty table gives an empty one
+    odd = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumns({"decoded": F.lit("x"), "_go": F.lit(1), "copy": F.lit(2)})
+    for table in (odd, odd.where("false")):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, table, str(tmp_path))
+            out.write.mode("overwrite").parquet(str(tmp_path / f"odd{k}"))
+            table = spark.read.parquet(str(tmp_path / f"odd{k}"))
+        assert table.columns == [*odd.columns, "token_ids", "decoded_"]
+    assert table.count() == 0
     assert sorted((r["doc_id"], r["decoded"] or "") for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r["doc_id"], r["decoded"] or "") for r in final)

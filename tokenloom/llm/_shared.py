@@ -8,7 +8,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -161,7 +161,7 @@ def give_back() -> None:
         _trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array], limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` has about ``limit`` bytes in each (one row at least)."""
     try:
         yield from _slices(batches, column, limit)
@@ -169,9 +169,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19)
         give_back()
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array], limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        _, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)))
+        _, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)) if isinstance(column, str) else column(batch))
         at, n = 0, batch.num_rows
         while at < n:
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)

@@ -168,25 +168,31 @@ def encode_bpe(
 ) -> DataFrame:
     """``columns`` of ``docs`` (all by default) and the token ids of each text."""
     columns = docs.columns if columns is None else columns
-    S.small_batches(docs.sparkSession)
     kept = docs.select(*columns)
     out_name = S.free_name(kept, out_col)
-    source = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"), F.col(text_col).alias("text"))
+    at = columns.index(text_col) + 1 if text_col in columns else None  # a text that is kept travels once
+    row = F.struct(F.lit(0).alias("c"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row")
+    source = docs.select(row) if at else docs.select(row, F.col(text_col).alias("text"))
+    text = F.col("row")[f"c{at - 1}"] if at else F.col("text")
     row_type = source.schema["row"].dataType
+
+    def texts_of(b: pa.RecordBatch) -> pa.Array:
+        return pa.compute.struct_field(b.column("row"), [at]) if at else b.column("text")
+
     encoded = T.StructType([T.StructField("row", row_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocabulary_path, pattern)
-        for b in S.slices(batches, "text"):
-            ids = _id_lists([None if t is None else vocab.text(t) for t in b.column(1).to_pylist()])
+        for b in S.slices(batches, texts_of):
+            ids = _id_lists([None if t is None else vocab.text(t) for t in texts_of(b).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), ids], ["row", "ids"])
 
-    short = source.where(F.col("text").isNull() | (F.length("text") <= long)).mapInArrow(whole, encoded)
+    short = source.where(text.isNull() | (F.length(text) <= long)).mapInArrow(whole, encoded)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocabulary_path, pattern)
         for b in batches:
-            for i, text in enumerate(b.column(2).to_pylist()):
+            for i, text in enumerate(texts_of(b).to_pylist()):
                 found = list(leaves(text, vocab, long, raw))
                 n = len(found)
                 first = pa.array([True] + [False] * (n - 1))
@@ -197,7 +203,9 @@ def encode_bpe(
                 )
 
     leaf_type = T.StructType([T.StructField("doc", T.LongType()), T.StructField("row", row_type), T.StructField("leaf", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("goes_on", T.BooleanType())])
-    spread = source.where(F.length("text") > long).select(F.monotonically_increasing_id().alias("doc"), "row", "text").mapInArrow(split, T.StructType(leaf_type.fields + [T.StructField("contents", T.ArrayType(T.BinaryType()))])).repartition("doc", "leaf")
+    tall = source.where(F.length(text) > long).select(F.monotonically_increasing_id().alias("doc"), *source.columns)
+    # written, so that the numbers stay as they are if a task is run again
+    spread = S.written(tall.mapInArrow(split, T.StructType(leaf_type.fields + [T.StructField("contents", T.ArrayType(T.BinaryType()))])), "leaves").repartition("doc", "leaf")
 
     def leaf_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocabulary_path, pattern)
@@ -219,14 +227,13 @@ def encode_bpe(
         tokens = [t for run in runs for t in vocab.tree(run)]
         return pa.table([table.column("row").slice(0, 1), pa.chunked_array([_id_lists([tokens])])], ["row", "ids"])
 
-    tall = spread.mapInArrow(leaf_ids, T.StructType(leaf_type.fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    joined = tall.groupBy("doc").applyInArrow(together, encoded)
+    encoded_leaves = spread.mapInArrow(leaf_ids, T.StructType(leaf_type.fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    joined = encoded_leaves.groupBy("doc").applyInArrow(together, encoded)
     return short.unionByName(joined).select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(columns)], F.col("ids").alias(out_name))
 
 
 def decode_bpe(tokens: DataFrame, *, ids_col: str = "token_ids", out_col: str = "decoded", vocabulary_path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """All columns of ``tokens`` and the text of each list of ids."""
-    S.small_batches(tokens.sparkSession)
     out_name = S.free_name(tokens, out_col)
     at = tokens.columns.index(ids_col)
 

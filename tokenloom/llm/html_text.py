@@ -13,16 +13,19 @@ and footers too; nothing is judged by content.
 Of SVG, definitions, titles, descriptions and metadata aren't drawn, nor
 annotations and phantoms of MathML. What SVG's use elements draw again isn't
 followed. Not visible: the head, scripts, styles, templates, comments, fallback content
-of media, elements with the hidden attribute, ``display: none`` or
+of media, elements with the hidden attribute, with ``display: none`` or
 ``visibility: hidden`` in their style or in a rule of the page for their tag,
-class or id, closed details but for the summary, and closed dialogs. Of rules in
+class or id (but for elements in them that are visible again; a cell that is
+hidden this way keeps its column), closed details but for the summary, and closed dialogs. Of rules in
 at-rules and of style elements with a media attribute, those count that hold on
 a desktop screen (``SCREEN``); rules for print or small screens hide nothing.
 Where that can't be told (container queries, unknown features), text is kept.
 
 Cases: a null page has null text, an empty page or one without visible text an
 empty one. Elements deeper than ``DEEPEST`` become siblings, as in browsers;
-their text is kept. Rows are read one by one, so repeated and null keys and ties
+their text is kept. A table whose aligned columns would take more than
+``LOOSEST`` times the characters of its text (and 4,000) has its cells apart by
+bars, or on lines of their own, with all its text. Rows are read one by one, so repeated and null keys and ties
 don't matter; the output's name gets underscores where it would clash.
 """
 
@@ -41,6 +44,8 @@ from pyspark.sql import types as T
 from tokenloom.llm import _shared as S
 
 DEEPEST = 512
+#: Characters of a table with aligned columns for each of its text (and 4,000 beside) beyond which its columns aren't aligned.
+LOOSEST = 8
 #: The screen that media queries are asked about: what features without a range hold, and pixels and dots of those with one.
 SCREEN: dict[str, float | str] = {
     "width": 1280.0, "height": 720.0, "device-width": 1280.0, "device-height": 720.0, "aspect-ratio": 1280 / 720, "device-aspect-ratio": 1280 / 720,
@@ -56,7 +61,7 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^
 _CSS = re.compile(r"""[^{};"'\\]++|[{};]|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?|\\.?""", re.S)
 _NOTE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _HIDING = {"display": ("none",), "visibility": ("hidden", "collapse"), "content-visibility": ("hidden",)}
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility|content-visibility)\s*:\s*([\w-]+)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -88,6 +93,7 @@ BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed
 FOREIGN = frozenset(("svg", "math"))
 #: SVG elements that are drawn where they stand; definitions, titles, descriptions and metadata aren't.
 SVG_GROUPS = frozenset("svg g a switch".split())
+SVG_SHAPES = SVG_GROUPS | frozenset("text tspan textpath foreignobject".split())
 
 
 class Element:
@@ -309,8 +315,8 @@ def _applies(rule: str) -> bool:
     return name == "layer" or (name == "supports" and not re.match(r"not\b", rest.strip(), re.I))
 
 
-def hiding_selectors(styles: list[str]) -> frozenset[str]:
-    """Simple selectors (tag, .class, #id) that are hidden by the rules that hold on a screen; of rules with one selector the last counts."""
+def hiding_rules(styles: list[str]) -> dict[tuple[str, str], bool]:
+    """By simple selector (tag, .class, #id) and property, whether the rules that hold on a screen hide; of rules with one selector the last counts."""
     said: dict[tuple[str, str], tuple[bool, bool]] = {}
 
     def declare(selectors: list[str], text: str) -> None:
@@ -347,7 +353,12 @@ def hiding_selectors(styles: list[str]) -> frozenset[str]:
                 declare(selectors, text)
             if token == "}" and len(open_blocks) > 1:
                 open_blocks.pop()
-    return frozenset(s for (s, _), (hides, _) in said.items() if hides)
+    return {key: hides for key, (hides, _) in said.items()}
+
+
+def hiding_selectors(styles: list[str]) -> frozenset[str]:
+    """Simple selectors that are hidden by :func:`hiding_rules`."""
+    return frozenset(s for (s, _), hides in hiding_rules(styles).items() if hides)
 
 
 class Layout:
@@ -392,30 +403,50 @@ def _number(text: str | None, default: int, most: int | None = None) -> int:
 
 
 class Renderer:
-    def __init__(self, hiding: frozenset[str]):
-        self.hiding = hiding
+    """``dark`` is whether visibility is hidden where the renderer is: an element has it from the one around it, unless it says otherwise."""
+
+    def __init__(self, rules: dict[tuple[str, str], bool]):
+        self.rules, self.dark = rules, False
+
+    def hides(self, e: Element, has: dict[str, str], name: str) -> bool | None:
+        """Whether a property hides an element; None if nothing is said. The style counts before the id, that before classes, those before the tag; of classes that disagree, the one that shows."""
+        found = [value.lower() in _HIDING[name] for key, value in _STYLE.findall(has.get("style", "")) if key.lower() == name]
+        if found:
+            return found[-1]
+        if not self.rules:
+            return None
+        for names in (["#" + has.get("id", "")], ["." + c for c in has.get("class", "").split()], [e.tag]):
+            said = [self.rules[s, name] for s in names if (s, name) in self.rules]
+            if said:
+                return all(said)
+        return None
 
     def visible(self, e: Element) -> bool:
+        """Whether an element is there at all; sets ``dark`` for what is in it."""
         if e.tag in HIDDEN:
             return False
-        if not e.attributes:
-            return e.tag != "dialog" and e.tag not in self.hiding
+        if not e.attributes and not self.rules:
+            return e.tag != "dialog"
         has = e.get()
-        if "hidden" in has or (e.tag == "dialog" and "open" not in has) or _GONE.search(has.get("style", "")):
+        if "hidden" in has or (e.tag == "dialog" and "open" not in has) or self.hides(e, has, "display") or self.hides(e, has, "content-visibility"):
             return False
-        if self.hiding:
-            names = {e.tag, "#" + has.get("id", "")} | {"." + c for c in has.get("class", "").split()}
-            return not (names & self.hiding)
+        dark = self.hides(e, has, "visibility")
+        if dark is None and e.tag in SVG_SHAPES and "visibility" in has:
+            dark = has["visibility"] in _HIDING["visibility"]
+        self.dark = self.dark if dark is None else dark
         return True
 
     def walk(self, e: Element, out: Layout, pre: bool) -> None:
+        dark = self.dark
         for child in e.children:
+            self.dark = dark
             if isinstance(child, str):
+                if dark:
+                    if pre:
+                        out.held += ["\n"] * child.count("\n")
+                    continue
                 text = html.unescape(child) if "&" in child else child
-                if pre:
-                    out.held.append(text)
-                else:
-                    out.held.append(text.replace("\0", ""))
+                out.held.append(text if pre else text.replace("\0", ""))
                 continue
             tag = child.tag
             if tag == "br":
@@ -441,20 +472,23 @@ class Renderer:
             out.add(self.block(child, pre), tag in MARGIN and not (e.tag == "li" and tag in LISTS))
             if tag == "hr":
                 out.gap = True
+        self.dark = dark
 
     def shown(self, e: Element) -> bool:
-        """:meth:`visible` of an SVG element, which has attributes for it too."""
-        has = e.get() if e.attributes else {}
-        return self.visible(e) and has.get("display") != "none" and has.get("visibility") not in ("hidden", "collapse")
+        """:meth:`visible` of an SVG element, which has an attribute for display too."""
+        return self.visible(e) and (not e.attributes or e.get().get("display") != "none")
 
     def drawing(self, e: Element, out: Layout, pre: bool) -> None:
         """Labels and HTML of an SVG element, each on lines of its own; a switch shows one of its elements."""
+        dark = self.dark
         if not self.shown(e):
             return
+        inside = self.dark
         children = [c for c in e.children if isinstance(c, Element)]
         if e.tag == "switch":
             children = ([c for c in children if "systemlanguage" not in c.get()] or children)[:1]
         for child in children:
+            self.dark = inside
             if child.tag in SVG_GROUPS:
                 self.drawing(child, out, pre)
             elif child.tag == "foreignobject" and self.shown(child):
@@ -466,12 +500,15 @@ class Renderer:
                 self.label(child, label, child.get().get("y"))
                 label.flush()
                 out.add([x for x in label.lines if x], False)
+        self.dark = dark
 
     def label(self, e: Element, out: Layout, y: str | None) -> str | None:
         """Text of an SVG text element; parts at another height are other lines. Gives the height where it ends."""
+        dark = self.dark
         for child in e.children:
+            self.dark = dark
             if isinstance(child, str):
-                out.held.append(html.unescape(child).replace("\0", ""))
+                out.held.append("" if dark else html.unescape(child).replace("\0", ""))
             elif child.tag in ("tspan", "textpath", "a") and self.shown(child):
                 has = child.get()
                 if has.get("y", y) != y or _number(re.sub(r"[^\d-]|^-", "", has.get("dy", "0")), 0):
@@ -479,6 +516,7 @@ class Renderer:
                 elif "x" in has:
                     out.held.append(" ")
                 y = self.label(child, out, has.get("y", y))
+        self.dark = dark
         return y
 
     def formula(self, e: Element) -> str:
@@ -493,9 +531,11 @@ class Renderer:
         if tag == "mspace":
             return " "
         parts: list[str] = []
+        dark = self.dark
         for child in e.children:
+            self.dark = dark
             if isinstance(child, str):
-                text = _SPACE.sub(" ", html.unescape(child).replace("\0", "")).strip(" ")
+                text = "" if dark else _SPACE.sub(" ", html.unescape(child).replace("\0", "")).strip(" ")
                 parts += [text] if text else []
             elif child.tag not in ("annotation", "annotation-xml", "mphantom") and self.visible(child):
                 if child.tag == "svg":
@@ -504,6 +544,9 @@ class Renderer:
                     parts.append(" ".join(inner.lines))
                 else:
                     parts.append(self.formula(child))
+        self.dark = dark
+        if dark and not any(parts):
+            return ""
         if tag in ("semantics", "maction"):
             return "".join(parts[:1])
         if tag == "mtable":
@@ -532,6 +575,13 @@ class Renderer:
             out.add([x.rstrip() for x in lines], False)
 
     def block(self, e: Element, pre: bool = False) -> list[str]:
+        dark = self.dark
+        try:
+            return self._block(e, pre)
+        finally:
+            self.dark = dark
+
+    def _block(self, e: Element, pre: bool) -> list[str]:
         tag = e.tag
         if tag == "table":
             return self.table(e)
@@ -555,14 +605,16 @@ class Renderer:
     def items(self, e: Element, ordered: bool) -> list[str]:
         out = Layout()
         k = _number(e.get().get("start"), 1) if ordered and e.attributes else 1
-        loose = Element("div")
+        loose, dark = Element("div"), self.dark
 
         def spill() -> None:
+            self.dark = dark
             if loose.children:
                 out.add(self.block(loose), False)
                 loose.children = []
 
         for child in e.children:
+            self.dark = dark
             if isinstance(child, Element) and child.tag == "li":
                 spill()
                 if not self.visible(child):
@@ -571,7 +623,12 @@ class Renderer:
                     k = _number(child.get().get("value"), k)
                 mark = f"{k}. " if ordered else "- "
                 k += 1
+                unmarked = self.dark
                 lines = self.block(child)
+                if unmarked:
+                    mark = " " * len(mark)
+                    if not lines:
+                        continue
                 out.add([(mark if i == 0 else " " * len(mark)) + x if x or i == 0 else x for i, x in enumerate(lines)], False)
             elif isinstance(child, Element) and child.tag in LISTS:
                 spill()
@@ -579,6 +636,7 @@ class Renderer:
                     out.add(["  " + x if x else x for x in self.block(child)], False)
             else:
                 loose.children.append(child)
+        self.dark = dark
         spill()
         return out.lines
 
@@ -586,35 +644,45 @@ class Renderer:
         before, rows = Layout(), []
 
         def collect(node: Element) -> None:
+            dark = self.dark
             for child in node.children:
+                self.dark = dark
                 if isinstance(child, str):
-                    if not child.isspace():
+                    if not child.isspace() and not dark:
                         before.held.append(html.unescape(child).replace("\0", ""))
                 elif not self.visible(child):
                     continue
                 elif child.tag in ("thead", "tbody", "tfoot"):
                     collect(child)
                 elif child.tag == "tr":
-                    rows.append([c for c in child.children if isinstance(c, Element) and c.tag in ("td", "th") and self.visible(c)])
+                    rows.append([])
+                    in_row = self.dark
+                    for c in child.children:
+                        self.dark = in_row
+                        if isinstance(c, Element) and c.tag in ("td", "th") and self.visible(c):
+                            rows[-1].append((c, self.dark))
+                    self.dark = in_row
                     loose = Element("div")
                     loose.children = [c for c in child.children if not (isinstance(c, Element) and c.tag in ("td", "th"))]
                     self.walk(loose, before, False)
                 elif child.tag in ("td", "th"):
-                    rows.append([child])
+                    rows.append([(child, self.dark)])
                 elif child.tag not in ("col", "colgroup"):
                     before.flush()
                     if child.tag in FOREIGN:
                         loose = Element("div")
                         loose.children, child = [child], loose
                     before.add(self.block(child), False)
+            self.dark = dark
 
+        dark = self.dark
         collect(e)
         before.flush()
         grid: list[list[tuple[int, int, list[str]]]] = []  # column, columns, lines
         taken: dict[int, int] = {}  # column: rows that a span still covers
         for row in rows:
             line, column, added = [], 0, {}
-            for cell in row:
+            for cell, self.dark in row:
                 while taken.get(column, 0) > 0:
                     column += 1
                 has = cell.get() if cell.attributes else {}
@@ -628,6 +696,7 @@ class Renderer:
                 if k > 1:
                     taken[c] = k - 1
             grid.append(line)
+        self.dark = dark
         widths: dict[int, int] = {}
         for line in grid:
             for c, wide, lines in line:
@@ -643,6 +712,16 @@ class Renderer:
         for c in range(max(widths, default=-1) + 1):
             offsets[c] = x
             x += widths.get(c, 0) + 3 if c in widths else 0
+        size = sum(len(x) for line in grid for _, _, lines in line for x in lines)
+        padded = sum(offsets.get(c, 0) + len(x) for line in grid for k in range(max((len(lines) for _, _, lines in line), default=0)) for c, x in [max((c, lines[k]) for c, _, lines in line if k < len(lines))])
+        if padded > LOOSEST * size + 4000:
+            for line in grid:
+                if all(len(lines) <= 1 for _, _, lines in line):
+                    out.append(" | ".join(lines[0] for _, _, lines in line if lines))
+                else:
+                    for _, _, lines in line:
+                        out += lines
+            return out
         for line in grid:
             for k in range(max((len(lines) for _, _, lines in line), default=0)):
                 text = ""
@@ -660,13 +739,12 @@ def page_text(page: str | None) -> str | None:
     if page is None:
         return None
     root, styles = parse_html(page)
-    return "\n".join(Renderer(hiding_selectors(styles)).block(root))
+    return "\n".join(Renderer(hiding_rules(styles)).block(root))
 
 
 def extract_text(pages: DataFrame, *, html_col: str = "html", out_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``pages`` (all by default) and the visible text of each page."""
     columns = pages.columns if columns is None else columns
-    S.small_batches(pages.sparkSession)
     kept = pages.select(*columns)
     out_name, source = S.free_name(kept, out_col), S.free_name(pages, "page_to_read")
 

@@ -13,7 +13,7 @@ each text; only the fitted constants are sent along.
 
 Cases: a null text counts as empty; its score is that of an empty text. A null
 id is scored like any other and can't be labelled. Repeated rows are scored
-alike, each for itself. Labels that are null are ignored, several labels of one
+alike, each for itself, and each counts where it is fitted on. Labels that are null are ignored, several labels of one
 document are averaged. With no labels, or one class only, the probability is
 the mean label (1 without labels) and the score 0. Tables without rows give
 tables without rows. Where a column of the input has the name of an output
@@ -146,7 +146,6 @@ def fit_quality(
     seed: int = 7,
 ) -> QualityModel:
     """Fit on at most ``fit_rows`` labelled documents; ``bandwidth`` is in units of the square root of the number of statistics."""
-    S.small_batches(docs.sparkSession)
     d = len(STATISTICS)
     rng = np.random.default_rng(seed)
     directions = rng.normal(size=(d, features)) / (bandwidth * np.sqrt(d))
@@ -166,7 +165,7 @@ def fit_quality(
             held = pa.compute.bit_wise_and(b.column(b.schema.get_field_index("h")), 3)
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), b.column(b.schema.get_field_index("y")), held], ["x", "y", "h"])
 
-    described = S.written(matched.select("t", "y", F.xxhash64("k", F.lit(seed)).alias("h")).mapInArrow(describe, "x array<double>, y double, h bigint").repartition(8), "quality-fit")
+    described = S.written(matched.select("t", "y", F.xxhash64("k", F.lit(seed)).alias("h")).mapInArrow(describe, "x array<double>, y double, h bigint").repartition(-(-fit_rows // 2_500)), "quality-fit")
     sums = described.select(F.count("y").alias("n"), F.avg("y").alias("y"), F.min("y").alias("low"), F.max("y").alias("high"), *[f(F.col("x")[i]).alias(f"{name}{i}") for i in range(d) for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     base = 1.0 if not sums["n"] else sums["y"]
     blank = (np.zeros(d), np.ones(d), directions, phases, np.zeros(features), 0.0, np.array([0.0]), np.array([base]))
@@ -211,7 +210,6 @@ def fit_quality(
 
 def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:
     """Add ``score``, ``probability`` and ``keep`` (probability at least ``threshold``) to ``columns`` (all by default)."""
-    S.small_batches(docs.sparkSession)
     columns = docs.columns if columns is None else columns
     out = docs.select(*columns)
     names = [S.free_name(out, n) for n in ("score", "probability", "keep")]
@@ -229,7 +227,6 @@ def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text
 
 def keep_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose probability is at least ``threshold``, with their columns."""
-    S.small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
+from tokenloom.llm import _shared as S
 from tokenloom.llm import bpe, embedding_dedup, exact_dedup, html_text, mixing, near_dedup, quality, sharding, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    S.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,7 +30,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every near copy with the document of its group that stays."""
+    """Every document in a group of near copies, with the one that stays and the number of documents near to itself."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
@@ -61,8 +62,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of embeddings whose cosine is at least 0.95."""
-    return embedding_dedup.near_pairs(_table(spark, sf_dir, "embeddings"))
+    """Every embedding with its class, connected by cosines of at least 0.95, and the number of others so near."""
+    return embedding_dedup.near_classes(_table(spark, sf_dir, "embeddings"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +128,11 @@ FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id
 """
 
 OP9_SQL = """
-WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id < b.vec_id)
-SELECT vec_a, vec_b, round(s, 6) AS similarity FROM p WHERE s >= 0.95
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reached(vec_id, other) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.vec_id, p.b FROM reached r JOIN p ON r.other = p.a)
+SELECT vec_id, class_id, coalesce(links, 0)::BIGINT AS links
+FROM (SELECT vec_id, min(other) AS class_id FROM reached GROUP BY vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS links FROM p GROUP BY a) USING (vec_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_near_dedup, op4_suffix_dedup, op5_exact_dedup, op6_mixing, op7_warc, op8_sharding, op9_embedding_dedup, op10_html_text)}

@@ -139,7 +139,6 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """``(doc_id, start_word, n_words)``: maximal stretches in which every word is in a passage of ``length`` words that occurs at least twice."""
     if not (0 < gram and 1 < span <= min(63, length - gram + 1)):
         raise ValueError("span must be between 2 and length - gram + 1, and at most 63")
-    S.small_batches(docs.sparkSession)
     base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
