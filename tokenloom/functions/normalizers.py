@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import struct
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 import regex
@@ -20,7 +21,21 @@ from tokenloom.functions.aligned import BYTE_CHARS, LATIN, LATIN_TO, WHITE, WS,
 from tokenloom.sources.registry import component, escape_java, parse_pattern
 
 
+#: Code points whose case mapping isn't one code point, or hangs on neighbours.
+_LOWER_ODD = "\u0130\u03a3"
+_UPPER_ODD = "".join(c for c in map(chr, range(0x20000)) if len(c.upper()) != 1)
+
+
+def _by_code_point(c: Column, whole: Callable[[Column], Column], odd: str) -> Column:
+    """A case mapping that never changes the number of code points; only texts that hold ``odd`` ones are taken apart."""
+    apart = F.transform(F.regexp_extract_all(c, F.lit("[\\s\\S]"), F.lit(0)), lambda x: F.when(F.length(whole(x)) == 1, whole(x)).otherwise(x))
+    return F.when(c.rlike(f"[{odd}]"), F.array_join(apart, "")).otherwise(whole(c))
+
+
 class Normalizer:
+    #: Whether each code point of the text gives one of the result.
+    keeps_places = False
+
     def apply(self, text: Aligned) -> Aligned:
         raise NotImplementedError
 
@@ -41,6 +56,9 @@ class Normalizer:
 class _Form(Normalizer):
     form = "NFC"
 
+    def __call__(self, text: str) -> str:
+        return unicodedata.normalize(self.form, text)
+
     def apply(self, text: Aligned) -> Aligned:
         return text.normalized(self.form)
 
@@ -78,19 +96,32 @@ class NFKD(_Form):
 class Lowercase(Normalizer):
     """Lower case code point by code point: U+0130 and final sigma don't depend on their neighbours."""
 
+    keeps_places = True
+
+    def __call__(self, text: str) -> str:
+        return text.lower() if text.isascii() or not any(c in text for c in _LOWER_ODD) else "".join(map(lower_one, text))
+
     def apply(self, text: Aligned) -> Aligned:
-        if text.text.isascii():
-            return Aligned(text.text.lower(), text.spans, text.start)
-        return text.map(lower_one)
+        return Aligned(self(text.text), text.spans, text.start)
 
     def column(self, c: Column) -> Column:
-        return F.translate(F.lower(F.translate(c, "\u0130\u03a3", "\ue000\ue001")), "\ue000\ue001", "\u0130\u03c3")
+        return _by_code_point(c, F.lower, _LOWER_ODD)
 
 
 @component("normalizer", "Uppercase")
 class Uppercase(Normalizer):
+    """Upper case code point by code point; those that would become several stay."""
+
+    keeps_places = True
+
+    def __call__(self, text: str) -> str:
+        return text.upper() if text.isascii() else "".join(map(upper_one, text))
+
     def apply(self, text: Aligned) -> Aligned:
-        return text.map(upper_one)
+        return Aligned(self(text.text), text.spans, text.start)
+
+    def column(self, c: Column) -> Column:
+        return _by_code_point(c, F.upper, _UPPER_ODD)
 
 
 @component("normalizer", "Strip", strip_left=True, strip_right=True)
@@ -210,6 +241,36 @@ class BertNormalizer(Normalizer):
         return Lowercase().column(c) if self.lowercase else c
 
 
+def compile_charsmap(replacements: dict[str, str]) -> str:
+    """A compiled charsmap, as :class:`Precompiled` reads it, of keys and their replacements."""
+    trie: dict = {}
+    strings = bytearray()
+    for key in sorted(replacements):
+        node = trie
+        for b in key.encode("utf-8"):
+            node = node.setdefault(b, {})
+        node[-1] = len(strings)
+        strings += replacements[key].encode("utf-8") + b"\0"
+    units, bases = {0: 0}, set()
+    waiting = [(0, trie)]
+    while waiting:
+        at, node = waiting.pop()
+        labels = [0 if b < 0 else b for b in node]
+        base = 1
+        while base in bases or any(base ^ x in units for x in labels):
+            base += 1
+        bases.add(base)
+        units[at] |= ((at ^ base) << 10) | (0x100 if -1 in node else 0)
+        for b, inner in node.items():
+            if b < 0:
+                units[base] = 0x80000000 | inner
+            else:
+                units[base ^ b] = b
+                waiting.append((base ^ b, inner))
+    flat = [units.get(i, 0x80000000) for i in range(max(units) + 256)]
+    return base64.b64encode(struct.pack(f"<I{len(flat)}I", 4 * len(flat), *flat) + bytes(strings)).decode()
+
+
 @component("normalizer", "Precompiled", precompiled_charsmap=None)
 class Precompiled(Normalizer):
     """A compiled charsmap: a double array of keys and their replacements.
@@ -227,9 +288,17 @@ class Precompiled(Normalizer):
             (size,) = struct.unpack_from("<I", blob)
             self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
             self.strings = blob[4 + size :]
+        self.seen: dict[str, str | None] = {}
 
     def lookup(self, key: str) -> str | None:
-        """The replacement of exactly ``key``."""
+        """The replacement of exactly ``key``; answers are kept, up to a number."""
+        if key not in self.seen:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            self.seen[key] = self._walk(key)
+        return self.seen[key]
+
+    def _walk(self, key: str) -> str | None:
         if not self.units:
             return None
         unit = self.units[0]
@@ -268,6 +337,15 @@ class Precompiled(Normalizer):
 class Sequence(Normalizer):
     children = "normalizers"
 
+    @property
+    def keeps_places(self) -> bool:
+        return all(n.keeps_places for n in self.normalizers)
+
+    def __call__(self, text: str) -> str:
+        for n in self.normalizers:
+            text = n(text)
+        return text
+
     def apply(self, text: Aligned) -> Aligned:
         for n in self.normalizers:
             text = n.apply(text)

@@ -75,6 +75,12 @@ class PreTokenizer:
         """Texts of the pieces, without places."""
         return [p.text for p in self.split(Aligned(text))]
 
+    #: Whether pieces are parts of the text as it is, which :meth:`spans` then gives.
+    exact = False
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        raise NotImplementedError
+
     def column(self, c: Column) -> Column:
         raise NotImplementedError
 
@@ -83,12 +89,16 @@ class _Matches(PreTokenizer):
     """Pieces are the matches of ``java``."""
 
     java = ""
+    exact = True
 
     def prepare(self) -> None:
         self.compiled = regex.compile(python_regex(self.java))
 
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        return [m.span() for m in self.compiled.finditer(text)]
+
     def split(self, text: Aligned) -> list[Aligned]:
-        return [text.slice(*m.span()) for m in self.compiled.finditer(text.text)]
+        return [text.slice(i, j) for i, j in _Matches.spans(self, text.text)]
 
     def __call__(self, text: str) -> list[str]:
         return self.compiled.findall(text)
@@ -128,6 +138,8 @@ class Digits(_Matches):
 class ByteLevel(_Matches):
     """Optional leading space, split by contractions, letters, numbers and the rest, then bytes as characters."""
 
+    exact = False
+
     java = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{WS}\\p{{L}}\\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 
     def split(self, text: Aligned) -> list[Aligned]:
@@ -139,7 +151,8 @@ class ByteLevel(_Matches):
     def __call__(self, text: str) -> list[str]:
         if self.add_prefix_space and text and text[0] != " ":
             text = " " + text
-        return [byte_encode(p) for p in (self.compiled.findall(text) if self.use_regex else [text] if text else [])]
+        pieces = self.compiled.findall(text) if self.use_regex else [text] if text else []
+        return [p.translate(_ASCII_CHARS) if p.isascii() else byte_encode(p) for p in pieces]
 
     def column(self, c: Column) -> Column:
         if self.add_prefix_space:
@@ -148,6 +161,9 @@ class ByteLevel(_Matches):
         return F.transform(pieces, ByteLevelNormalizer().column)
 
 
+_ASCII_CHARS = dict(enumerate(BYTE_CHARS[:128]))
+
+
 def byte_encode(text: str) -> str:
     """A text's UTF-8 bytes as printable characters."""
     return "".join(BYTE_CHARS[b] for b in text.encode("utf-8", "replace"))
@@ -165,9 +181,17 @@ class _Delimited(PreTokenizer):
     def how(self) -> str:
         return behavior_name(self.behavior)
 
+    exact = True
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        found = [m.span() for m in self.compiled.finditer(text) if m.end() > m.start()] if self.compiled else []
+        return ranges(found, len(text), self.how(), self.runs)
+
+    def __call__(self, text: str) -> list[str]:
+        return [text[i:j] for i, j in self.spans(text)]
+
     def split(self, text: Aligned) -> list[Aligned]:
-        found = [m.span() for m in self.compiled.finditer(text.text) if m.end() > m.start()] if self.compiled else []
-        return [text.slice(i, j) for i, j in ranges(found, len(text.text), self.how(), self.runs)]
+        return [text.slice(i, j) for i, j in self.spans(text.text)]
 
     def column(self, c: Column) -> Column:
         if not self.java:
@@ -203,12 +227,11 @@ class Split(_Delimited):
         self.runs = self.merge_runs
         super().prepare()
 
-    def split(self, text: Aligned) -> list[Aligned]:
+    def spans(self, text: str) -> list[tuple[int, int]]:
         if not (self.invert and self.apply_invert):
-            return super().split(text)
-        found = [m.span() for m in self.compiled.finditer(text.text) if m.end() > m.start()]
-        between = ranges(found, len(text.text), REMOVED)
-        return [text.slice(i, j) for i, j in ranges(between, len(text.text), self.how(), self.runs)]
+            return super().spans(text)
+        found = [m.span() for m in self.compiled.finditer(text) if m.end() > m.start()]
+        return ranges(ranges(found, len(text), REMOVED), len(text), self.how(), self.runs)
 
     def column(self, c: Column) -> Column:
         if self.invert and self.apply_invert:
@@ -276,10 +299,18 @@ class Metaspace(PreTokenizer):
 
     def prepare(self) -> None:
         self.cut = self.split_on = self.__dict__.pop("split")
+        mark = regex.escape(self.replacement)
+        self.compiled = regex.compile(f"{mark}(?:(?!{mark})[\\s\\S])*+|(?:(?!{mark})[\\s\\S])++" if len(self.replacement) > 1 else f"{mark}[^{mark}]*+|[^{mark}]++")
 
     def to_json(self) -> dict:
         return {"type": "Metaspace", "replacement": self.replacement, "prepend_scheme": self.prepend_scheme, "split": self.cut}
 
+    def __call__(self, text: str) -> list[str]:
+        text = text.replace(" ", self.replacement)
+        if text and self.prepend_scheme != "never" and not text.startswith(self.replacement):
+            text = self.replacement + text
+        return self.compiled.findall(text) if self.cut else [text] if text else []
+
     def split(self, text: Aligned) -> list[Aligned]:
         mark = self.replacement
         text = text.map(lambda c: mark if c == " " else c)

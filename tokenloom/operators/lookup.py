@@ -1,7 +1,7 @@
 """Vocabulary operators as relations: counting, lookups, unions.
 
-A vocabulary is of bounded size. It is broadcast where it has at most
-``BROADCAST_ROWS`` rows and joined by its key beyond that.
+A vocabulary is broadcast where its bytes, measured, are at most
+``BROADCAST_BYTES``, and joined by its key beyond that.
 """
 
 from __future__ import annotations
@@ -9,17 +9,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small(vocab: DataFrame, rows: int | None = None) -> DataFrame:
-    """The vocabulary with a broadcast hint if its rows, counted where not given, are few enough."""
-    rows = vocab.count() if rows is None else rows
-    return F.broadcast(vocab) if rows <= BROADCAST_ROWS else vocab
+def small(vocab: DataFrame, size: int | None = None) -> DataFrame:
+    """The vocabulary with a broadcast hint if its bytes, measured where not given, are few enough."""
+    if size is None:
+        texts = [f.name for f in vocab.schema.fields if f.dataType.typeName() == "string"]
+        row = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts), F.lit(64).cast("bigint"))
+        size = vocab.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(vocab) if size <= BROADCAST_BYTES else vocab
 
 
 def words(df: DataFrame, pieces: Column, columns: list[str]) -> DataFrame:
@@ -28,25 +32,35 @@ def words(df: DataFrame, pieces: Column, columns: list[str]) -> DataFrame:
 
 
 def frequent_vocab(rows: DataFrame, least: int = 2, first_id: int = 1) -> DataFrame:
-    """``(token, id)`` of words that occur at least ``least`` times, ranked by count and then by word."""
+    """``(token, id)`` of words that occur at least ``least`` times, ranked by count and then by word.
+
+    The ranked vocabulary is kept (``unpersist`` lets it go), since a lookup
+    reads it more than once, and the corpus is counted once. It is sorted by
+    range, so that no task gets all of it; ids go on from one range to the next.
+    """
     counted = rows.groupBy(F.col("word").alias("token")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))  # one task for the vocabulary alone
-    return counted.select("token", (rank + F.lit(first_id - 1)).cast("bigint").alias("id"))
+    place = F.monotonically_increasing_id()  # the range above 33 bits of the place in it
+    ranked = counted.orderBy(F.desc("n"), "token").select("token", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("at")).persist()
+    sizes = {r["part"]: r["n"] for r in ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+    parts = sorted(sizes)
+    before = dict(zip(parts, np.cumsum([0] + [sizes[x] for x in parts]).tolist()))
+    start = F.lit(0).cast("bigint") if not parts else F.element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in before.items() for x in pair]), F.col("part"))
+    return ranked.select("token", (start + F.col("at") + F.lit(first_id)).cast("bigint").alias("id"))
 
 
-def word_level(rows: DataFrame, vocab: DataFrame, unk_id: int | None = None, rows_of_vocab: int | None = None) -> DataFrame:
+def word_level(rows: DataFrame, vocab: DataFrame, unk_id: int | None = None, vocab_bytes: int | None = None) -> DataFrame:
     """Exact lookup of ``word``; unknown words get ``unk_id``, or leave if there is none."""
-    joined = rows.join(small(vocab.select(F.col("token").alias("word"), F.col("id").alias("_id")), rows_of_vocab), "word", "left")
+    joined = rows.join(small(vocab.select(F.col("token").alias("word"), F.col("id").alias("_id")), vocab_bytes), "word", "left")
     out = joined.select(*rows.columns, F.coalesce("_id", F.lit(unk_id)).cast("bigint").alias("id"))
     return out if unk_id is not None else out.where("id is not null")
 
 
 def token_to_id(rows: DataFrame, vocab: DataFrame, added: DataFrame | None = None, token_col: str = "token") -> DataFrame:
     """Ids of tokens: the added vocabulary's first, then the model's; null where unknown."""
-    out = rows.join(F.broadcast(vocab.select(F.col("token").alias(token_col), F.col("id").alias("_m"))), token_col, "left")
+    out = rows.join(small(vocab.select(F.col("token").alias(token_col), F.col("id").alias("_m"))), token_col, "left")
     if added is None:
         return out.withColumnRenamed("_m", "id")
-    out = out.join(F.broadcast(added.select(F.col("token").alias(token_col), F.col("id").alias("_a"))), token_col, "left")
+    out = out.join(small(added.select(F.col("token").alias(token_col), F.col("id").alias("_a"))), token_col, "left")
     return out.select(*rows.columns, F.coalesce("_a", "_m").alias("id"))
 
 
@@ -56,7 +70,7 @@ def id_to_token(rows: DataFrame, vocab: DataFrame, id_col: str = "id") -> DataFr
 
 def vocab_with_added(vocab: DataFrame, added: DataFrame) -> DataFrame:
     """Union of both; an added token replaces the model's of the same name."""
-    return vocab.join(F.broadcast(added), "token", "left_anti").select("token", "id").unionByName(added.select("token", "id"))
+    return vocab.join(small(added.select("token")), "token", "left_anti").select("token", "id").unionByName(added.select("token", "id"))
 
 
 def suffix_array(text: str) -> list[int]:

@@ -31,6 +31,12 @@ class Model:
     """``tokens`` of a word; ``cacheable`` is false where chance decides."""
 
     cacheable = True
+    seed = None
+
+    def begin(self, text: str) -> None:
+        """Called with each text before its words: with a seed, chance hangs on it and the text alone, not on other rows."""
+        if not self.cacheable and self.seed is not None:
+            self.chance.seed(f"{self.seed}:{text}")
 
     def tokens(self, word: str) -> list[Token]:
         raise NotImplementedError
@@ -333,7 +339,8 @@ class Unigram(Model):
         self.index: dict[str, int] = {}
         for i, (t, _) in enumerate(self.scores):
             self.index.setdefault(t, i)
-        self.longest = max((len(t) for t, _ in self.scores), default=0)
+        self.score_of = [s for _, s in self.scores]
+        self._trie: dict | None = None
         self.unk_score = min((s for _, s in self.scores), default=-10.0) - 10.0
         self.cacheable = not (self.alpha > 0 and self.nbest > 0)
         self.chance = random.Random(self.seed)
@@ -347,9 +354,54 @@ class Unigram(Model):
     def size(self) -> int:
         return len(self.scores)
 
+    @property
+    def trie(self) -> dict:
+        """The pieces by their characters; the id of the piece that ends at a node is under the empty string."""
+        if self._trie is None:
+            self._trie = {}
+            for piece, i in self.index.items():
+                node = self._trie
+                for c in piece:
+                    node = node.setdefault(c, {})
+                if piece:
+                    node[""] = i
+        return self._trie
+
     def prefixes(self, text: str, at: int) -> list[tuple[int, int]]:
         """``(end, id)`` of the pieces that begin at a place, short ones first."""
-        return [(e, self.index[text[at:e]]) for e in range(at + 1, min(len(text), at + self.longest) + 1) if text[at:e] in self.index]
+        out, node = [], self.trie
+        for e in range(at, len(text)):
+            node = node.get(text[e])
+            if node is None:
+                break
+            if "" in node:
+                out.append((e + 1, node[""]))
+        return out
+
+    def best(self, text: str) -> list[tuple[int, int, int]]:
+        """``(start, end, id)`` along the best path, -1 for unknown code points: the lattice's Viterbi path, without a lattice."""
+        n, trie, scores = len(text), self.trie, self.score_of
+        score, back, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        score[0] = 0.0
+        for at in range(n):
+            here, node, single = score[at], trie, False
+            for e in range(at, n):
+                node = node.get(text[e])
+                if node is None:
+                    break
+                i = node.get("")
+                if i is not None:
+                    single |= e == at
+                    made = here + scores[i]
+                    if made > score[e + 1]:
+                        score[e + 1], back[e + 1], piece[e + 1] = made, at, i
+            if not single and here + self.unk_score > score[at + 1]:
+                score[at + 1], back[at + 1], piece[at + 1] = here + self.unk_score, at, -1
+        out, at = [], n
+        while at:
+            out.append((back[at], at, piece[at]))
+            at = back[at]
+        return out[::-1]
 
     def lattice(self, text: str) -> Lattice:
         out = Lattice(text)
@@ -363,9 +415,10 @@ class Unigram(Model):
         return out
 
     def tokens(self, word: str) -> list[Token]:
+        if self.cacheable:
+            return self.finished(word, self.best(word))
         lattice = self.lattice(word)
-        path = lattice.sample(self.alpha, self.chance) if not self.cacheable else lattice.viterbi()
-        return self.finished(word, [(lattice.nodes[k][0], lattice.nodes[k][1], lattice.nodes[k][3]) for k in path])
+        return self.finished(word, [(lattice.nodes[k][0], lattice.nodes[k][1], lattice.nodes[k][3]) for k in lattice.sample(self.alpha, self.chance)])
 
     def finished(self, word: str, parts: list[tuple[int, int, int]]) -> list[Token]:
         """Fuse unknown neighbours, spell them as bytes where asked and possible, and give ids."""

@@ -187,21 +187,28 @@ def word_to_chars(offsets: Column, word_ids: Column, word: Column) -> Column:
     return F.when(found.isNotNull(), F.struct(F.get(offsets, found["first"])["start"].alias("start"), F.get(offsets, found["first"] + found["count"] - 1)["end"].alias("end")))
 
 
-def merge_encodings(first: Column, second: Column, growing_offsets: bool = False) -> Column:
-    """Two encoding structs as one; the second's offsets may go on from the first's last end."""
+def merge_encodings(first: Column, second: Column, growing_offsets: bool = False, fields: tuple[str, ...] = FIELDS) -> Column:
+    """Two encoding structs, of ``fields``, as one; the second's offsets may go on from the first's last end."""
     shift = F.coalesce(F.try_element_at(first["offsets"], F.lit(-1))["end"], F.lit(0)) if growing_offsets else F.lit(0)
-    moved = F.transform(second["offsets"], lambda o: F.struct((o["start"] + shift).alias("start"), (o["end"] + shift).alias("end")))
-    return F.struct(*[F.concat(first[f], moved if f == "offsets" else second[f]).alias(f) for f in FIELDS])
+    parts = []
+    for f in fields:
+        moved = F.transform(second[f], lambda o: F.struct((o["start"] + shift).alias("start"), (o["end"] + shift).alias("end"))) if f == "offsets" else second[f]
+        parts.append(F.concat(first[f], moved).alias(f))
+    return F.struct(*parts)
 
 
 def tall(df: DataFrame, encoding_col: str = "encoding", keys: list[str] | None = None) -> DataFrame:
-    """A row for each token: ``keys``, ``window_index``, ``pos`` and the token's fields."""
+    """A row for each token: ``keys``, ``window_index``, ``pos`` and those of the token's fields that the encoding has."""
     keys = keys or [c for c in df.columns if c not in (encoding_col, "window_index")]
-    e = F.col(encoding_col)
-    zipped = F.arrays_zip(*[e[f].alias(f) for f in FIELDS])
-    rows = df.select(*keys, "window_index", F.posexplode(zipped).alias("pos", "t"))
-    t = F.col("t")
-    return rows.select(*keys, "window_index", "pos", t["ids"].alias("id"), t["tokens"].alias("token"), t["word_ids"].alias("word_id"), t["offsets"]["start"].alias("start"), t["offsets"]["end"].alias("end"), t["type_ids"].alias("type_id"), t["special_tokens_mask"].alias("special"), t["attention_mask"].alias("attention"), t["sequence_ids"].alias("sequence_id"))
+    have = df.schema[encoding_col].dataType.names
+    e, t = F.col(encoding_col), F.col("t")
+    zipped = F.arrays_zip(*[e[f].alias(f) for f in have]) if len(have) > 1 else F.transform(e[have[0]], lambda x: F.struct(x.alias(have[0])))
+    names = {"ids": "id", "tokens": "token", "word_ids": "word_id", "type_ids": "type_id", "special_tokens_mask": "special", "attention_mask": "attention", "sequence_ids": "sequence_id"}
+    out = []
+    for f in ("ids", "tokens", "word_ids", "offsets", "type_ids", "special_tokens_mask", "attention_mask", "sequence_ids"):
+        if f in have:
+            out += [t[f]["start"].alias("start"), t[f]["end"].alias("end")] if f == "offsets" else [t[f].alias(names[f])]
+    return df.select(*keys, "window_index", F.posexplode(zipped).alias("pos", "t")).select(*keys, "window_index", "pos", *out)
 
 
 def wide(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,8 @@ for each distinct word a worker meets. The definition is sent to a worker once.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Any
@@ -20,15 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions import decoders, normalizers, pretokenizers, processors  # noqa: F401
-from tokenloom.functions.aligned import Aligned
+from tokenloom.functions.aligned import CHAR_BYTES, Aligned
 from tokenloom.operators import models
 from tokenloom.operators.encoding import FIELDS, EncodingRow, pad_target, truncate_pair
+from tokenloom.plans import batches as B
 from tokenloom.plans.added import AddedToken, AddedVocabulary
 from tokenloom.sources.registry import build, dump
 
 OFFSETS = ("char", "byte", "utf16", "none")
 CACHED_WORDS = 200_000
 LONGEST_CACHED = 128
+MOST_BUILT = 64
 
 ENCODING = T.StructType(
     [
@@ -42,10 +45,6 @@ ENCODING = T.StructType(
         T.StructField("sequence_ids", T.ArrayType(T.IntegerType())),
     ]
 )
-_ARROW = pa.struct(
-    [("ids", pa.list_(pa.int64())), ("type_ids", pa.list_(pa.int32())), ("tokens", pa.list_(pa.string())), ("word_ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-    + [(f, pa.list_(pa.int32())) for f in FIELDS[5:]]
-)
 
 
 @dataclass(frozen=True)
@@ -93,7 +92,11 @@ class Tokenizer:
         self.truncation, self.padding, self.encode_special_tokens = truncation, padding, encode_special_tokens
         self.added = AddedVocabulary(list(added_tokens), model.size(), model.vocabulary(), normalizer, encode_special_tokens)
         self.cache: dict[str, list[models.Token]] = {}
-        self.id_cache: dict[str, list[int]] = {}
+        #: Whether ids are those of the pre-tokenizer's pieces; whether pieces are parts of the text, at the same places.
+        self.plain = pre_tokenizer is not None and not self.added.tokens and model.cacheable
+        self.direct = self.plain and pre_tokenizer.exact and (normalizer is None or normalizer.keeps_places)
+        self.table = B.WordTable(model.tokens)
+        self.byte_table: B.ByteTable | None = None
 
     # definition
 
@@ -182,8 +185,22 @@ class Tokenizer:
                     if piece.text:
                         yield piece, None
 
+    def pieces(self, text: str) -> list[str]:
+        """Of a tokenizer that is plain."""
+        return self.pre_tokenizer(self.normalizer(text) if self.normalizer else text)
+
     def encode_sequence(self, text: str, places: bool = True) -> EncodingRow:
         out = EncodingRow()
+        self.model.begin(text)
+        if self.direct:
+            normal = self.normalizer(text) if self.normalizer else text
+            for word_id, (i, j) in enumerate(self.pre_tokenizer.spans(normal)):
+                for t in self.word(normal[i:j]):
+                    out.ids.append(t.id)
+                    out.tokens.append(t.value)
+                    out.word_ids.append(word_id)
+                    out.offsets.append((i + t.start, i + t.end) if places else (0, 0))
+            return self._even(out)
         for word_id, (piece, token) in enumerate(self.segments(Aligned.of(text, places))):
             found = [models.Token(token.id, token.content, 0, len(piece.text))] if token else self.word(piece.text)
             for t in found:
@@ -191,6 +208,10 @@ class Tokenizer:
                 out.tokens.append(t.value)
                 out.word_ids.append(word_id)
                 out.offsets.append(piece.span(t.start, t.end) if places else (0, 0))
+        return self._even(out)
+
+    @staticmethod
+    def _even(out: EncodingRow) -> EncodingRow:
         n = len(out.ids)
         out.type_ids, out.special_tokens_mask, out.attention_mask, out.sequence_ids = [0] * n, [0] * n, [1] * n, [None] * n
         return out
@@ -198,25 +219,13 @@ class Tokenizer:
     def sequence_ids(self, text: str, most: int | None = None) -> list[int]:
         """Ids alone; stops at the piece that reaches ``most``."""
         out: list[int] = []
-        if not self.added.tokens and self.pre_tokenizer is not None:
-            cached = self.id_cache
-            for piece in self.pre_tokenizer(self.normalizer(text) if self.normalizer else text):
-                found = cached.get(piece)
-                if found is None:
-                    found = [t.id for t in self.word(piece)]
-                    if self.model.cacheable and len(piece) <= LONGEST_CACHED:
-                        if len(cached) >= CACHED_WORDS:
-                            cached.clear()
-                        cached[piece] = found
-                out += found
-                if most is not None and len(out) >= most:
-                    return out[:most]
-            return out
-        for piece, token in self.segments(Aligned(text)):
+        self.model.begin(text)
+        found = ((p, None) for p in self.pieces(text)) if self.plain else ((p.text, t) for p, t in self.segments(Aligned(text)))
+        for piece, token in found:
             if token:
                 out.append(token.id)
             else:
-                out += [t.id for t in self.word(piece.text)]
+                out += [t.id for t in self.word(piece)]
             if most is not None and len(out) >= most:
                 return out[:most]
         return out
@@ -281,96 +290,142 @@ class Tokenizer:
     # DataFrames
 
     def _sender(self) -> Any:
-        """A function that gives the workers' copy of this tokenizer, built once in each."""
-        definition, special, key = self.to_json(), self.encode_special_tokens, uuid.uuid4().hex
+        """A function that gives the workers' copy of this tokenizer, built once in each for one definition."""
+        definition, special = self.to_json(), self.encode_special_tokens
+        key = hashlib.sha256(json.dumps([definition, special], sort_keys=True, default=str).encode()).hexdigest()
 
         def get() -> Tokenizer:
             found = _built.get(key)
             if found is None:
+                if len(_built) >= MOST_BUILT:
+                    _built.clear()
                 found = _built[key] = Tokenizer.from_json(definition).with_(encode_special_tokens=special)
             return found
 
         return get
 
-    def encode_frame(self, df: DataFrame, text_col: str = "text", pair_col: str | None = None, *, specials: bool = True, offsets: str = "char", columns: list[str] | None = None, out_col: str = "encoding", words: bool = False) -> DataFrame:
+    def encode_frame(
+        self,
+        df: DataFrame,
+        text_col: str = "text",
+        pair_col: str | None = None,
+        *,
+        specials: bool = True,
+        offsets: str = "char",
+        columns: list[str] | None = None,
+        out_col: str = "encoding",
+        words: bool = False,
+        fields: tuple[str, ...] = FIELDS,
+    ) -> DataFrame:
         """A row for each window: ``columns`` (all by default), ``window_index`` and the encoding.
 
-        ``words``: the text columns hold arrays of words. Null texts have one
-        row with a null encoding. Padding to the longest is by
-        :func:`tokenloom.operators.shape.pad_batch`.
+        ``fields`` are those of the encoding that are wanted. ``words``: the text
+        columns hold arrays of words. Null texts have one row with a null
+        encoding. Padding to the longest is by
+        :func:`tokenloom.operators.shape.pad_batch`. Names that a column has
+        already get underscores.
         """
         if offsets not in OFFSETS:
             raise ValueError(f"offsets must be one of {OFFSETS}")
+        if not set(fields) <= set(FIELDS):
+            raise ValueError(f"fields must be of {FIELDS}")
+        fields = tuple(f for f in FIELDS if f in fields)
         columns = df.columns if columns is None else columns
         get = self._sender()
-        source = df.select(*columns, F.col(text_col).alias("_text"), (F.col(pair_col) if pair_col else F.lit(None).cast(df.schema[text_col].dataType)).alias("_pair"))
-        schema = T.StructType([*df.select(*columns).schema.fields, T.StructField("window_index", T.IntegerType()), T.StructField(out_col, ENCODING)])
+        kept = df.select(*columns)
+        window = B.free_name(columns, "window_index")
+        out_name = B.free_name([*columns, window], out_col)
+        text, pair = B.free_name(df.columns, "_text"), B.free_name(df.columns, "_pair")
+        source = df.select(*columns, F.col(text_col).alias(text), (F.col(pair_col) if pair_col else F.lit(None).cast(df.schema[text_col].dataType)).alias(pair))
+        schema = T.StructType([*kept.schema.fields, T.StructField(window, T.IntegerType()), T.StructField(out_name, T.StructType([ENCODING[f] for f in fields]))])
+        names = [*columns, window, out_name]
+        alone = pair_col is None and not words and offsets in ("char", "none") and self.truncation is None and self.post_processor is None and (self.padding is None or self.padding.fixed is None)
+
+        def rows(tok: Tokenizer, b: pa.RecordBatch) -> pa.RecordBatch:
+            row, index, made = [], [], []
+            for i, (text, pair) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
+                if text is None:
+                    row.append(i), index.append(0), made.append(None)
+                    continue
+                if words:
+                    tok.model.begin(" ".join(text))
+                    e = tok.finish(tok.encode_words(text), tok.encode_words(pair) if pair else None, specials, reduce=False)
+                else:
+                    e = tok.encode(text, pair, specials=specials, offsets=offsets)
+                for k, w in enumerate([e, *e.overflow]):
+                    row.append(i), index.append(k), made.append(w)
+            take = pa.array(row, pa.int64())
+            return pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[:-2]], pa.array(index, pa.int32()), B.as_structs(made, fields)], names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tok = get()
             for batch in batches:
+                if alone and tok.direct:
+                    for b in B.text_slices(batch, batch.num_columns - 2):
+                        made = B.flat_encodings(tok, b.column(b.num_columns - 2).to_pylist(), fields, offsets != "none")
+                        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(np.zeros(b.num_rows, np.int32)), made], names)
+                    continue
                 for start in range(0, batch.num_rows, 200):
-                    b = batch.slice(start, 200)
-                    row, index, made = [], [], []
-                    for i, (text, pair) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
-                        if text is None:
-                            row.append(i), index.append(0), made.append(None)
-                            continue
-                        if words:
-                            e = tok.finish(tok.encode_words(text), tok.encode_words(pair) if pair else None, specials, reduce=False)
-                        else:
-                            e = tok.encode(text, pair, specials=specials, offsets=offsets)
-                        for k, w in enumerate([e, *e.overflow]):
-                            row.append(i), index.append(k), made.append(as_struct(w))
-                    take = pa.array(row, pa.int64())
-                    yield pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[:-2]], pa.array(index, pa.int32()), pa.array(made, _ARROW)], [*b.schema.names[:-2], "window_index", out_col])
+                    yield rows(tok, batch.slice(start, 200))
 
         return source.mapInArrow(run, schema)
 
     def ids_frame(self, df: DataFrame, text_col: str = "text", *, specials: bool = True, columns: list[str] | None = None, out_col: str = "ids") -> DataFrame:
-        """``columns`` and the ids alone; truncation cuts exactly and stops early, nothing is padded."""
+        """``columns`` and the ids alone; truncation cuts exactly and stops early, nothing is padded. A name that a column has already gets underscores."""
         columns = df.columns if columns is None else columns
         get = self._sender()
-        schema = T.StructType([*df.select(*columns).schema.fields, T.StructField(out_col, T.ArrayType(T.LongType()))])
+        out_name, source = B.free_name(columns, out_col), B.free_name(df.columns, "_text")
+        schema = T.StructType([*df.select(*columns).schema.fields, T.StructField(out_name, T.ArrayType(T.LongType()))])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tok = get()
+        def rows(tok: Tokenizer, texts: list[str | None]) -> pa.Array:
             t, post = tok.truncation, tok.post_processor
             most = None if t is None else max(t.max_length - (post.added(False) if post and specials else 0), 0)
             early = most if t is not None and t.direction == "Right" else None
-            for b in batches:
-                made: list[list[int] | None] = []
-                for text in b.column(b.num_columns - 1).to_pylist():
-                    if text is None:
-                        made.append(None)
-                        continue
-                    ids = tok.sequence_ids(text, early) if most != 0 else []
-                    if most is not None and len(ids) > most:
-                        ids = ids[-most:] if t.direction == "Left" else ids[:most]
-                    if post is not None:
-                        n = len(ids)
-                        ids = post.process(EncodingRow(ids, [0] * n, [""] * n, [None] * n, [(0, 0)] * n, [0] * n, [1] * n, [None] * n), None, specials).ids
-                    made.append(ids)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.list_(pa.int64()))], [*b.schema.names[:-1], out_col])
-
-        return df.select(*columns, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+            if most is None and post is None and tok.plain:
+                return B.flat_ids(tok, texts)
+            made: list[list[int] | None] = []
+            for text in texts:
+                if text is None:
+                    made.append(None)
+                    continue
+                ids = tok.sequence_ids(text, early) if most != 0 else []
+                if most is not None and len(ids) > most:
+                    ids = ids[-most:] if t.direction == "Left" else ids[:most]
+                if post is not None:
+                    n = len(ids)
+                    ids = post.process(EncodingRow(ids, [0] * n, [""] * n, [None] * n, [(0, 0)] * n, [0] * n, [1] * n, [None] * n), None, specials).ids
+                made.append(ids)
+            return pa.array(made, pa.list_(pa.int64()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tok = get()
+            for batch in batches:
+                for b in B.text_slices(batch, batch.num_columns - 1):
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], rows(tok, b.column(b.num_columns - 1).to_pylist())], [*columns, out_name])
+
+        return df.select(*columns, F.col(text_col).alias(source)).mapInArrow(run, schema)
 
     def decode_frame(self, df: DataFrame, ids_col: str = "ids", *, skip_special: bool = True, out_col: str = "decoded") -> DataFrame:
-        """All columns and the decoded text of each list of ids."""
+        """All columns and the decoded text of each list of ids. A name that a column has already gets underscores."""
         get = self._sender()
-        at = df.columns.index(ids_col)
+        at, out_name = df.columns.index(ids_col), B.free_name(df.columns, out_col)
+
+        def texts(tok: Tokenizer, ids: pa.Array) -> list[str | None]:
+            if isinstance(tok.decoder, decoders.ByteLevel) and not tok.added.tokens:
+                if tok.byte_table is None:
+                    tok.byte_table = B.ByteTable({i: t for t, i in tok.model.vocabulary().items()}, CHAR_BYTES)
+                return tok.byte_table.decode(ids)
+            return [None if x is None else tok.decode(x, skip_special) for x in ids.to_pylist()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tok = get()
-            for b in batches:
-                texts = [None if ids is None else tok.decode(ids, skip_special) for ids in b.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out_col])
-
-        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
-
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    b = batch.slice(start, 500)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts(tok, b.column(at)), pa.string())], [*df_columns, out_name])
 
-def as_struct(e: EncodingRow) -> dict[str, Any]:
-    return {f: [{"start": s, "end": t} for s, t in e.offsets] if f == "offsets" else getattr(e, f) for f in FIELDS}
+        df_columns = df.columns
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_name, T.StringType())]))
 
 
 def read_truncation(data: dict[str, Any] | None) -> Truncation | None:

@@ -6,6 +6,7 @@ can be compared across engines.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from typing import Any
 
@@ -20,6 +21,7 @@ from tokenloom.functions import processors as R
 from tokenloom.functions.aligned import BYTE_CHARS, WS
 from tokenloom.operators import lookup, models, shape
 from tokenloom.plans.added import AddedToken
+from tokenloom.plans.batches import spread
 from tokenloom.plans.tokenizer import Padding, Tokenizer, Truncation
 from tokenloom.streaming.decode import decode_rows
 
@@ -30,7 +32,8 @@ SEP = "\x1f"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table, over all cores also where it is small."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -56,6 +59,12 @@ def _joined(c: Column) -> Column:
 # normalizers: string to string over documents
 
 
+def _replaces(expression: str, replacements: dict[str, str]) -> str:
+    for old, new in replacements.items():
+        expression = f"replace({expression}, {samples.sql_text(old)}, {samples.sql_text(new)})"
+    return expression
+
+
 def _normalizer(name: str, part: N.Normalizer, sql: str | None, before: N.Normalizer | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = F.col("text") if before is None else before.column(F.col("text"))
@@ -67,11 +76,23 @@ def _normalizer(name: str, part: N.Normalizer, sql: str | None, before: N.Normal
 _LOWER = "lower(text)"
 _MARKS = r"regexp_replace({}, '\p{{M}}+', '', 'g')"
 _normalizer("nfc", N.NFC(), "nfc_normalize(text)", before=N.NFD())
-_normalizer("nfd", N.NFD(), None)
-_normalizer("nfkc", N.NFKC(), None, before=N.NFD())
-_normalizer("nfkd", N.NFKD(), None)
+_BYTES = "".join(c for c in "äöüßéèêëàâîïôûùçñíóúáÄÖÜÉÈÊÇÑÍÓÚÁÀœ¿¡")
+
+
+def _apart_sql(expression: str) -> str:
+    """Canonical decomposition by replacing the letters of these tables one by one."""
+    for c in _BYTES:
+        if unicodedata.decomposition(c):
+            expression = f"replace({expression}, '{c}', '{unicodedata.normalize('NFD', c)}')"
+    return expression
+
+
+_LIGATURE = N.Replace(pattern="fi", content="\ufb01")  # so that compatibility forms have something to do
+_normalizer("nfd", N.NFD(), _apart_sql("text"))
+_normalizer("nfkc", N.NFKC(), "nfc_normalize(text)", before=N.Sequence(normalizers=[N.NFD(), _LIGATURE]))
+_normalizer("nfkd", N.NFKD(), _apart_sql("text"), before=_LIGATURE)
 _normalizer("lower", N.Lowercase(), _LOWER)
-_normalizer("upper", N.Uppercase(), None)
+_normalizer("upper", N.Uppercase(), "replace(upper(replace(text, 'ß', chr(57344))), chr(57344), 'ß')")
 _normalizer("strip", N.Strip(), r"regexp_replace(regexp_replace(replace(text, 'the', ' '), '^[" + WS + r"]+', ''), '[" + WS + r"]+$', '')", before=N.Replace(pattern="the", content=" "))
 _normalizer("accents", N.StripAccents(), "strip_accents(text)")
 _normalizer("prepend", N.Prepend(prepend="▁"), "'▁' || text")
@@ -80,7 +101,6 @@ _normalizer("nmt", N.Nmt(), r"regexp_replace(regexp_replace(text, '[\x01-\x08\x0
 _BERT_CLEAN = r"regexp_replace(regexp_replace(text, '[\x00\x{FFFD}\p{Cf}\p{Co}\x01-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g'), '[" + WS + r"]', ' ', 'g')"
 _normalizer("bert", N.BertNormalizer(), f"lower(strip_accents({_BERT_CLEAN}))")
 _normalizer("sequence", N.Sequence(normalizers=[N.Strip(), N.Lowercase(), N.Replace(pattern="th", content="TH")]), r"replace(lower(regexp_replace(regexp_replace(text, '^[" + WS + r"]+', ''), '[" + WS + r"]+$', '')), 'th', 'TH')")
-_BYTES = "".join(c for c in "äöüßéèêëàâîïôûùçñíóúáÄÖÜÉÈÊÇÑÍÓÚÁÀœ¿¡")
 
 
 def _byte_sql(expression: str) -> str:
@@ -97,17 +117,18 @@ def _chars(text: str) -> str:
 
 
 _normalizer("bytelevel", N.ByteLevel(), _byte_sql("text"))
-_normalizer("precompiled", N.Precompiled(precompiled_charsmap=""), "text")
+_CHARSMAP = {"é": "e", "ß": "ss", "ñ": "ny", "ü": "u\u0308", "A": "a", "...": "-", ".": "\u3002"}
+_normalizer("precompiled", N.Precompiled(precompiled_charsmap=N.compile_charsmap(_CHARSMAP)), _replaces("text", {k: v for k, v in _CHARSMAP.items() if len(k) == 1}))
 
 
 # pre-tokenizers: documents (or pages) to pieces
 
 
-def _pretokenizer(name: str, part: P.PreTokenizer, sql: str | None, source: tuple[str, str, str] = ("documents", "doc_id", "text")) -> None:
+def _pretokenizer(name: str, part: P.PreTokenizer, sql: str | None, source: tuple[str, str, str] = ("documents", "doc_id", "text"), before: N.Normalizer | None = None) -> None:
     tab, key, col = source
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pieces = part.column(F.col(col))
+        pieces = part.column(F.col(col) if before is None else before.column(F.col(col)))
         return table(spark, sf_dir, tab).select(key, pieces.alias("p")).select(key, F.size("p").alias("n"), _joined(F.col("p")).alias("pieces"))
 
     if sql is not None:
@@ -138,12 +159,28 @@ _pretokenizer("split_string", P.Split(pattern="th"), "list_filter(string_split({
 _pretokenizer("split_regex", P.Split(pattern={"Regex": "[aeiou]"}, behavior="isolated"), _all("[aeiou]|[^aeiou]+"))
 _pretokenizer("split_regex_runs", P.Split(pattern={"Regex": "[aeiou]"}, behavior="contiguous", merge_runs=True), _all("[aeiou]+|[^aeiou]+"))
 _pretokenizer("fixed", P.FixedLength(length=5), _all(r"(?s:.{1,5})"))
-_pretokenizer("scripts", P.UnicodeScripts(), "CASE WHEN {c} = '' THEN [] ELSE [{c}] END")
+_THREE = {"th": "дом", "in": "你好", "s": "ш"}  # Cyrillic and Han among the Latin letters
+_CYRILLIC, _HAN = "\u0400-\u052f", "\u4e00-\u9fff"
+_pretokenizer(
+    "scripts",
+    P.UnicodeScripts(),
+    _all(rf"[^\p{{Latin}}{_CYRILLIC}{_HAN}]*(?:[{_CYRILLIC}][^\p{{Latin}}{_HAN}]*|[{_HAN}][^\p{{Latin}}{_CYRILLIC}]*|\p{{Latin}}[^{_CYRILLIC}{_HAN}]*)|[^\p{{Latin}}{_CYRILLIC}{_HAN}]+", _replaces("{c}", _THREE)),
+    before=N.Sequence(normalizers=[N.Replace(pattern=k, content=v) for k, v in _THREE.items()]),
+)
 _META = "CASE WHEN {c} <> '' AND NOT starts_with(replace({c}, ' ', '▁'), '▁') THEN '▁' ELSE '' END || replace({c}, ' ', '▁')"
 _pretokenizer("metaspace", P.Metaspace(), _all("▁[^▁]*|[^▁]+", _META))
 _pretokenizer("metaspace_never", P.Metaspace(prepend_scheme="never"), _all("▁[^▁]*|[^▁]+", "replace({c}, ' ', '▁')"))
 _pretokenizer("sequence", P.Sequence(pretokenizers=[P.WhitespaceSplit(), P.Digits(individual_digits=True)]), rf"flatten(list_transform({_all(f'[^{WS}]+')}, lambda x: {_all('[0-9]|[^0-9]+', 'x')}))")
-_pretokenizer("bytelevel", P.ByteLevel(), None)
+#: White space before a word is cut before its last character, which goes with the word if it is a space.
+_LEADING = "CASE WHEN text <> '' AND NOT starts_with(text, ' ') THEN ' ' ELSE '' END || text"
+_CUT = rf"string_split(regexp_replace({_LEADING}, '([{WS}])([{WS}][^{WS}])', '\1' || chr(30) || '\2', 'g'), chr(30))"
+_CONTRACTED = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+"
+_MAPPED = _byte_sql(f"array_to_string(flatten(list_transform({_CUT}, lambda x: {_all(_CONTRACTED, 'x')})), '☃')")
+_add(
+    "pretok_bytelevel",
+    lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", P.ByteLevel().column(F.col("text")).alias("p")).select("doc_id", F.size("p").alias("n"), _joined(F.col("p")).alias("pieces")),
+    f"WITH x AS (SELECT doc_id, {_MAPPED} AS p FROM documents) SELECT doc_id, CASE WHEN p = '' THEN 0 ELSE len(string_split(p, '☃')) END::INT AS n, replace(p, '☃', chr(31)) AS pieces FROM x",
+)
 
 
 @query("SELECT doc_id, " + _byte_sql("CASE WHEN text <> '' AND NOT starts_with(text, ' ') THEN ' ' ELSE '' END || text") + " AS together FROM documents")
@@ -213,10 +250,10 @@ def _ids(tok: Tokenizer) -> Query:
 _GROUPED = "SELECT doc_id, coalesce(sum(len(ids)), 0)::INT AS n, coalesce(string_agg(array_to_string(ids, ' '), ' ' ORDER BY word_idx) FILTER (WHERE len(ids) > 0), '') AS ids FROM documents LEFT JOIN (SELECT doc_id, word_idx, ids FROM words JOIN tokenized USING (word)) USING (doc_id) GROUP BY doc_id"
 
 
-def _bpe_sql(start: str) -> str:
+def _bpe_sql(start: str, vocab: dict[str, int] = samples.BPE_VOCAB) -> str:
     ranks = samples.sql_map({f"{a} {b}": i for i, (a, b) in enumerate(samples.BPE_MERGES)})
     return f"""
-WITH RECURSIVE r AS (SELECT {ranks} AS ranks, {samples.sql_map(samples.BPE_VOCAB)} AS vocab),
+WITH RECURSIVE r AS (SELECT {ranks} AS ranks, {samples.sql_map(vocab)} AS vocab),
 words AS ({_WORDS_SQL}),
 merged(word, s, step) AS (
   SELECT word, {start}, 0 FROM (SELECT DISTINCT word FROM words), r
@@ -238,8 +275,9 @@ _add(
     _ids(_tokenizer(_bpe(unk_token="<unk>", ignore_merges=True))),
     f"WITH r AS (SELECT {samples.sql_map(samples.BPE_VOCAB)} AS vocab), words AS ({_WORDS_SQL}), tokenized AS (SELECT word, CASE WHEN vocab[word] IS NOT NULL THEN [vocab[word]] ELSE list_transform(regexp_extract_all(word, '(?s:.)'), lambda c: coalesce(vocab[c], 0)) END AS ids FROM (SELECT DISTINCT word FROM words), r) {_GROUPED}",
 )
+_BYTE_SYMBOLS = "flatten(list_transform(regexp_extract_all(word, '(?s:.)'), lambda c: CASE WHEN vocab[c] IS NOT NULL THEN [c] ELSE list_transform(range(1, strlen(c) + 1), lambda i: '<0x' || substring(hex(c), 2 * i - 1, 2) || '>') END))"
 _BYTE_VOCAB = {models.byte_token(b): 1000 + b for b in range(256)}
-_add("model_bpe_fallback", _ids(_tokenizer(models.BPE(vocab=samples.BPE_VOCAB | _BYTE_VOCAB, merges=samples.BPE_MERGES, byte_fallback=True, unk_token="<unk>"))), None)
+_add("model_bpe_fallback", _ids(_tokenizer(models.BPE(vocab=samples.BPE_VOCAB | _BYTE_VOCAB, merges=samples.BPE_MERGES, byte_fallback=True, unk_token="<unk>"))), _bpe_sql(_BYTE_SYMBOLS, samples.BPE_VOCAB | _BYTE_VOCAB))
 _add(
     "model_wordpiece",
     _ids(_tokenizer(models.WordPiece(vocab=samples.WORDPIECE_VOCAB))),
@@ -259,7 +297,29 @@ tokenized AS (SELECT word, CASE WHEN max(pos) = length(word) AND length(word) <=
 """,
 )
 _UNIGRAM = Tokenizer(models.Unigram(vocab=samples.UNIGRAM_VOCAB, unk_id=0), normalizer=N.Lowercase(), pre_tokenizer=P.Metaspace(), decoder=D.Metaspace(prepend_scheme="never"))
-_add("model_unigram", _ids(_UNIGRAM), None)
+_PIECE_IDS, _PIECE_SCORES, _LONGEST = _UNIGRAM.model.index, {t: _UNIGRAM.model.scores[i][1] for t, i in _UNIGRAM.model.index.items()}, max(len(t) for t in _UNIGRAM.model.index)
+#: The best way to each place, from those to the places before; of equal scores the longest last piece.
+_add(
+    "model_unigram",
+    _ids(_UNIGRAM),
+    f"""
+WITH RECURSIVE r AS (SELECT {samples.sql_map(_PIECE_IDS)} AS ids, map([{", ".join(map(samples.sql_text, _PIECE_SCORES))}], [{", ".join(f"({x!r})::DOUBLE" for x in _PIECE_SCORES.values())}]) AS scores, ({_UNIGRAM.model.unk_score!r})::DOUBLE AS unk),
+words AS (SELECT doc_id, i - 1 AS word_idx, w[i] AS word FROM (SELECT doc_id, regexp_extract_all(CASE WHEN text <> '' AND NOT starts_with(replace(lower(text), ' ', '▁'), '▁') THEN '▁' ELSE '' END || replace(lower(text), ' ', '▁'), '▁[^▁]*|[^▁]+') AS w FROM documents), unnest(range(1, len(w) + 1)) AS u(i)),
+steps(word, i, best) AS (
+  SELECT word, 0, [{{'s': 0.0::DOUBLE, 'l': 0::BIGINT, 'p': []::BIGINT[]}}] FROM (SELECT DISTINCT word FROM words)
+  UNION ALL
+  SELECT word, i, best || [{{'s': top.s, 'l': top.l, 'p': CASE WHEN top.id = 0 AND best[i - top.l + 1].p[-1] IS NOT DISTINCT FROM 0 THEN best[i - top.l + 1].p ELSE best[i - top.l + 1].p || [top.id] END}}]
+  FROM (
+    SELECT word, i + 1 AS i, best, list_max(list_filter(list_transform(range(1, least(i + 1, {_LONGEST}) + 1), lambda j: {{
+      's': best[i + 2 - j].s + CASE WHEN ids[substring(word, i + 2 - j, j)] IS NOT NULL THEN scores[substring(word, i + 2 - j, j)] WHEN j = 1 THEN unk ELSE NULL END,
+      'l': j, 'id': coalesce(ids[substring(word, i + 2 - j, j)], 0)::BIGINT}}), lambda x: x.s IS NOT NULL)) AS top
+    FROM steps, r WHERE i < length(word)
+  )
+),
+tokenized AS (SELECT word, arg_max(best[-1].p, i) AS ids FROM steps GROUP BY word)
+{_GROUPED}
+""",
+)
 
 
 @query()
@@ -292,21 +352,22 @@ def token_id_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _document_words(spark, sf_dir)
     vocab = lookup.frequent_vocab(rows)
     ids = lookup.token_to_id(rows.select(F.col("word").alias("token")).distinct(), vocab)
-    return ids.join(F.broadcast(vocab.select(F.col("id").alias("i"), F.col("token").alias("back"))), F.col("id") == F.col("i"), "left").select("token", "id", "back")
+    back = lookup.id_to_token(ids.withColumnRenamed("token", "word"), vocab)
+    return back.select(F.col("word").alias("token"), "id", F.col("token").alias("back"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '<mark>|tion'))::INT AS n FROM documents")
 def added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Added tokens found in every document, special ones included."""
     tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0}), added_tokens=_ADDED[1:], encode_special_tokens=True)
-    out = tok.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"], offsets="none")
+    out = tok.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"], offsets="none", fields=("ids",))
     return out.select("doc_id", F.size(F.filter("encoding.ids", lambda i: i > 0)).alias("n"))
 
 
 @query("SELECT doc_id, coalesce(len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: w = 'the')), 0)::INT AS n FROM documents")
 def added_single_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0}), added_tokens=_ADDED[:1])
-    out = tok.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"], offsets="none")
+    out = tok.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"], offsets="none", fields=("ids",))
     return out.select("doc_id", F.size(F.filter("encoding.ids", lambda i: i > 0)).alias("n"))
 
 
@@ -449,21 +510,21 @@ _PLACE_SQL = "WITH " + _PLACE_SQL[_PLACE_SQL.index("g AS (SELECT doc_id, i, leng
 @query(_PLACE_SQL + 'SELECT doc_id, pos, ("end" - n)::INT AS start, "end" FROM o')
 def encode_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every token in its document, from the encoder."""
-    rows = shape.tall(_PLACES.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"]), keys=["doc_id"])
+    rows = shape.tall(_PLACES.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"], fields=("ids", "offsets")), keys=["doc_id"])
     return rows.select("doc_id", "pos", "start", "end")
 
 
 @query(_PLACE_SQL + 'SELECT d.doc_id, max(pos)::INT AS token FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id AND "end" - n <= 100 AND 100 < "end" GROUP BY d.doc_id')
 def map_char_to_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token at character 100 of every document, null in white space."""
-    rows = _PLACES.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    rows = _PLACES.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"], fields=("offsets",))
     return rows.select("doc_id", shape.char_to_token(F.col("encoding.offsets"), F.lit(100)).alias("token"))
 
 
 @query(_PLACE_SQL + 'SELECT d.doc_id, ("end" - n)::INT AS start, "end" FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id AND pos = 5')
 def map_word_to_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of word 5 of every document."""
-    rows = _PLACES.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    rows = _PLACES.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"], fields=("offsets", "word_ids"))
     span = shape.word_to_chars(F.col("encoding.offsets"), F.col("encoding.word_ids"), F.lit(5))
     return rows.select("doc_id", span.alias("s")).select("doc_id", "s.start", "s.end")
 
@@ -482,7 +543,7 @@ def encode_pair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
     tok = _tokenizer(models.WordPiece(vocab=samples.WORDPIECE_VOCAB), post_processor=R.BertProcessing(sep=("[SEP]", 3), cls=("[CLS]", 2)), truncation=Truncation(64, 8), padding=Padding(64))
-    rows = tok.encode_frame(c.join(after, ["conv_id", "turn"]), pair_col="reply", columns=["conv_id", "turn"])
+    rows = tok.encode_frame(c.join(after, ["conv_id", "turn"]), pair_col="reply", columns=["conv_id", "turn"], offsets="none", fields=("ids", "type_ids", "attention_mask"))
     e = F.col("encoding")
     return rows.select("conv_id", "turn", "window_index", _text(e["ids"]).alias("ids"), _text(e["type_ids"]).alias("type_ids"), _text(e["attention_mask"]).alias("attention"))
 
@@ -492,7 +553,7 @@ def encode_pretokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that are split already, looked up without normalizing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", P.Whitespace().column(N.Lowercase().column(F.col("text"))).alias("words"))
     tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0, "the": 1}))
-    rows = tok.encode_frame(docs, "words", columns=["doc_id"], words=True)
+    rows = tok.encode_frame(docs, "words", columns=["doc_id"], words=True, fields=("ids",))
     return rows.select("doc_id", F.size("encoding.ids").alias("n"), F.size(F.filter("encoding.ids", lambda i: i == 1)).alias("n_the"))
 
 
