@@ -251,11 +251,22 @@ def brute_passages(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "span"), [(50, 6, 40), (12, 3, 8), (5, 2, 4)])
-def test_passages(corpus, length, gram, span):
+@pytest.mark.parametrize(("length", "gram", "span", "hot"), [(50, 6, 40, 200_000), (12, 3, 8, 2), (5, 2, 4, 200_000)])
+def test_passages(corpus, length, gram, span, hot):
     want = brute_passages(corpus.collect(), length)
-    got = suffix_dedup.repeated_passages(corpus, length=length, gram=gram, span=span).collect()
+    got = suffix_dedup.repeated_passages(corpus, length=length, gram=gram, span=span, hot_rows=hot, most=100 if hot == 2 else 1 << 20).collect()
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want
+    if length == 5:
+        named = corpus.where("doc_id < 70").select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 4, "0")).alias("n_words"), "text")
+        want = brute_passages(corpus.where("doc_id < 70").collect(), length)
+        got = suffix_dedup.repeated_passages(named, id_col="n_words", length=length, gram=gram, span=span)
+        assert got.columns == ["n_words", "start_word", "n_words_"] and {(int(i[1:]), a, n) for i, a, n in got.collect()} == want
+
+
+def test_words_that_share_a_hash_are_told_apart():
+    w = S.Words(pa.array(["a b a c"]))
+    w.hash[:] = 7
+    assert suffix_dedup._word_names(w).tolist() == [0, 1, 0, 2]
 
 
 @settings(max_examples=60, deadline=None)
