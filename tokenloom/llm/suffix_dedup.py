@@ -56,7 +56,9 @@ from tokenloom.llm.exact_dedup import BROADCAST_BYTES, members
 LENGTH = 50
 GRAM = 6
 SPAN = 40
-HOT_ROWS = 200_000
+HOT_ROWS = 20_000
+#: Contexts that are compared at once, or one beginning's.
+CHUNK = 3_000
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -240,10 +242,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            for start in range(0, batch.num_rows, 10_000):
-                held.append(batch.slice(start, 10_000))
+            for start in range(0, batch.num_rows, CHUNK):
+                held.append(batch.slice(start, CHUNK))
                 keys = held[-1].column(2)
-                if sum(b.num_rows for b in held) < 10_000 or held[0].column(2)[0] == keys[len(keys) - 1]:
+                if sum(b.num_rows for b in held) < CHUNK or held[0].column(2)[0] == keys[len(keys) - 1]:
                     continue
                 table = pa.Table.from_batches(held)
                 key = table.column("key").to_numpy()
@@ -252,6 +254,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 held = table.slice(cut).to_batches()
         if held:
             yield _repeats(pa.Table.from_batches(held), length, span)
+        S.give_back()
 
     marks = ordered.mapInArrow(compare, "a bigint, b bigint, mask bigint")
     if any_hot:
