@@ -2,20 +2,26 @@
 
 import json
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tokenloom.functions import decoders as D
 from tokenloom.functions import normalizers as N
 from tokenloom.functions import pretokenizers as P
 from tokenloom.functions import processors as R
-from tokenloom.functions.aligned import BYTE_CHARS
+from tokenloom.functions.aligned import BYTE_CHARS, CHAR_BYTES
 from tokenloom.operators import lookup, models, shape
+from tokenloom.operators.encoding import FIELDS
+from tokenloom.plans import batches as B
 from tokenloom.plans.added import AddedToken, find_all, find_leftmost_longest
 from tokenloom.plans.tokenizer import Padding, Tokenizer, Truncation
 from tokenloom.sources import definition, vocabularies
 from tokenloom.sources.registry import build, component, dump
 from tokenloom.streaming import decode as streaming
+from tokenloom.streaming.decode import decode_rows
 
 
 def bytelevel(**parts):
@@ -200,7 +206,7 @@ def test_streaming_equals_batch(spark, tmp_path):
     for k, text in enumerate(texts):
         assert "".join(r["chunk"] or "" for r in sorted((r for r in out if r["stream_id"] == k), key=lambda r: r["seq"])) == text
     batch = streaming.decode_rows(spark.createDataFrame(rows, schema), tok).where("chunk is not null").collect()
-    assert sorted(map(tuple, batch)) == sorted((r["stream_id"], r["seq"], r["chunk"]) for r in out if r["chunk"] is not None)
+    assert sorted(map(tuple, batch)) == sorted((r["stream_id"], r["seq"], r["chunk"], None) for r in out if r["chunk"] is not None)
 
 
 def test_sql_functions(spark):
@@ -222,3 +228,81 @@ def test_precompiled():
     blob = struct.pack("<I", len(units) * 4) + struct.pack(f"<{len(units)}I", *units) + b"b\0"
     part = N.Precompiled(precompiled_charsmap=base64.b64encode(blob).decode())
     assert part("xaxa") == "xbxb" and N.Precompiled(precompiled_charsmap="")("xa") == "xa"
+
+
+FRENCH = ["Le café, l’été: 12 œufs…", "", None, "a  b\tc 𝒳y", "word " * 300, "ΣΑΣ İstanbul ß", "x" * 400]
+CAFE = [*"abcdefghijklmnopqrstuvwxyz", "é", "œ", "ca", "caf", "café", "wo", "rd", "word", "<unk>"]
+
+
+@pytest.mark.parametrize("pre", [P.Whitespace(), P.BertPreTokenizer(), P.Punctuation(), P.Split(pattern=" ", behavior="merged_with_next"), P.Metaspace(), P.ByteLevel()])
+@pytest.mark.parametrize("normalizer", [None, N.Lowercase(), N.NFD()])
+def test_flat_arrays_are_the_same(pre, normalizer):
+    """Batches encoded to flat arrays give what the one-text encoder gives with places in spans of the original."""
+    vocab = {t: i for i, t in enumerate(CAFE)}
+    tok = Tokenizer(models.BPE(vocab=vocab, merges=[("c", "a"), ("ca", "f"), ("caf", "é"), ("w", "o"), ("r", "d"), ("wo", "rd")], unk_token="<unk>"), normalizer=normalizer, pre_tokenizer=pre)
+    slow = Tokenizer(tok.model, normalizer=normalizer, pre_tokenizer=pre)
+    slow.direct = slow.plain = False
+    want = [None if t is None else slow.encode(t) for t in FRENCH]
+    assert B.flat_ids(tok, FRENCH).to_pylist() == [None if e is None else e.ids for e in want]
+    if tok.direct:
+        for unit in ("char", "byte", "none"):
+            got = B.flat_encodings(tok, FRENCH, FIELDS, unit).to_pylist()
+            rows = B.as_structs([None if t is None else slow.encode(t, offsets=unit) for t in FRENCH], FIELDS).to_pylist()
+            assert got == rows
+    assert [e.offsets for e in want if e is not None] == [tok.encode(t).offsets for t in FRENCH if t is not None]
+
+
+def test_names_that_clash(spark):
+    tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0, "a": 1}), pre_tokenizer=P.Whitespace())
+    df = spark.createDataFrame([("a b", 1, 2, 3, 4, 5)], "text string, ids int, encoding int, window_index int, _text int, decoded int")
+    assert tok.ids_frame(df).columns == [*df.columns, "ids_"] and tok.ids_frame(df).first()["ids_"] == [1, 0]
+    assert tok.encode_frame(df).columns == [*df.columns, "window_index_", "encoding_"] and tok.encode_frame(df, fields=("ids",)).first()["encoding_"].ids == [1, 0]
+    out = tok.decode_frame(tok.ids_frame(df), "ids_")
+    assert out.columns == [*df.columns, "ids_", "decoded_"] and out.first()["decoded_"] == "a <unk>"
+
+
+def test_seeded_chance_hangs_on_the_text_alone(spark):
+    """Dropout gives a text the same tokens in whatever partition and beside whatever rows."""
+    vocab = {t: i for i, t in enumerate(CAFE)}
+    tok = Tokenizer(models.BPE(vocab=vocab, merges=[("c", "a"), ("ca", "f"), ("w", "o"), ("r", "d"), ("wo", "rd")], unk_token="<unk>", dropout=0.5, seed=4), pre_tokenizer=P.Whitespace())
+    texts = [f"word caf word {i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    one, many = (dict(map(tuple, tok.ids_frame(x, columns=["k"]).collect())) for x in (df.coalesce(1), df.where("k % 3 = 0").unionByName(df.where("k % 3 <> 0")).repartition(4)))
+    assert one == many and len({str(v[:3]) for v in one.values()}) > 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abcdé ", max_size=12), st.lists(st.tuples(st.text("abcdé", min_size=1, max_size=3), st.integers(-9, -1)), max_size=9))
+def test_trie_path_is_the_lattice_path(text, pieces):
+    model = models.Unigram(vocab=[["<unk>", 0.0], *([t, float(s)] for t, s in dict(pieces).items())], unk_id=0, fuse_unk=False)
+    lattice = model.lattice(text)
+    assert model.best(text) == [(lattice.nodes[k][0], lattice.nodes[k][1], lattice.nodes[k][3]) for k in lattice.viterbi()]
+
+
+def test_compiled_charsmap():
+    made = N.Precompiled(precompiled_charsmap=N.compile_charsmap({"é": "e", "ß": "ss", "A": "", "你": "you"}))
+    assert made("éßAB你") == "essByou" and made("e\u0301") == "e\u0301"
+
+
+def test_decoded_bytes_are_the_decoder_s():
+    tok = Tokenizer(models.BPE(vocab={**{c: b for b, c in enumerate(BYTE_CHARS)}, "Ġthe": 300, "日": 301}, merges=[]), pre_tokenizer=P.ByteLevel(), decoder=D.ByteLevel())
+    rows = [[300, 0xC3, 0xA9], [0xC3], None, [], [999, -1, 301, 300]]
+    table = B.ByteTable({i: t for t, i in tok.model.vocabulary().items()}, CHAR_BYTES)
+    assert table.decode(pa.array(rows, pa.list_(pa.int64()))) == [None if r is None else tok.decode(r) for r in rows]
+
+
+def test_batch_streams_report_errors(spark):
+    tok = Tokenizer(models.WordLevel(vocab={"a": 0, "b": 1}), pre_tokenizer=P.Whitespace())
+    rows = spark.createDataFrame([(1, 0, 0), (1, 1, None), (1, 2, 1)], "stream_id int, seq bigint, token_id bigint")
+    assert [tuple(r) for r in decode_rows(rows, tok).orderBy("seq").collect()] == [(1, 0, "a", None), (1, 1, None, None), (1, 2, "b", None)]
+
+
+def test_small_tables_are_spread(spark):
+    one = spark.range(100).coalesce(1)
+    assert B.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and B.spread(one, 0).rdd.getNumPartitions() == 1
+
+
+def test_vocabulary_is_ranked_over_ranges(spark):
+    rows = spark.createDataFrame([(w,) for w in "b a b c c c d a".split()], "word string").repartition(3)
+    assert sorted(map(tuple, lookup.frequent_vocab(rows).collect())) == [("a", 2), ("b", 3), ("c", 1)]
+    assert lookup.frequent_vocab(rows.where("false")).count() == 0

@@ -107,7 +107,7 @@ def flat_ids(tok: Tokenizer, texts: list[str | None]) -> pa.Array:
     return lists(offsets_of(sizes)[words], pa.array(np.array(table.ids)[place]), null)
 
 
-def flat_encodings(tok: Tokenizer, texts: list[str | None], fields: tuple[str, ...], places: bool) -> pa.Array:
+def flat_encodings(tok: Tokenizer, texts: list[str | None], fields: tuple[str, ...], unit: str) -> pa.Array:
     """Encodings of single texts with true places, for tokenizers whose :attr:`direct` is set, as structs of ``fields``."""
     null = np.array([t is None for t in texts], bool)
     spans, pieces = [], []
@@ -132,10 +132,18 @@ def flat_encodings(tok: Tokenizer, texts: list[str | None], fields: tuple[str, .
     }
 
     def offsets() -> pa.Array:
-        if not places:
+        if unit == "none":
             return pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int32))] * 2, ["start", "end"])
         begin = np.repeat(np.fromiter((i for found in spans for i, _ in found), np.int64, len(sizes)), sizes)
-        return pa.StructArray.from_arrays([pa.array((begin + np.array(x)[place]).astype(np.int32)) for x in (table.begins, table.ends)], ["start", "end"])
+        found = [begin + np.array(x)[place] for x in (table.begins, table.ends)]
+        if unit == "byte":
+            # where each code point begins, all texts one after the other
+            data = np.frombuffer("".join(t or "" for t in texts).encode("utf-8", "surrogatepass"), np.uint8)
+            starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+            first = offsets_of(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)))
+            row = np.repeat(np.arange(len(texts)), np.diff(ends))
+            found = [starts[first[row] + x] - starts[first[row]] for x in found]
+        return pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in found], ["start", "end"])
 
     made["offsets"] = offsets
     return pa.StructArray.from_arrays([lists(ends, made[f]()) for f in fields], list(fields), mask=pa.array(null))

@@ -339,7 +339,7 @@ class Tokenizer:
         source = df.select(*columns, F.col(text_col).alias(text), (F.col(pair_col) if pair_col else F.lit(None).cast(df.schema[text_col].dataType)).alias(pair))
         schema = T.StructType([*kept.schema.fields, T.StructField(window, T.IntegerType()), T.StructField(out_name, T.StructType([ENCODING[f] for f in fields]))])
         names = [*columns, window, out_name]
-        alone = pair_col is None and not words and offsets in ("char", "none") and self.truncation is None and self.post_processor is None and (self.padding is None or self.padding.fixed is None)
+        alone = pair_col is None and not words and offsets != "utf16" and self.truncation is None and self.post_processor is None and (self.padding is None or self.padding.fixed is None)
 
         def rows(tok: Tokenizer, b: pa.RecordBatch) -> pa.RecordBatch:
             row, index, made = [], [], []
@@ -362,7 +362,7 @@ class Tokenizer:
             for batch in batches:
                 if alone and tok.direct:
                     for b in B.text_slices(batch, batch.num_columns - 2):
-                        made = B.flat_encodings(tok, b.column(b.num_columns - 2).to_pylist(), fields, offsets != "none")
+                        made = B.flat_encodings(tok, b.column(b.num_columns - 2).to_pylist(), fields, offsets)
                         yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(np.zeros(b.num_rows, np.int32)), made], names)
                     continue
                 for start in range(0, batch.num_rows, 200):

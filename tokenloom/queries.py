@@ -514,6 +514,24 @@ def encode_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pos", "start", "end")
 
 
+@query(_PLACE_SQL + 'SELECT doc_id, pos, strlen(substring(text, 1, "end" - n))::INT AS start, strlen(substring(text, 1, "end"))::INT AS "end" FROM o JOIN documents USING (doc_id)')
+def encode_byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every token in its document, in UTF-8 bytes."""
+    rows = shape.tall(_PLACES.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"], offsets="byte", fields=("ids", "offsets")), keys=["doc_id"])
+    return rows.select("doc_id", "pos", "start", "end")
+
+
+_THE_SQL = f"list_transform(regexp_extract_all(lower(text), {samples.sql_text(_WORDS_RE)}), lambda w: CASE WHEN w = 'the' THEN 1 ELSE 0 END::BIGINT)"
+
+
+@query(f"WITH x AS (SELECT doc_id, {_THE_SQL} AS a FROM documents) SELECT doc_id, {_sql_list('[101::BIGINT] || a[:126] || [102::BIGINT]')} AS ids FROM x")
+def encode_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document cut to 128 with their special tokens; encoding stops early."""
+    tok = _tokenizer(models.WordLevel(vocab={"<unk>": 0, "the": 1}), post_processor=R.BertProcessing(), truncation=Truncation(128))
+    rows = tok.ids_frame(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return rows.select("doc_id", _text(F.col("ids")).alias("ids"))
+
+
 @query(_PLACE_SQL + 'SELECT d.doc_id, max(pos)::INT AS token FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id AND "end" - n <= 100 AND 100 < "end" GROUP BY d.doc_id')
 def map_char_to_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token at character 100 of every document, null in white space."""

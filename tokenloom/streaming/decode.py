@@ -57,6 +57,18 @@ class DecodeStream:
         self.ids, self.prefix, self.prefix_index = [], "", 0
 
 
+def _step(stream: DecodeStream, id_: Any) -> tuple[str | None, str | None]:
+    """Chunk and error of one id; a null id, and a mismatch, reset the stream."""
+    if pd.isna(id_):
+        stream.reset()
+        return None, None
+    try:
+        return stream.step(int(id_)), None
+    except PrefixMismatch as e:
+        stream.reset()
+        return None, str(e)
+
+
 def decode_stream(df: DataFrame, tokenizer: Tokenizer, *, stream_col: str = "stream_id", seq_col: str = "seq", id_col: str = "token_id", skip_special: bool = True) -> DataFrame:
     """``(stream_id, seq, chunk, error)`` of a streaming table of ids, in the order of ``seq`` in each micro-batch.
 
@@ -70,18 +82,7 @@ def decode_stream(df: DataFrame, tokenizer: Tokenizer, *, stream_col: str = "str
         held = state.get if state.exists else ([], "", 0)
         stream = DecodeStream(get(), skip_special, list(held[0] if held[0] is not None else []), held[1], held[2])
         rows = pd.concat(list(parts)).sort_values(seq_col)
-        out = []
-        for seq, id_ in zip(rows[seq_col], rows[id_col]):
-            chunk, error = None, None
-            if pd.isna(id_):
-                stream.reset()
-            else:
-                try:
-                    chunk = stream.step(int(id_))
-                except PrefixMismatch as e:
-                    error = str(e)
-                    stream.reset()
-            out.append((key[0], seq, chunk, error))
+        out = [(key[0], seq, *_step(stream, id_)) for seq, id_ in zip(rows[seq_col], rows[id_col])]
         state.update((stream.ids, stream.prefix, stream.prefix_index))
         yield pd.DataFrame(out, columns=[stream_col, seq_col, "chunk", "error"])
 
@@ -89,13 +90,14 @@ def decode_stream(df: DataFrame, tokenizer: Tokenizer, *, stream_col: str = "str
 
 
 def decode_rows(df: DataFrame, tokenizer: Tokenizer, *, stream_col: str = "stream_id", seq_col: str = "seq", id_col: str = "token_id", skip_special: bool = True) -> DataFrame:
-    """The same over a batch table: a stream's ids in the order of ``seq``."""
+    """The same over a batch table, ``(stream_id, seq, chunk, error)``: a stream's ids in the order of ``seq``."""
     get = tokenizer._sender()
     kind = df.schema[stream_col].dataType.simpleString()
 
     def run(key: tuple[Any], rows: pd.DataFrame) -> pd.DataFrame:
         stream = DecodeStream(get(), skip_special)
         rows = rows.sort_values(seq_col)
-        return pd.DataFrame({stream_col: key[0], seq_col: rows[seq_col], "chunk": [stream.step(int(i)) for i in rows[id_col]]})
+        made = [_step(stream, id_) for id_ in rows[id_col]]
+        return pd.DataFrame({stream_col: key[0], seq_col: rows[seq_col], "chunk": [c for c, _ in made], "error": [e for _, e in made]})
 
-    return df.select(stream_col, seq_col, id_col).groupBy(stream_col).applyInPandas(run, f"`{stream_col}` {kind}, `{seq_col}` bigint, chunk string")
+    return df.select(stream_col, seq_col, id_col).groupBy(stream_col).applyInPandas(run, f"`{stream_col}` {kind}, `{seq_col}` bigint, chunk string, error string")
