@@ -276,14 +276,13 @@ class UnicodeScripts(_Matches):
     """Pieces of one script; code points common to all scripts go with their neighbours."""
 
     def prepare(self) -> None:
-        common = "[\\p{Nd}\\p{No}\\p{Z}\\p{Cc}\\p{Cf}\\p{Co}\\p{P}\\p{Sm}\\p{Sc}\\p{Sk}\\p{So}]"
-        low = "[\\x{0}-\\x{FFFF}]"
-        letters = [f"(?!{common}){low}(?<=[{s}])|[\\x{{20000}}-\\x{{2FA1F}}]" if k == 0 else f"(?!{common})[{s}]" for k, s in enumerate(_SCRIPTS)]
-        every = "".join(_SCRIPTS)
-        latin = f"(?!{common})(?![{every}])\\p{{L}}(?<={low})"
-        neutral = f"(?:(?!(?:{'|'.join(letters + [latin])}))[\\s\\S])"
-        self.java = "|".join(f"{neutral}*+(?:{x})(?:{x}|{neutral})*+" for x in letters + [latin]) + f"|{neutral}++"
-        super().prepare()
+        # one set test a code point: the scripts' letters exclude each other, so a piece is all up to another script's letter
+        common, every = "\\p{Nd}\\p{No}\\p{Z}\\p{Cc}\\p{Cf}\\p{Co}\\p{P}\\p{Sm}\\p{Sc}\\p{Sk}\\p{So}", "".join(_SCRIPTS)
+        neutral = f"\\x{{0}}-\\x{{40}}\\x{{5B}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}{common}\\x{{10000}}-\\x{{1FFFF}}\\x{{2FA20}}-\\x{{10FFFF}}[^\\p{{L}}{every}]"
+        latin = f"[A-Za-z[\\p{{L}}&&[\\x{{80}}-\\x{{FFFF}}]&&[^{every}]]][\\x{{0}}-\\x{{7F}}{common}[^{every}]]*+"
+        pieces = [latin, *(f"[{s}&&[^{common}]][{neutral}{s}]*+" for s in _SCRIPTS)]
+        self.java = f"[{neutral}]*+(?:{'|'.join(pieces)})|[{neutral}]++"
+        self.compiled = regex.compile(python_regex(self.java), regex.VERSION1)
 
 
 @component("pre_tokenizer", "Metaspace", replacement="\u2581", prepend_scheme="always", split=True)
