@@ -1,9 +1,15 @@
 """Steps whose time or memory grew too fast, against plain code."""
 
+import pickle
+
+import pyarrow as pa
+import pytest
 import regex
 from pyspark.sql import functions as F
 
+from tokenloom.functions import normalizers as N
 from tokenloom.functions import pretokenizers as P
+from tokenloom.functions.aligned import Aligned, text_parts
 
 
 def test_scripts_count_letters_beyond_the_basic_plane_as_common(spark):
@@ -16,3 +22,27 @@ def test_scripts_count_letters_beyond_the_basic_plane_as_common(spark):
 
 def test_scripts_test_each_code_point_against_sets_alone():
     assert not regex.search(r"\(\?[!=<]", P.UnicodeScripts().java)  # no lookaround: a run costs one test a code point
+
+
+def test_texts_become_python_strings_a_few_at_a_time():
+    texts = pa.array(["é" * 400_000, None, "", *["x" * 300_000] * 9, "y"])
+    parts = list(text_parts(texts))
+    assert [t for p in parts for t in p.to_pylist()] == texts.to_pylist()
+    assert len(parts) >= 3 and max(sum(len(t or "") for t in p.to_pylist()) for p in parts) <= 1 << 20
+    assert [len(p) for p in text_parts(pa.array([], pa.string()))] == [0]
+    assert [len(p) for p in text_parts(texts, 10)][-1] == 1
+
+
+@pytest.mark.parametrize("part", [N.NFC(), N.NFD(), N.NFKC(), N.NFKD(), N.StripAccents()])
+def test_forms_over_batches_of_several_parts(spark, part):
+    texts = [("é é ﬁ ½ Å " * 90_000)[: 400_000 * k] for k in (1, 2)] + [None, "", "plain"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    assert [r.t for r in rows.select("i", part.column(F.col("t")).alias("t")).orderBy("i").collect()] == [None if t is None else part(t) for t in texts]
+
+
+def test_charsmap_without_joining_code_points_is_a_translation():
+    part = N.Precompiled(precompiled_charsmap=N.compile_charsmap({"é": "e", "é": "E", "\r\n": "\n", ".": "。", "...": "-", "ß": "ss"}))
+    for text in ("Café... straße", "é", "a\r\nb.", "\r \n.", "", "\U0001f468‍\U0001f469."):
+        assert part(text) == part.apply(Aligned(text)).text
+    assert part("é.ß") == "e。ss"
+    assert pickle.loads(pickle.dumps(part))("é.") == "e。"

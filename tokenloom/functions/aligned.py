@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 #: White space of Unicode, as the inside of a character class (the same in Python and Java).
 WS = "\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 WHITE = frozenset(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+def text_parts(texts: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
+    """An array of texts in slices of about ``limit`` bytes (one text at least); an empty one as it is."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < len(texts) or at == 0:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def python_regex(pattern: str) -> str:
     """A Java-style pattern for the ``regex`` module: code points in braces, Unicode ``\\s``."""
     out, i = [], 0

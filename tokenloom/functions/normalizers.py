@@ -8,16 +8,17 @@ charsmaps, which run in Arrow batches. Null stays null, empty stays empty
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tokenloom.functions.aligned import BYTE_CHARS, LATIN, LATIN_TO, WHITE, WS, Aligned, lower_one, python_regex, upper_one
+from tokenloom.functions.aligned import BYTE_CHARS, LATIN, LATIN_TO, WHITE, WS, Aligned, lower_one, python_regex, text_parts, upper_one
 from tokenloom.sources.registry import component, escape_java, parse_pattern
 
 
@@ -32,6 +33,17 @@ def _by_code_point(c: Column, whole: Callable[[Column], Column], odd: str) -> Co
     return F.when(c.rlike(f"[{odd}]"), F.array_join(apart, "")).otherwise(whole(c))
 
 
+def _arrow(f: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A function of texts in Arrow batches, of which about 1 MB at a time becomes Python strings."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        made = [pa.array([None if t is None else f(t) for t in part.to_pylist()], pa.string()) for part in text_parts(texts)]
+        return pa.concat_arrays(made) if len(made) != 1 else made[0]
+
+    return run
+
+
 class Normalizer:
     #: Whether each code point of the text gives one of the result.
     keeps_places = False
@@ -44,13 +56,7 @@ class Normalizer:
 
     def column(self, c: Column) -> Column:
         """Arrow fallback; the subclasses that can stay in the JVM do."""
-        apply = self.__call__
-
-        @F.pandas_udf("string")
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(apply, na_action="ignore")
-
-        return run(c)
+        return _arrow(self.__call__)(c)
 
 
 class _Form(Normalizer):
@@ -64,12 +70,7 @@ class _Form(Normalizer):
 
     def column(self, c: Column) -> Column:
         form = self.form
-
-        @F.pandas_udf("string")
-        def run(s: pd.Series) -> pd.Series:
-            return s.str.normalize(form)
-
-        return run(c)
+        return _arrow(lambda t: unicodedata.normalize(form, t))(c)
 
 
 @component("normalizer", "NFC")
@@ -271,6 +272,23 @@ def compile_charsmap(replacements: dict[str, str]) -> str:
     return base64.b64encode(struct.pack(f"<I{len(flat)}I", 4 * len(flat), *flat) + bytes(strings)).decode()
 
 
+#: Below these, each code point is a grapheme, but for a carriage return with its line feed.
+_JOINING = re.compile("\r\n|[\u0300-\U0010ffff]")
+
+
+class _Replacements(dict):
+    """A table for ``str.translate``, of the code points met so far."""
+
+    def __init__(self, lookup: Callable[[str], str | None]):
+        super().__init__()
+        self.lookup = lookup
+
+    def __missing__(self, x: int) -> str | int:
+        made = self.lookup(chr(x))
+        self[x] = new = x if made is None else made
+        return new
+
+
 @component("normalizer", "Precompiled", precompiled_charsmap=None)
 class Precompiled(Normalizer):
     """A compiled charsmap: a double array of keys and their replacements.
@@ -289,6 +307,12 @@ class Precompiled(Normalizer):
             self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
             self.strings = blob[4 + size :]
         self.seen: dict[str, str | None] = {}
+        self.table = _Replacements(self.lookup)
+
+    def __call__(self, text: str) -> str:
+        if not self.units:
+            return text
+        return self.apply(Aligned(text)).text if _JOINING.search(text) else text.translate(self.table)
 
     def lookup(self, key: str) -> str | None:
         """The replacement of exactly ``key``; answers are kept, up to a number."""
