@@ -46,3 +46,16 @@ def test_charsmap_without_joining_code_points_is_a_translation():
         assert part(text) == part.apply(Aligned(text)).text
     assert part("é.ß") == "e。ss"
     assert pickle.loads(pickle.dumps(part))("é.") == "e。"
+
+
+@pytest.mark.parametrize("part", [N.Uppercase(), N.Lowercase()])
+def test_case_of_every_code_point_between_others(spark, part):
+    later = {0x19B, 0x264, 0x1C89, 0x1C8A}  # cased since Unicode 16, which Python may not know
+    texts = ["".join(f"{chr(c)}aÉß" for c in range(i, i + 64) if c not in later) for i in range(0x20, 0x2000, 64)] + ["", None, "ΑΣ ΟΔΟΣ", "İSTANBUL", "straße", "\U00010400ß\U00010428"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = [r.t for r in rows.select("i", part.column(F.col("t")).alias("t")).orderBy("i").collect()]
+    assert [(g, t) for g, t in zip(got, texts) if g != (None if t is None else part(t))] == []
+
+
+def test_odd_case_letters_are_behind_one_test_of_their_range():
+    assert N._class("İΣßŉᾀᾁ") == "\\x{DF}-\\x{DF}[\\x{100}-\\x{10FFFF}&&[\\x{130}-\\x{130}\\x{149}-\\x{149}\\x{3A3}-\\x{3A3}\\x{1F80}-\\x{1F81}]]"

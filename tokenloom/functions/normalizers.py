@@ -27,10 +27,23 @@ _LOWER_ODD = "\u0130\u03a3"
 _UPPER_ODD = "".join(c for c in map(chr, range(0x20000)) if len(c.upper()) != 1)
 
 
+def _class(chars: str) -> str:
+    """Content of a Java class of ``chars``: those beyond Latin-1 as ranges behind one test, which is all that most code points cost."""
+    ranges: list[list[int]] = []
+    for x in sorted(map(ord, chars)):
+        if ranges and ranges[-1][1] == x - 1:
+            ranges[-1][1] = x
+        else:
+            ranges.append([x, x])
+    low, high = ("".join(f"\\x{{{i:X}}}-\\x{{{j:X}}}" for i, j in ranges if (i > 0xFF) is beyond) for beyond in (False, True))
+    return f"{low}[\\x{{100}}-\\x{{10FFFF}}&&[{high}]]"
+
+
 def _by_code_point(c: Column, whole: Callable[[Column], Column], odd: str) -> Column:
-    """A case mapping that never changes the number of code points; only texts that hold ``odd`` ones are taken apart."""
-    apart = F.transform(F.regexp_extract_all(c, F.lit("[\\s\\S]"), F.lit(0)), lambda x: F.when(F.length(whole(x)) == 1, whole(x)).otherwise(x))
-    return F.when(c.rlike(f"[{odd}]"), F.array_join(apart, "")).otherwise(whole(c))
+    """A case mapping that never changes the number of code points; texts that hold ``odd`` ones are taken apart at these."""
+    parts = F.regexp_extract_all(c, F.lit(f"[{_class(odd)}]|[^{_class(odd)}]++"), F.lit(0))
+    apart = F.transform(parts, lambda x: F.when(F.length(whole(x)) == F.length(x), whole(x)).otherwise(x))
+    return F.when(c.rlike(f"[{_class(odd)}]"), F.array_join(apart, "")).otherwise(whole(c))
 
 
 def _arrow(f: Callable[[str], str]) -> Callable[[Column], Column]:
