@@ -249,6 +249,8 @@ class FixedLength(PreTokenizer):
         return [text.slice(i, min(i + self.length, len(text.text))) for i in range(0, len(text.text), self.length)]
 
     def column(self, c: Column) -> Column:
+        if self.length == 1:  # an empty pattern parts code points without a matcher
+            return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
         return F.regexp_extract_all(c, F.lit(f"[\\s\\S]{{1,{self.length}}}"), F.lit(0))
 
 
