@@ -3,6 +3,7 @@
 import pickle
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import regex
@@ -11,7 +12,12 @@ from pyspark.sql import functions as F
 from tokenloom.functions import decoders as D
 from tokenloom.functions import normalizers as N
 from tokenloom.functions import pretokenizers as P
+from tokenloom.functions import processors as R
 from tokenloom.functions.aligned import Aligned, text_parts
+from tokenloom.operators import models
+from tokenloom.operators.encoding import FIELDS, EncodingRow, merge_all
+from tokenloom.plans import batches as B
+from tokenloom.plans.tokenizer import Padding, Tokenizer, Truncation
 
 
 def test_scripts_count_letters_beyond_the_basic_plane_as_common(spark):
@@ -115,3 +121,65 @@ def test_single_code_points_need_no_matcher(spark):
     rows = df.select("i", part.column(F.col("t")).alias("p"))
     assert [r.p for r in rows.orderBy("i").collect()] == [None if t is None else part(t) for t in texts]
     assert "regexp_extract_all" not in rows._jdf.queryExecution().toString()
+
+
+def test_windows_of_long_pairs_leave_in_bounded_batches(spark, monkeypatch):
+    tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0, "a": 1, "b": 2}), pre_tokenizer=P.WhitespaceSplit(), post_processor=R.BertProcessing(), truncation=Truncation(16, 2))
+    sizes = []
+    made = B.as_structs
+    monkeypatch.setattr(B, "as_structs", lambda rows, fields: (sizes.append(sum(len(r) for r in rows if r)), made(rows, fields))[1])
+    monkeypatch.setattr("tokenloom.plans.tokenizer.MOST_HELD", 500)
+    rows = [("a " * 90, "b a " * 50), (None, "a"), ("a b", None), ("", "b")]
+    df = spark.createDataFrame(rows, "t string, p string")
+    sent = {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: sent.update(run=f) or self)
+    tok.encode_frame(df, "t", "p", columns=[])
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["_text", "_pair"])
+    out = [r for b in sent["run"](iter([batch])) for r in b.to_pylist()]
+    expected = [(k, e.ids) for t, p in rows if t is not None for w in [tok.encode(t, p)] for k, e in enumerate([w, *w.overflow])]
+    assert [(r["window_index"], r["encoding"]["ids"]) for r in out if r["encoding"] is not None] == expected
+    assert len(sizes) > 3 and max(sizes) < 600
+
+
+@pytest.mark.parametrize("part", [R.BertProcessing(), R.RobertaProcessing(trim_offsets=False)])
+def test_windows_are_merged_at_once_as_one_by_one(part):
+    tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0, "a": 1}), pre_tokenizer=P.WhitespaceSplit(), post_processor=part, truncation=Truncation(12, 1))
+    one = tok.encode("a b c d e f g h i j k l", "a a b a a c a a d a")
+    for e in [one, *one.overflow]:
+        a, b = e.sequence_range(0), e.sequence_range(1)
+        assert [e.sequence_ids[i] for i in range(*a)] == [0] * (a[1] - a[0]) and [e.sequence_ids[i] for i in range(*b)] == [1] * (b[1] - b[0])
+        assert len({len(getattr(e, f)) for f in FIELDS}) == 1
+        assert [e.special_tokens_mask[i] for i in (0, len(e) - 1)] == [1, 1]
+    merged = EncodingRow()
+    parts = [e.slice(i, i + 1) for e in [one, *one.overflow] for i in range(len(e))]
+    for p in parts:
+        merged = merged.merged(p)
+    assert merge_all(parts) == merged
+
+
+@pytest.mark.parametrize("strategy", ["LongestFirst", "OnlyFirst", "OnlySecond"])
+@pytest.mark.parametrize("padding", [None, Padding(20), Padding(5, pad_id=9, pad_type_id=2, direction="Left", multiple=7)])
+@pytest.mark.parametrize("direction", ["Right", "Left"])
+def test_gathered_windows_are_those_of_single_encodings(strategy, padding, direction):
+    for cut in (None, Truncation(16, 2, strategy, direction)):
+        tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0, "a": 1, "b": 2}), pre_tokenizer=P.WhitespaceSplit(), post_processor=R.BertProcessing(), truncation=cut, padding=padding)
+        for text, pair in (("a " * 9, "b " * 60), ("a b " * 40, "b " * 13), ("a", "b"), ("", "b"), ("a c " * 30, None), ("a", ""), ("", "")):
+            for most in (3, 1 << 12):
+                got = []
+                for sizes, made in B.pair_windows(tok, text, pair, most):
+                    ends = np.cumsum(sizes)
+                    got += [{f: made[f][j - n : j].tolist() for f in B.PAIR_FIELDS} for n, j in zip(sizes, ends)]
+                e = tok.encode(text, pair)
+                assert got == [{f: getattr(w, f) for f in B.PAIR_FIELDS} for w in [e, *e.overflow]]
+
+
+def test_gathered_pairs_of_a_table(spark):
+    tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0, "a": 1, "b": 2}), pre_tokenizer=P.WhitespaceSplit(), post_processor=R.BertProcessing(), truncation=Truncation(16, 2))
+    rows = [(0, "a " * 30, "b a " * 20), (1, None, "a"), (2, "a b", None), (3, "", "b")]
+    df = spark.createDataFrame(rows, "i int, t string, p string")
+    out = tok.encode_frame(df, "t", "p", columns=["i"], offsets="none", fields=("ids", "type_ids")).orderBy("i", "window_index").collect()
+    expected = []
+    for i, t, p in rows:
+        e = None if t is None else tok.encode(t, p)
+        expected += [(i, 0, None)] if e is None else [(i, k, (w.ids, w.type_ids)) for k, w in enumerate([e, *e.overflow])]
+    assert [(r.i, r.window_index, None if r.encoding is None else (r.encoding.ids, r.encoding.type_ids)) for r in out] == expected

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 from typing import TYPE_CHECKING
 
@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tokenloom.operators.encoding import EncodingRow, pad_target, truncate_pair
+
 if TYPE_CHECKING:
-    from tokenloom.operators.encoding import EncodingRow
     from tokenloom.plans.tokenizer import Tokenizer
 
 #: Bytes a core up to which a table is small; scans of larger ones fill the cores by themselves.
@@ -165,6 +166,45 @@ def as_structs(rows: list[EncodingRow | None], fields: tuple[str, ...]) -> pa.Ar
     return pa.StructArray.from_arrays([lists(ends, flat(f)) for f in fields], list(fields), mask=pa.array(null))
 
 
+#: Fields that :func:`pair_windows` gives.
+PAIR_FIELDS = ("ids", "type_ids", "special_tokens_mask", "attention_mask")
+
+
+def pair_windows(tok: Tokenizer, text: str, pair: str | None, most: int = 1 << 12) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """Sizes and values of all windows of a text, or a pair, between BERT's special tokens, up to ``most`` windows at a time.
+
+    Windows of a pair are all combinations of those of its parts: each part's
+    are made once, and combinations are gathered from them.
+    """
+    post, cut, pad = tok.post_processor, tok.truncation, tok.padding
+    first, second = EncodingRow(tok.sequence_ids(text)), EncodingRow(tok.sequence_ids(pair)) if pair else None
+    if cut:
+        first, second = truncate_pair(first, second, cut.max_length - post.added(second is not None), cut.stride, cut.strategy, cut.direction)
+    firsts = [[post.cls[1], *w.ids, post.sep[1]] for w in [first, *first.overflow]]
+    seconds = [[]] if second is None else [[*w.ids, post.sep[1]] for w in [second, *second.overflow]]
+    m, n = len(firsts), len(seconds)
+    pool = np.fromiter(chain.from_iterable(firsts + seconds), np.int64)
+    sizes = np.fromiter(map(len, firsts + seconds), np.int64)
+    starts, special = np.cumsum(sizes) - sizes, np.zeros(len(pool), np.int32)
+    special[starts[:m]] = 1
+    special[(starts + sizes - 1)[: m if second is None else m + n]] = 1
+    for at in range(0, m * n, most):
+        k = np.arange(at, min(at + most, m * n))
+        # the main ones, then each other window of the first with all of the second, then the main one with the second's
+        a, b = np.where((k == 0) | (k > (m - 1) * n), 0, (k - 1) // n + 1), np.where(k == 0, 0, np.where(k > (m - 1) * n, k - (m - 1) * n, (k - 1) % n))
+        parts = np.stack([a, m + b], 1).ravel()
+        each = sizes[parts]
+        place = np.repeat(starts[parts] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        made = {"ids": pool[place], "type_ids": np.repeat(np.tile(np.array([0, 1], np.int32), len(k)), each), "special_tokens_mask": special[place], "attention_mask": np.ones(len(place), np.int32)}
+        long = each.reshape(-1, 2).sum(1)
+        if at == 0 and pad is not None and pad.fixed is not None and (more := pad_target(int(long[0]), pad.fixed, pad.multiple) - int(long[0])) > 0:
+            where = int(long[0]) if pad.direction == "Right" else 0
+            for f, x in zip(PAIR_FIELDS, (pad.pad_id, pad.pad_type_id, 1, 0)):
+                made[f] = np.concatenate([made[f][:where], np.full(more, x, made[f].dtype), made[f][where:]])
+            long[0] += more
+        yield long, made
+
+
 class ByteTable:
     """The bytes of each id, for byte-level vocabularies: ids decode to the bytes one after the other."""
 

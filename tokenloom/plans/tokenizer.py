@@ -32,6 +32,8 @@ OFFSETS = ("char", "byte", "utf16", "none")
 CACHED_WORDS = 200_000
 LONGEST_CACHED = 128
 MOST_BUILT = 64
+#: Tokens that a worker holds as Python objects before it sends them on.
+MOST_HELD = 1 << 17
 
 ENCODING = T.StructType(
     [
@@ -341,8 +343,16 @@ class Tokenizer:
         names = [*columns, window, out_name]
         alone = pair_col is None and not words and offsets != "utf16" and self.truncation is None and self.post_processor is None and (self.padding is None or self.padding.fixed is None)
 
-        def rows(tok: Tokenizer, b: pa.RecordBatch) -> pa.RecordBatch:
+        def rows(tok: Tokenizer, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             row, index, made = [], [], []
+
+            def batch() -> pa.RecordBatch:
+                take = pa.array(row, pa.int64())
+                out = pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[:-2]], pa.array(index, pa.int32()), B.as_structs(made, fields)], names)
+                row.clear(), index.clear(), made.clear()
+                return out
+
+            held = 0
             for i, (text, pair) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
                 if text is None:
                     row.append(i), index.append(0), made.append(None)
@@ -354,19 +364,48 @@ class Tokenizer:
                     e = tok.encode(text, pair, specials=specials, offsets=offsets)
                 for k, w in enumerate([e, *e.overflow]):
                     row.append(i), index.append(k), made.append(w)
-            take = pa.array(row, pa.int64())
-            return pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[:-2]], pa.array(index, pa.int32()), B.as_structs(made, fields)], names)
+                    held += len(w)
+                    if held >= MOST_HELD:
+                        yield batch()
+                        held = 0
+            yield batch()
+
+        gathered = pair_col is not None and not words and specials and set(fields) <= set(B.PAIR_FIELDS) and type(self.post_processor) is processors.BertProcessing
+
+        def pairs(b: pa.RecordBatch, tok: Tokenizer) -> Iterator[pa.RecordBatch]:
+            row, index, sizes, made, held = [], [], [], [], 0
+
+            def batch() -> pa.RecordBatch:
+                take, ends = pa.array(np.concatenate(row)), B.offsets_of(np.concatenate(sizes))
+                null = np.concatenate([np.full(len(s), m is None) for s, m in zip(sizes, made)])
+                values = [B.lists(ends, pa.array(np.concatenate([np.zeros(0, np.int64 if f == "ids" else np.int32), *[m[f] for m in made if m is not None]]))) for f in fields]
+                return pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[:-2]], pa.array(np.concatenate(index).astype(np.int32)), pa.StructArray.from_arrays(values, list(fields), mask=pa.array(null))], names)
+
+            for i, (text, pair) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
+                k = 0
+                for long, values in [(np.zeros(1, np.int64), None)] if text is None else B.pair_windows(tok, text, pair):
+                    row.append(np.full(len(long), i)), index.append(np.arange(k, k + len(long))), sizes.append(long), made.append(values)
+                    k, held = k + len(long), held + int(long.sum())
+                    if held >= MOST_HELD:
+                        yield batch()
+                        row, index, sizes, made, held = [], [], [], [], 0
+            if row:
+                yield batch()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tok = get()
             for batch in batches:
+                if gathered and tok.plain:
+                    for start in range(0, batch.num_rows, 200):
+                        yield from pairs(batch.slice(start, 200), tok)
+                    continue
                 if alone and tok.direct:
                     for b in B.text_slices(batch, batch.num_columns - 2):
                         made = B.flat_encodings(tok, b.column(b.num_columns - 2).to_pylist(), fields, offsets)
                         yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(np.zeros(b.num_rows, np.int32)), made], names)
                     continue
                 for start in range(0, batch.num_rows, 200):
-                    yield rows(tok, batch.slice(start, 200))
+                    yield from rows(tok, batch.slice(start, 200))
 
         return source.mapInArrow(run, schema)
 

@@ -386,7 +386,7 @@ def _codes_sql(c: str) -> str:
 
 
 def _text(c: Column) -> Column:
-    return F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("-"))), " ")
+    return F.array_join(c.cast("array<string>"), " ", "-")
 
 
 def _sql_list(c: str) -> str:
