@@ -14,7 +14,7 @@ from tokenloom.functions import normalizers as N
 from tokenloom.functions import pretokenizers as P
 from tokenloom.functions import processors as R
 from tokenloom.functions.aligned import Aligned, text_parts
-from tokenloom.operators import models
+from tokenloom.operators import lookup, models
 from tokenloom.operators.encoding import FIELDS, EncodingRow, merge_all
 from tokenloom.plans import batches as B
 from tokenloom.plans.tokenizer import Padding, Tokenizer, Truncation
@@ -183,3 +183,16 @@ def test_gathered_pairs_of_a_table(spark):
         e = None if t is None else tok.encode(t, p)
         expected += [(i, 0, None)] if e is None else [(i, k, (w.ids, w.type_ids)) for k, w in enumerate([e, *e.overflow])]
     assert [(r.i, r.window_index, None if r.encoding is None else (r.encoding.ids, r.encoding.type_ids)) for r in out] == expected
+
+
+@pytest.mark.parametrize("unk", [0, None])
+def test_only_rare_words_of_a_large_vocabulary_are_shuffled(spark, monkeypatch, unk):
+    words = ["the"] * 500 + [f"w{i}" for i in range(200) for _ in range(3)] + [f"once{i}" for i in range(50)] + [None]
+    rows = spark.createDataFrame(list(enumerate(words)), "i int, word string")
+    vocab = lookup.frequent_vocab(rows.where("word is not null"))
+    whole = lookup.word_level(rows, vocab, unk).collect()
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 2_000)
+    joined = lookup.word_level(rows, vocab, unk)
+    assert sorted(joined.collect(), key=lambda r: r.i) == sorted(whole, key=lambda r: r.i)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 1 and "Union" in plan

@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+def _bytes(vocab: DataFrame) -> Column:
+    texts = [f.name for f in vocab.schema.fields if f.dataType.typeName() == "string"]
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts), F.lit(64).cast("bigint"))
+
+
 def small(vocab: DataFrame, size: int | None = None) -> DataFrame:
     """The vocabulary with a broadcast hint if its bytes, measured where not given, are few enough."""
     if size is None:
-        texts = [f.name for f in vocab.schema.fields if f.dataType.typeName() == "string"]
-        row = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts), F.lit(64).cast("bigint"))
-        size = vocab.agg(F.sum(row)).first()[0] or 0
+        size = vocab.agg(F.sum(_bytes(vocab))).first()[0] or 0
     return F.broadcast(vocab) if size <= BROADCAST_BYTES else vocab
 
 
@@ -38,7 +41,16 @@ def frequent_vocab(rows: DataFrame, least: int = 2, first_id: int = 1) -> DataFr
     reads it more than once, and the corpus is counted once. It is sorted by
     range, so that no task gets all of it; ids go on from one range to the next.
     """
-    counted = rows.groupBy(F.col("word").alias("token")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return ranked_vocab(counted_words(rows), least, first_id)
+
+
+def counted_words(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col("word").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranked_vocab(counted: DataFrame, least: int = 2, first_id: int = 1) -> DataFrame:
+    """:func:`frequent_vocab` of words that are counted already."""
+    counted = counted.where(F.col("n") >= least)
     place = F.monotonically_increasing_id()  # the range above 33 bits of the place in it
     ranked = counted.orderBy(F.desc("n"), "token").select("token", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("at")).persist()
     sizes = {r["part"]: r["n"] for r in ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
@@ -49,8 +61,22 @@ def frequent_vocab(rows: DataFrame, least: int = 2, first_id: int = 1) -> DataFr
 
 
 def word_level(rows: DataFrame, vocab: DataFrame, unk_id: int | None = None, vocab_bytes: int | None = None) -> DataFrame:
-    """Exact lookup of ``word``; unknown words get ``unk_id``, or leave if there is none."""
-    joined = rows.join(small(vocab.select(F.col("token").alias("word"), F.col("id").alias("_id")), vocab_bytes), "word", "left")
+    """Exact lookup of ``word``; unknown words get ``unk_id``, or leave if there is none.
+
+    Of a vocabulary too large to broadcast, the part with the least ids is:
+    where ids are ranks, that has most of the text, and all words whose number
+    would make one task of a join too large. Only other words are shuffled.
+    """
+    named = vocab.select(F.col("token").alias("word"), F.col("id").alias("_id"))
+    if vocab_bytes is None:
+        vocab_bytes = named.agg(F.sum(_bytes(named))).first()[0] or 0
+    if vocab_bytes <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(named), "word", "left")
+    else:
+        (last,) = named.agg(F.percentile_approx("_id", BROADCAST_BYTES / vocab_bytes / 2, 10_000)).first()
+        head = rows.join(F.broadcast(named.where(F.col("_id") <= last)), "word", "left")
+        rest = head.where("_id is null").drop("_id").join(named.where(F.col("_id") > last), "word", "left")
+        joined = head.where("_id is not null").unionByName(rest)
     out = joined.select(*rows.columns, F.coalesce("_id", F.lit(unk_id)).cast("bigint").alias("id"))
     return out if unk_id is not None else out.where("id is not null")
 

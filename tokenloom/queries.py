@@ -349,9 +349,9 @@ def vocab_with_added(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_VOCAB_SQL} SELECT DISTINCT w.word AS token, v.id, b.token AS back FROM words w LEFT JOIN vocab v ON w.word = v.token LEFT JOIN vocab b ON v.id = b.id")
 def token_id_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _document_words(spark, sf_dir)
-    vocab = lookup.frequent_vocab(rows)
-    ids = lookup.token_to_id(rows.select(F.col("word").alias("token")).distinct(), vocab)
+    counted = lookup.counted_words(_document_words(spark, sf_dir)).persist()  # once, for the vocabulary and for the words
+    vocab = lookup.ranked_vocab(counted)
+    ids = lookup.token_to_id(counted.select("token"), vocab)
     back = lookup.id_to_token(ids.withColumnRenamed("token", "word"), vocab)
     return back.select(F.col("word").alias("token"), "id", F.col("token").alias("back"))
 
