@@ -196,3 +196,25 @@ def test_only_rare_words_of_a_large_vocabulary_are_shuffled(spark, monkeypatch,
     assert sorted(joined.collect(), key=lambda r: r.i) == sorted(whole, key=lambda r: r.i)
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=broadcast") >= 1 and "Union" in plan
+
+
+@pytest.mark.parametrize("part", [P.Whitespace(), P.BertPreTokenizer(), P.WhitespaceSplit()])
+def test_runs_are_found_without_a_matcher(part):
+    texts = ["".join(map(chr, range(i, i + 4096))) for i in range(0, 0x110000, 4096) if not 0xD000 <= i < 0xE000]
+    texts += ["".join(f"{chr(c)}a {chr(c)}." for c in range(i, i + 512)) for i in range(0, 0x3400, 512)] + ["", "ab", "cd", "", " ", "x y"]
+    spans = [part.spans(t) for t in texts]
+    part.compiled = None
+    pieces, counts, begins = part.parts(texts, places=True)
+    assert counts.tolist() == list(map(len, spans))
+    assert begins.tolist() == [i for s in spans for i, _ in s]
+    assert pieces == [t[i:j] for t, s in zip(texts, spans) for i, j in s]
+    assert part.parts(texts)[0] == pieces and part.parts([])[0] == [] and part.parts(["", ""])[1].tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("part", [P.Punctuation(), P.ByteLevel(), P.Metaspace(), P.Digits(), P.FixedLength(length=3)])
+def test_parts_of_many_texts_are_those_of_each(part):
+    texts = ["Ab, c'd 12é.", "", " x", "a"]
+    pieces, counts, _ = part.parts(texts)
+    assert (pieces, counts.tolist()) == ([p for t in texts for p in part(t)], [len(part(t)) for t in texts])
+    if part.exact:
+        assert part.parts(texts, places=True)[2].tolist() == [i for t in texts for i, _ in part.spans(t)]

@@ -7,6 +7,10 @@ null, an empty text an empty array.
 
 from __future__ import annotations
 
+import functools
+from itertools import chain
+
+import numpy as np
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,6 +85,15 @@ class PreTokenizer:
     def spans(self, text: str) -> list[tuple[int, int]]:
         raise NotImplementedError
 
+    def parts(self, texts: list[str], places: bool = False) -> tuple[list[str], np.ndarray, np.ndarray | None]:
+        """Pieces of all texts, each text's number of them and, if asked of one that is exact, where each begins in its text."""
+        if not places:
+            found = [self(t) for t in texts]
+            return list(chain.from_iterable(found)), np.fromiter(map(len, found), np.int64, len(found)), None
+        spans = [self.spans(t) for t in texts]
+        pieces = [t[i:j] for t, s in zip(texts, spans) for i, j in s]
+        return pieces, np.fromiter(map(len, spans), np.int64, len(spans)), np.fromiter((i for s in spans for i, _ in s), np.int64, len(pieces))
+
     def column(self, c: Column) -> Column:
         raise NotImplementedError
 
@@ -107,23 +120,60 @@ class _Matches(PreTokenizer):
         return F.regexp_extract_all(c, F.lit(self.java), F.lit(0))
 
 
+@functools.cache
+def _set_of_each(sets: tuple[str, ...]) -> np.ndarray:
+    """For each code point the number of the set that has it, from 1 on; 0 where none has."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.zeros(len(every), np.uint8)
+    for k, s in enumerate(sets, 1):
+        for m in regex.finditer(python_regex(f"[{s}]+"), every):
+            out[m.start() : m.end()] = k
+    return out
+
+
+class _Runs(_Matches):
+    """Pieces are the longest runs of code points of one of ``sets``, which have none in common; ``java`` says the same."""
+
+    sets: tuple[str, ...] = ()
+
+    def parts(self, texts: list[str], places: bool = False) -> tuple[list[str], np.ndarray, np.ndarray | None]:
+        text = "".join(texts)
+        kinds = _set_of_each(self.sets)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        firsts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+        begins = np.ones(len(kinds), bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
+        begins[firsts[firsts < len(kinds)]] = True
+        starts = np.flatnonzero(begins)
+        ends, wanted = np.append(starts, len(kinds))[1:], kinds[starts] != 0
+        starts, ends = starts[wanted], ends[wanted]
+        counts = np.diff(np.searchsorted(starts, firsts))
+        pieces = [text[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
+        return pieces, counts, starts - np.repeat(firsts[:-1], counts) if places else None
+
+
+_BERT_WORD = "\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}"
+
+
 @component("pre_tokenizer", "BertPreTokenizer")
-class BertPreTokenizer(_Matches):
+class BertPreTokenizer(_Runs):
     """Words, and runs of what is neither word nor white space."""
 
-    java = f"[\\p{{L}}\\p{{Mn}}\\p{{Nd}}\\p{{Pc}}]+|[^\\p{{L}}\\p{{Mn}}\\p{{Nd}}\\p{{Pc}}{WS}]+"
+    sets = (_BERT_WORD, f"^{_BERT_WORD}{WS}")
+    java = f"[{_BERT_WORD}]+|[^{_BERT_WORD}{WS}]+"
 
 
 _WORD = "\\p{L}\\p{Nl}\\p{M}\\p{Nd}\\p{Pc}\\x{200C}\\x{200D}"
 
 
 @component("pre_tokenizer", "Whitespace")
-class Whitespace(_Matches):
+class Whitespace(_Runs):
+    sets = (_WORD, f"^{_WORD}{WS}")
     java = f"[{_WORD}]+|[^{_WORD}{WS}]+"
 
 
 @component("pre_tokenizer", "WhitespaceSplit")
-class WhitespaceSplit(_Matches):
+class WhitespaceSplit(_Runs):
+    sets = (f"^{WS}",)
     java = f"[^{WS}]+"
 
 
