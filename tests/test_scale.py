@@ -218,3 +218,40 @@ def test_parts_of_many_texts_are_those_of_each(part):
     assert (pieces, counts.tolist()) == ([p for t in texts for p in part(t)], [len(part(t)) for t in texts])
     if part.exact:
         assert part.parts(texts, places=True)[2].tolist() == [i for t in texts for i, _ in part.spans(t)]
+
+
+def _bpe_cases():
+    rnd = random.Random(5)
+    letters = "abcé\U0001f600"
+    for k in range(12):
+        vocab = {c: i for i, c in enumerate(["<unk>", *letters[: rnd.randint(3, 5)]])}
+        merges = []
+        for _ in range(rnd.randint(0, 14)):
+            a, b = rnd.choice(list(vocab)), rnd.choice(list(vocab))
+            if len(a + b) < 9:
+                vocab.setdefault(a + b, len(vocab) + 3)
+                merges.append((a, b))
+        rnd.shuffle(merges)  # also merges that come before those that make their parts
+        for options in ({}, {"unk_token": "<unk>"}, {"ignore_merges": True}, {"ignore_merges": True, "merge_on_miss": True}, {"byte_fallback": True, "unk_token": "<unk>"}, {"fuse_unk": True, "unk_token": "<unk>"}, {"continuing_subword_prefix": "b"}, {"end_of_word_suffix": "a"}):
+            more = {models.byte_token(b): 500 + b for b in range(256)} if "byte_fallback" in options and k % 2 else {}
+            yield models.BPE(vocab=vocab | more, merges=merges, **options)
+
+
+def test_words_merged_together_are_as_words_alone():
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcéz\U0001f600") for _ in range(rnd.randint(0, 14))) for _ in range(300)] + ["", "z", "a" * 300, "ab" * 200, "z" * 200]
+    cases = [*_bpe_cases(), models.WordLevel(vocab={"a": 5, "ab": 1, "<unk>": 9}), models.WordLevel(vocab={"a": 5}), models.WordPiece(vocab={"a": 0, "##b": 1, "[UNK]": 2})]
+    for model in cases:
+        for some in (words, [], [""], ["zz"]):
+            made = model.tokens_many(some)
+            ends = np.cumsum(made.sizes)
+            got = [[models.Token(int(made.ids[i]), made.names[made.values[i]], int(made.starts[i]), int(made.ends[i])) for i in range(j - n, j)] for n, j in zip(made.sizes, ends)]
+            assert got == [model.tokens(w) for w in some]
+
+
+def test_new_words_of_a_batch_are_merged_together(monkeypatch):
+    model = models.BPE(vocab={"a": 0, "b": 1, "ab": 2}, merges=[("a", "b")])
+    monkeypatch.setattr(models.BPE, "tokens", None)
+    monkeypatch.setattr(models.BPE, "merged", None)
+    tok = Tokenizer(model, pre_tokenizer=P.Whitespace())
+    assert B.flat_ids(tok, ["ab ba", None, "", "abab"]).to_pylist() == [[2, 1, 0], None, [], [2, 2]]

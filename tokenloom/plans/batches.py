@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from tokenloom.operators.encoding import EncodingRow, pad_target, truncate_pair
 
 if TYPE_CHECKING:
+    from tokenloom.operators.models import Model
     from tokenloom.plans.tokenizer import Tokenizer
 
 #: Bytes a core up to which a table is small; scans of larger ones fill the cores by themselves.
 SMALL = 32 << 20
 CACHED_WORDS = 200_000
-CACHED_CHARS = 16 << 20
+CACHED_CHARS = 4 << 20
 KINDS = {"offsets": pa.struct([("start", pa.int32()), ("end", pa.int32())]), "ids": pa.int64(), "tokens": pa.string()}
 
 
@@ -42,43 +43,47 @@ def free_name(columns: Iterable[str], name: str) -> str:
 
 
 class _Numbers(dict):
-    def __init__(self, add: Callable[[str], int]):
-        super().__init__()
-        self.add = add
+    """Numbers of keys in the order in which they are met."""
 
-    def __missing__(self, word: str) -> int:
-        number = self[word] = self.add(word)
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
         return number
 
 
 class WordTable:
     """Tokens of the words met so far, in flat arrays, by the words' numbers."""
 
-    def __init__(self, tokens: Callable[[str], list]):
-        self.tokens = tokens
+    def __init__(self, model: Model):
+        self.model = model
         self.clear()
 
     def clear(self) -> None:
-        self.numbers = _Numbers(self._add)
-        self.starts, self.ids, self.begins, self.ends = array("q", [0]), array("q"), array("i"), array("i")
-        self.values: list[str] = []
+        self.numbers, self.names = _Numbers(), _Numbers()
+        self.starts, self.ids, self.begins, self.ends, self.values = array("q", [0]), array("q"), array("i"), array("i"), array("i")
         self.chars = 0
 
-    def _add(self, word: str) -> int:
-        for t in self.tokens(word):
-            self.ids.append(t.id)
-            self.begins.append(t.start)
-            self.ends.append(t.end)
-            self.values.append(t.value)
-        self.starts.append(len(self.ids))
-        self.chars += len(word)
-        return len(self.starts) - 2
+    def _add(self, words: list[str]) -> None:
+        made = self.model.tokens_many(words)
+        names = np.fromiter(map(self.names.__getitem__, made.names), np.int64, len(made.names))
+        self.starts.frombytes((np.cumsum(made.sizes) + len(self.ids)).astype(np.int64).tobytes())
+        self.ids.frombytes(made.ids.astype(np.int64).tobytes())
+        for kept, new in ((self.begins, made.starts), (self.ends, made.ends), (self.values, names[made.values])):
+            kept.frombytes(new.astype(np.int32).tobytes())
+        self.chars += sum(map(len, words))
 
     def look_up(self, words: Iterable[str]) -> np.ndarray:
-        """Numbers of the words; those met in earlier batches are forgotten once they are too many."""
-        if len(self.starts) > CACHED_WORDS or self.chars > CACHED_CHARS:
+        """Numbers of the words, of which new ones go to the model together; those met in earlier batches are forgotten once they are too many."""
+        if len(self.numbers) > CACHED_WORDS or self.chars > CACHED_CHARS:
             self.clear()
-        return np.fromiter(map(self.numbers.__getitem__, words), np.int64)
+        known = len(self.numbers)
+        try:
+            found = np.fromiter(map(self.numbers.__getitem__, words), np.int64)
+            if len(self.numbers) > known:
+                self._add(list(islice(self.numbers, known, None)))
+        except BaseException:
+            self.clear()
+            raise
+        return found
 
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the flat arrays of all tokens of the words, and each word's number of tokens."""
@@ -101,30 +106,27 @@ def lists(offsets: np.ndarray, values: pa.Array, null: np.ndarray | None = None)
 def flat_ids(tok: Tokenizer, texts: list[str | None]) -> pa.Array:
     """Ids of texts, for tokenizers whose :attr:`plain` is set."""
     null = np.array([t is None for t in texts], bool)
-    pieces = [() if t is None else tok.pieces(t) for t in texts]
+    pieces, counts, _ = tok.pre_tokenizer.parts(_normal(tok, texts))
     table = tok.table
-    place, sizes = table.take(table.look_up(chain.from_iterable(pieces)))
-    words = offsets_of(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-    return lists(offsets_of(sizes)[words], pa.array(np.array(table.ids)[place]), null)
+    place, sizes = table.take(table.look_up(pieces))
+    return lists(offsets_of(sizes)[offsets_of(counts)], pa.array(np.array(table.ids)[place]), null)
+
+
+def _normal(tok: Tokenizer, texts: list[str | None]) -> list[str]:
+    return ["" if t is None else tok.normalizer(t) if tok.normalizer else t for t in texts]
 
 
 def flat_encodings(tok: Tokenizer, texts: list[str | None], fields: tuple[str, ...], unit: str) -> pa.Array:
     """Encodings of single texts with true places, for tokenizers whose :attr:`direct` is set, as structs of ``fields``."""
     null = np.array([t is None for t in texts], bool)
-    spans, pieces = [], []
-    for t in texts:
-        text = "" if t is None else tok.normalizer(t) if tok.normalizer else t
-        found = tok.pre_tokenizer.spans(text)
-        spans.append(found)
-        pieces.append([text[i:j] for i, j in found])
+    pieces, words, begins = tok.pre_tokenizer.parts(_normal(tok, texts), places=True)
     table = tok.table
-    place, sizes = table.take(table.look_up(chain.from_iterable(pieces)))
-    words = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    place, sizes = table.take(table.look_up(pieces))
     ends = offsets_of(sizes)[offsets_of(words)]
     n = len(place)
     made: dict[str, Callable[[], pa.Array]] = {
         "ids": lambda: pa.array(np.array(table.ids)[place]),
-        "tokens": lambda: pa.array(table.values, pa.string()).take(pa.array(place)),
+        "tokens": lambda: pa.array(list(table.names), pa.string()).take(pa.array(np.array(table.values)[place])),
         "word_ids": lambda: pa.array(np.repeat(np.arange(len(sizes)) - np.repeat(offsets_of(words)[:-1], words), sizes).astype(np.int32)),
         "type_ids": lambda: pa.array(np.zeros(n, np.int32)),
         "special_tokens_mask": lambda: pa.array(np.zeros(n, np.int32)),
@@ -135,7 +137,7 @@ def flat_encodings(tok: Tokenizer, texts: list[str | None], fields: tuple[str, .
     def offsets() -> pa.Array:
         if unit == "none":
             return pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int32))] * 2, ["start", "end"])
-        begin = np.repeat(np.fromiter((i for found in spans for i, _ in found), np.int64, len(sizes)), sizes)
+        begin = np.repeat(begins, sizes)
         found = [begin + np.array(x)[place] for x in (table.begins, table.ends)]
         if unit == "byte":
             # where each code point begins, all texts one after the other

@@ -97,7 +97,7 @@ class Tokenizer:
         #: Whether ids are those of the pre-tokenizer's pieces; whether pieces are parts of the text, at the same places.
         self.plain = pre_tokenizer is not None and not self.added.tokens and model.cacheable
         self.direct = self.plain and pre_tokenizer.exact and (normalizer is None or normalizer.keeps_places)
-        self.table = B.WordTable(model.tokens)
+        self.table = B.WordTable(model)
         self.byte_table: B.ByteTable | None = None
 
     # definition
