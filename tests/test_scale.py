@@ -17,6 +17,8 @@ from tokenloom.functions.aligned import Aligned, text_parts
 from tokenloom.operators import lookup, models
 from tokenloom.operators.encoding import FIELDS, EncodingRow, merge_all
 from tokenloom.plans import batches as B
+from tokenloom.plans import tokenizer as T
+from tokenloom.plans.added import AddedToken
 from tokenloom.plans.tokenizer import Padding, Tokenizer, Truncation
 
 
@@ -255,3 +257,28 @@ def test_new_words_of_a_batch_are_merged_together(monkeypatch):
     monkeypatch.setattr(models.BPE, "merged", None)
     tok = Tokenizer(model, pre_tokenizer=P.Whitespace())
     assert B.flat_ids(tok, ["ab ba", None, "", "abab"]).to_pylist() == [[2, 1, 0], None, [], [2, 2]]
+
+
+def _sent(monkeypatch, df, tok, **options):
+    """The function that encode_frame hands to the workers."""
+    sent = {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: sent.update(run=f) or self)
+    tok.encode_frame(df, "t", columns=[], **options)
+    return sent["run"]
+
+
+def _text_batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.nulls(len(texts), pa.string())], ["_text", "_pair"])
+
+
+@pytest.mark.parametrize("parts", [{"pre_tokenizer": P.Whitespace()}, {"added_tokens": [AddedToken("<mark>")]}])
+def test_words_of_earlier_queries_are_forgotten(spark, monkeypatch, parts):
+    monkeypatch.setattr(T, "_built", {})
+    monkeypatch.setattr(T, "MOST_OTHERS", 50)
+    df = spark.createDataFrame([("a",)], "t string")
+    texts = [f"w{i} w{i + 1000} <mark>" for i in range(100)]
+    for k in range(4):
+        tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0, f"v{k}": 1}), **parts)
+        first = [b.to_pylist() for b in _sent(monkeypatch, df, tok)(iter([_text_batch(texts)]))]
+        assert [r["encoding"]["ids"] for b in first for r in b] == [tok.encode(t).ids for t in texts]
+        assert [t.held() > 0 for t in T._built.values()] == [False] * k + [True]

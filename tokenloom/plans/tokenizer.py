@@ -32,6 +32,8 @@ OFFSETS = ("char", "byte", "utf16", "none")
 CACHED_WORDS = 200_000
 LONGEST_CACHED = 128
 MOST_BUILT = 64
+#: Words that a worker keeps of tokenizers besides the one at work.
+MOST_OTHERS = 50_000
 #: Tokens that a worker holds as Python objects before it sends them on.
 MOST_HELD = 1 << 17
 
@@ -177,6 +179,15 @@ class Tokenizer:
             found = self.cache[word] = self.model.tokens(word)
         return found
 
+    def held(self) -> int:
+        """Words that are kept."""
+        return len(self.cache) + len(self.table.numbers)
+
+    def forget(self) -> None:
+        self.cache.clear()
+        self.table.clear()
+        self.byte_table = None
+
     def segments(self, text: Aligned) -> Iterator[tuple[Aligned, AddedToken | None]]:
         for part, token in self.added.extract(text):
             if token is not None or self.pre_tokenizer is None:
@@ -292,7 +303,11 @@ class Tokenizer:
     # DataFrames
 
     def _sender(self) -> Any:
-        """A function that gives the workers' copy of this tokenizer, built once in each for one definition."""
+        """A function that gives the workers' copy of this tokenizer, built once in each for one definition.
+
+        A worker that goes from one query to the next keeps tokenizers, but their
+        words only as long as those of all the others are few.
+        """
         definition, special = self.to_json(), self.encode_special_tokens
         key = hashlib.sha256(json.dumps([definition, special], sort_keys=True, default=str).encode()).hexdigest()
 
@@ -302,6 +317,10 @@ class Tokenizer:
                 if len(_built) >= MOST_BUILT:
                     _built.clear()
                 found = _built[key] = Tokenizer.from_json(definition).with_(encode_special_tokens=special)
+            others = [t for t in _built.values() if t is not found]
+            if sum(t.held() for t in others) > MOST_OTHERS:
+                for t in others:
+                    t.forget()
             return found
 
         return get
