@@ -282,3 +282,20 @@ def test_words_of_earlier_queries_are_forgotten(spark, monkeypatch, parts):
         first = [b.to_pylist() for b in _sent(monkeypatch, df, tok)(iter([_text_batch(texts)]))]
         assert [r["encoding"]["ids"] for b in first for r in b] == [tok.encode(t).ids for t in texts]
         assert [t.held() > 0 for t in T._built.values()] == [False] * k + [True]
+
+
+def test_long_pieces_kept_are_bounded_in_characters(monkeypatch):
+    monkeypatch.setattr(T, "CACHED_CHARS", 1000)
+    tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0}))
+    for i in range(500):
+        tok.word(f"{i:100}")
+    assert sum(map(len, tok.cache)) <= 1100
+
+
+def test_rows_of_long_texts_are_encoded_a_few_at_a_time(spark, monkeypatch):
+    tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0}), added_tokens=[AddedToken("<mark>")])
+    texts = ["x" * 150_000 + "<mark>" for _ in range(30)] + [None, ""]
+    run = _sent(monkeypatch, spark.createDataFrame([("a",)], "t string"), tok, offsets="none", fields=("ids",))
+    out = list(run(iter([_text_batch(texts)])))
+    assert len(out) >= 4 and max(b.num_rows for b in out) <= 8
+    assert [r["encoding"] and r["encoding"]["ids"] for b in out for r in b.to_pylist()] == [None if t is None else tok.encode(t).ids for t in texts]

@@ -30,6 +30,7 @@ from tokenloom.sources.registry import build, dump
 
 OFFSETS = ("char", "byte", "utf16", "none")
 CACHED_WORDS = 200_000
+CACHED_CHARS = 4 << 20
 LONGEST_CACHED = 128
 MOST_BUILT = 64
 #: Words that a worker keeps of tokenizers besides the one at work.
@@ -96,6 +97,7 @@ class Tokenizer:
         self.truncation, self.padding, self.encode_special_tokens = truncation, padding, encode_special_tokens
         self.added = AddedVocabulary(list(added_tokens), model.size(), model.vocabulary(), normalizer, encode_special_tokens)
         self.cache: dict[str, list[models.Token]] = {}
+        self.cached_chars = 0
         #: Whether ids are those of the pre-tokenizer's pieces; whether pieces are parts of the text, at the same places.
         self.plain = pre_tokenizer is not None and not self.added.tokens and model.cacheable
         self.direct = self.plain and pre_tokenizer.exact and (normalizer is None or normalizer.keeps_places)
@@ -174,9 +176,11 @@ class Tokenizer:
             return self.model.tokens(word)
         found = self.cache.get(word)
         if found is None:
-            if len(self.cache) >= CACHED_WORDS:
+            if len(self.cache) >= CACHED_WORDS or self.cached_chars >= CACHED_CHARS:
                 self.cache.clear()
+                self.cached_chars = 0
             found = self.cache[word] = self.model.tokens(word)
+            self.cached_chars += len(word)
         return found
 
     def held(self) -> int:
@@ -185,6 +189,7 @@ class Tokenizer:
 
     def forget(self) -> None:
         self.cache.clear()
+        self.cached_chars = 0
         self.table.clear()
         self.byte_table = None
 
@@ -423,8 +428,9 @@ class Tokenizer:
                         made = B.flat_encodings(tok, b.column(b.num_columns - 2).to_pylist(), fields, offsets)
                         yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(np.zeros(b.num_rows, np.int32)), made], names)
                     continue
-                for start in range(0, batch.num_rows, 200):
-                    yield from rows(tok, batch.slice(start, 200))
+                for part in [batch] if words else B.text_slices(batch, batch.num_columns - 2):
+                    for start in range(0, part.num_rows, 200):
+                        yield from rows(tok, part.slice(start, 200))
 
         return source.mapInArrow(run, schema)
 
