@@ -299,3 +299,10 @@ def test_rows_of_long_texts_are_encoded_a_few_at_a_time(spark, monkeypatch):
     out = list(run(iter([_text_batch(texts)])))
     assert len(out) >= 4 and max(b.num_rows for b in out) <= 8
     assert [r["encoding"] and r["encoding"]["ids"] for b in out for r in b.to_pylist()] == [None if t is None else tok.encode(t).ids for t in texts]
+
+
+def test_tokens_of_a_table_are_kept_as_numbers():
+    table = B.WordTable(models.WordLevel(vocab={"<unk>": 0, "a": 1}))
+    place, _ = table.take(table.look_up(f"w{i % 1000}" if i % 10 else "a" for i in range(5000)))
+    assert list(table.names) == ["<unk>", "a"] and len(table.values) == len(table.ids) <= 1001
+    assert [list(table.names)[table.values[p]] for p in place[:3]] == ["a", "<unk>", "<unk>"]
