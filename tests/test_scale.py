@@ -306,3 +306,12 @@ def test_tokens_of_a_table_are_kept_as_numbers():
     place, _ = table.take(table.look_up(f"w{i % 1000}" if i % 10 else "a" for i in range(5000)))
     assert list(table.names) == ["<unk>", "a"] and len(table.values) == len(table.ids) <= 1001
     assert [list(table.names)[table.values[p]] for p in place[:3]] == ["a", "<unk>", "<unk>"]
+
+
+def test_places_of_words_hold_no_tuples(monkeypatch):
+    tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0}), pre_tokenizer=P.Whitespace())
+    texts = ["é ab,cd \U0001f600", None, "", " x"]
+    expected = [None if t is None else (tok.encode(t).offsets, tok.encode(t).word_ids) for t in texts]
+    monkeypatch.setattr(P.Whitespace, "spans", None)
+    got = B.flat_encodings(tok, texts, ("word_ids", "offsets"), "char").to_pylist()
+    assert [r and ([(o["start"], o["end"]) for o in r["offsets"]], r["word_ids"]) for r in got] == expected
