@@ -14,7 +14,7 @@ from tokenloom.functions import normalizers as N
 from tokenloom.functions import pretokenizers as P
 from tokenloom.functions import processors as R
 from tokenloom.functions.aligned import Aligned, text_parts
-from tokenloom.operators import lookup, models
+from tokenloom.operators import lookup, models, shape
 from tokenloom.operators.encoding import FIELDS, EncodingRow, merge_all
 from tokenloom.plans import batches as B
 from tokenloom.plans import tokenizer as T
@@ -315,3 +315,42 @@ def test_places_of_words_hold_no_tuples(monkeypatch):
     monkeypatch.setattr(P.Whitespace, "spans", None)
     got = B.flat_encodings(tok, texts, ("word_ids", "offsets"), "char").to_pylist()
     assert [r and ([(o["start"], o["end"]) for o in r["offsets"]], r["word_ids"]) for r in got] == expected
+
+
+@pytest.mark.parametrize("part", [P.Whitespace(), P.BertPreTokenizer(), P.WhitespaceSplit(), P.Punctuation(), P.Digits(), P.CharDelimiterSplit(delimiter="a")])
+@pytest.mark.parametrize("unit", ["char", "byte", "none"])
+def test_places_alone_need_no_words(monkeypatch, part, unit):
+    tok = Tokenizer(models.WordLevel(vocab={"<unk>": 0, "ab": 1}), normalizer=N.Lowercase(), pre_tokenizer=part)
+    texts = ["É ab,cd \U0001f600 1ab2", None, "", " x", "aa", "  ", "▁ÀÉ", ""]
+    fields = ("type_ids", "word_ids", "offsets", "attention_mask")
+    rows = [None if t is None else tok.encode(t, offsets=unit) for t in texts]
+    tok.forget()
+    monkeypatch.setattr(B.WordTable, "look_up", None)
+    monkeypatch.setattr(type(part), "parts", None)
+    got = B.flat_encodings(tok, texts, fields, unit).to_pylist()
+    assert [r and [r["type_ids"], r["word_ids"], [(o["start"], o["end"]) for o in r["offsets"]], r["attention_mask"]] for r in got] == [None if e is None else [e.type_ids, e.word_ids, e.offsets, e.attention_mask] for e in rows]
+    assert tok.held() == 0 and B.flat_encodings(tok, [], fields, unit).to_pylist() == [] and B.flat_encodings(tok, [None, ""], fields, unit).to_pylist()[0] is None
+
+
+@pytest.mark.parametrize("vocab", [{"ab": 1}, {"<unk>": 0, "ab": 1}])
+def test_places_of_words_that_the_model_drops_are_dropped(vocab):
+    tok = Tokenizer(models.WordLevel(vocab=vocab), pre_tokenizer=P.Whitespace())
+    assert tok.model.whole == ("<unk>" in vocab)
+    texts = ["x ab, ab", "x", None]
+    got = B.flat_encodings(tok, texts, ("word_ids", "offsets"), "char").to_pylist()
+    rows = [None if t is None else tok.encode(t) for t in texts]
+    assert [r and (r["word_ids"], [(o["start"], o["end"]) for o in r["offsets"]]) for r in got] == [None if e is None else (e.word_ids, e.offsets) for e in rows]
+
+
+def test_the_token_at_a_place_is_found_without_a_struct_of_each(spark):
+    offsets = [[(0, 2), (3, 5), None, (5, 5), (5, 9), (5, 7)], [], None, [(None, 4), (0, None), (0, 4)], [(0, 3), (0, 3)]]
+    sequences = [[0, 0, None, 1, 1, 1], [], None, [0, 0, 0], [1, 0]]
+    df = spark.createDataFrame([(i, o, q) for i, (o, q) in enumerate(zip(offsets, sequences))], "i int, o array<struct<start:int,end:int>>, q array<int>")
+    for pos in (-1, 0, 2, 4, 5, 6, 9):
+        made = [shape.char_to_token(F.col("o"), F.lit(pos)), shape.char_to_token(F.col("o"), F.lit(pos), F.col("q"), 1)]
+        rows = df.select("i", *[m.alias(n) for m, n in zip(made, "ab")])
+        assert [f.dataType.simpleString() for f in rows.schema][1:] == ["int", "int"]
+        hits = [[] if o is None else [i for i, p in enumerate(o) if p and None not in p and p[0] <= pos < p[1]] for o in offsets]
+        expected = [((h or [None])[0], ([i for i in h if q[i] == 1] or [None])[0]) for h, q in zip(hits, sequences)]
+        assert [(r.a, r.b) for r in rows.orderBy("i").collect()] == expected
+        assert "struct(" not in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -71,6 +71,11 @@ def tiled(c: Column, delimiter: str, behavior: str, runs: bool = False) -> Colum
     return F.filter(pieces, lambda x: ~x.rlike(f"\\A{d}\\z")) if behavior == REMOVED else pieces
 
 
+def _firsts(texts: list[str]) -> np.ndarray:
+    """Where each text begins, and the last ends, in all of them one after the other."""
+    return np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+
+
 class PreTokenizer:
     def split(self, text: Aligned) -> list[Aligned]:
         raise NotImplementedError
@@ -85,6 +90,14 @@ class PreTokenizer:
     def spans(self, text: str) -> list[tuple[int, int]]:
         raise NotImplementedError
 
+    def places(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of one that is exact: all texts as one, where each piece begins and ends in it, each text's number of pieces, and where each text begins."""
+        spans = [self.spans(t) for t in texts]
+        counts = np.fromiter(map(len, spans), np.int64, len(spans))
+        firsts = _firsts(texts)
+        found = np.fromiter(chain.from_iterable(chain.from_iterable(spans)), np.int64, 2 * int(counts.sum())) + np.repeat(firsts[:-1], 2 * counts)
+        return "".join(texts), found[::2], found[1::2], counts, firsts
+
     def parts(self, texts: list[str], places: bool = False) -> tuple[list[str], np.ndarray, np.ndarray | None]:
         """Pieces of all texts, each text's number of them and, if asked of one that is exact, where each begins in its text."""
         if not places:
@@ -136,17 +149,19 @@ class _Runs(_Matches):
 
     sets: tuple[str, ...] = ()
 
-    def parts(self, texts: list[str], places: bool = False) -> tuple[list[str], np.ndarray, np.ndarray | None]:
-        text = "".join(texts)
+    def places(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        text, firsts = "".join(texts), _firsts(texts)
         kinds = _set_of_each(self.sets)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-        firsts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
         begins = np.ones(len(kinds), bool)
         np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
         begins[firsts[firsts < len(kinds)]] = True
         starts = np.flatnonzero(begins)
         ends, wanted = np.append(starts, len(kinds))[1:], kinds[starts] != 0
         starts, ends = starts[wanted], ends[wanted]
-        counts = np.diff(np.searchsorted(starts, firsts))
+        return text, starts, ends, np.diff(np.searchsorted(starts, firsts)), firsts
+
+    def parts(self, texts: list[str], places: bool = False) -> tuple[list[str], np.ndarray, np.ndarray | None]:
+        text, starts, ends, counts, firsts = self.places(texts)
         pieces = [text[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
         return pieces, counts, starts - np.repeat(firsts[:-1], counts) if places else None
 

@@ -163,9 +163,13 @@ def token_to_chars(offsets: Column, token: Column) -> Column:
 
 def char_to_token(offsets: Column, pos: Column, sequence_ids: Column | None = None, sequence: int = 0) -> Column:
     """The first token of the sequence that holds the place."""
-    zipped = F.transform(offsets, lambda o, i: F.struct(o["start"].alias("s"), o["end"].alias("e"), i.alias("i"), (F.get(sequence_ids, i) if sequence_ids is not None else F.lit(sequence)).alias("q")))
-    hits = F.filter(zipped, lambda x: (x["s"] <= pos) & (pos < x["e"]) & (x["q"] == sequence))
-    return F.get(hits, F.lit(0))["i"]
+
+    def holds(o: Column, i: Column) -> Column:
+        inside = (o["start"] <= pos) & (pos < o["end"])
+        return inside if sequence_ids is None else inside & (F.get(sequence_ids, i) == sequence)
+
+    hit = F.array_position(F.transform(offsets, holds), F.lit(True))
+    return (F.nullif(hit, F.lit(0)) - 1).cast("int")
 
 
 def token_to_word(word_ids: Column, token: Column) -> Column:

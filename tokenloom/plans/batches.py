@@ -119,15 +119,24 @@ def _normal(tok: Tokenizer, texts: list[str | None]) -> list[str]:
 def flat_encodings(tok: Tokenizer, texts: list[str | None], fields: tuple[str, ...], unit: str) -> pa.Array:
     """Encodings of single texts with true places, for tokenizers whose :attr:`direct` is set, as structs of ``fields``."""
     null = np.array([t is None for t in texts], bool)
-    pieces, words, begins = tok.pre_tokenizer.parts(_normal(tok, texts), places=True)
-    table = tok.table
-    place, sizes = table.take(table.look_up(pieces))
-    ends = offsets_of(sizes)[offsets_of(words)]
-    n = len(place)
+    table, placed = tok.table, tok.model.whole and not {"ids", "tokens"} & set(fields)
+    if placed:  # every piece is a token, whichever word it is: none becomes a string or is kept
+        _, begins, stops, words, firsts = tok.pre_tokenizer.places(_normal(tok, texts))
+        before = np.repeat(firsts[:-1], words)
+        ends, n = offsets_of(words), len(begins)
+    else:
+        pieces, words, begins = tok.pre_tokenizer.parts(_normal(tok, texts), places=True)
+        place, sizes = table.take(table.look_up(pieces))
+        ends, n = offsets_of(sizes)[offsets_of(words)], len(place)
+
+    def word_ids() -> pa.Array:
+        each = np.arange(len(begins)) - np.repeat(offsets_of(words)[:-1], words)
+        return pa.array((each if placed else np.repeat(each, sizes)).astype(np.int32))
+
     made: dict[str, Callable[[], pa.Array]] = {
         "ids": lambda: pa.array(np.array(table.ids)[place]),
         "tokens": lambda: pa.array(list(table.names), pa.string()).take(pa.array(np.array(table.values)[place])),
-        "word_ids": lambda: pa.array(np.repeat(np.arange(len(sizes)) - np.repeat(offsets_of(words)[:-1], words), sizes).astype(np.int32)),
+        "word_ids": word_ids,
         "type_ids": lambda: pa.array(np.zeros(n, np.int32)),
         "special_tokens_mask": lambda: pa.array(np.zeros(n, np.int32)),
         "attention_mask": lambda: pa.array(np.ones(n, np.int32)),
@@ -137,8 +146,7 @@ def flat_encodings(tok: Tokenizer, texts: list[str | None], fields: tuple[str, .
     def offsets() -> pa.Array:
         if unit == "none":
             return pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int32))] * 2, ["start", "end"])
-        begin = np.repeat(begins, sizes)
-        found = [begin + np.array(x)[place] for x in (table.begins, table.ends)]
+        found = [x - before for x in (begins, stops)] if placed else [np.repeat(begins, sizes) + np.array(x)[place] for x in (table.begins, table.ends)]
         if unit == "byte":
             # where each code point begins, all texts one after the other
             data = np.frombuffer("".join(t or "" for t in texts).encode("utf-8", "surrogatepass"), np.uint8)

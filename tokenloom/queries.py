@@ -510,14 +510,14 @@ _PLACE_SQL = "WITH " + _PLACE_SQL[_PLACE_SQL.index("g AS (SELECT doc_id, i, leng
 @query(_PLACE_SQL + 'SELECT doc_id, pos, ("end" - n)::INT AS start, "end" FROM o')
 def encode_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every token in its document, from the encoder."""
-    rows = shape.tall(_PLACES.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"], fields=("ids", "offsets")), keys=["doc_id"])
+    rows = shape.tall(_PLACES.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"], fields=("offsets",)), keys=["doc_id"])
     return rows.select("doc_id", "pos", "start", "end")
 
 
 @query(_PLACE_SQL + 'SELECT doc_id, pos, strlen(substring(text, 1, "end" - n))::INT AS start, strlen(substring(text, 1, "end"))::INT AS "end" FROM o JOIN documents USING (doc_id)')
 def encode_byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every token in its document, in UTF-8 bytes."""
-    rows = shape.tall(_PLACES.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"], offsets="byte", fields=("ids", "offsets")), keys=["doc_id"])
+    rows = shape.tall(_PLACES.encode_frame(table(spark, sf_dir, "documents"), columns=["doc_id"], offsets="byte", fields=("offsets",)), keys=["doc_id"])
     return rows.select("doc_id", "pos", "start", "end")
 
 
