@@ -354,3 +354,21 @@ def test_the_token_at_a_place_is_found_without_a_struct_of_each(spark):
         expected = [((h or [None])[0], ([i for i in h if q[i] == 1] or [None])[0]) for h, q in zip(hits, sequences)]
         assert [(r.a, r.b) for r in rows.orderBy("i").collect()] == expected
         assert "struct(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_the_tokens_of_a_word_are_counted_without_a_lambda(spark, ansi):
+    words = [[0, 1, None, 1, 2, 2], [], None, [None, 0, 0], [None]]
+    offsets = [None if w is None else [(3 * k, 3 * k + 2) for k in range(len(w))] for w in words]
+    df = spark.createDataFrame([(i, w, o) for i, (w, o) in enumerate(zip(words, offsets))], "i int, w array<int>, o array<struct<start:int,end:int>>")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for word in (0, 1, 2, 9, None):
+            rows = df.select("i", shape.word_to_tokens(F.col("w"), F.lit(word).cast("int")).alias("t"), shape.word_to_chars(F.col("o"), F.col("w"), F.lit(word).cast("int")).alias("c"))
+            at = [[] if w is None or word is None else [k for k, x in enumerate(w) if x == word] for w in words]
+            expected = [((a[0], len(a)), (3 * a[0], 3 * (a[0] + len(a) - 1) + 2)) if a else (None, None) for a in at]
+            assert [(r.t and tuple(r.t), r.c and tuple(r.c)) for r in rows.orderBy("i").collect()] == expected
+            assert "lambda" not in rows._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)

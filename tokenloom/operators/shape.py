@@ -182,7 +182,7 @@ def char_to_word(offsets: Column, word_ids: Column, pos: Column) -> Column:
 
 def word_to_tokens(word_ids: Column, word: Column) -> Column:
     """Struct of the word's first token and its number of tokens; null for an absent word."""
-    count = F.size(F.filter(word_ids, lambda w: w == word))
+    count = F.when(word.isNotNull(), F.size(word_ids) - F.size(F.array_remove(word_ids, word)))
     return F.when(count > 0, F.struct((F.array_position(word_ids, word) - 1).cast("int").alias("first"), count.alias("count")))
 
 
